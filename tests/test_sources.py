@@ -1,0 +1,58 @@
+from datetime import datetime, timezone
+
+import pytest
+
+from winfleet.functions.times import epoch_millis
+from winfleet.sources.sensor import generate_table, generated, sensor_rows
+from winfleet.schemas import SENSOR
+
+START = datetime(2024, 1, 1, tzinfo=timezone.utc)
+
+
+def test_generator_emits_exactly_the_limit(spark):
+    for limit in (0, 1, 25, 1000):
+        assert generate_table(spark, limit, keys=32).count() == limit
+
+
+def test_generator_follows_the_phases(spark):
+    delays, interval, keys = [300, 100, 250], 1000, 3
+    expected = []
+    phase = 0
+    while len(expected) < 60:
+        base = phase * interval
+        expected += [base + offset for offset in range(0, interval, delays[phase % len(delays)])]
+        phase += 1
+    rows = generate_table(spark, 60 * keys, keys=keys, delays=delays, delay_interval=interval, start=START)
+    millis = rows.select("location_id", epoch_millis(rows.event_time).alias("ms")).collect()
+    for key in range(keys):
+        name = f"00000000-0000-0000-0000-{key:012x}"
+        got = sorted(r.ms - int(START.timestamp() * 1000) for r in millis if r.location_id == name)
+        assert got == expected[:60]
+
+
+def test_generated_values_are_uniform_and_repeat(spark):
+    rows = generate_table(spark, 4000, keys=8)
+    first, second = rows.collect(), rows.repartition(5).collect()
+    assert sorted(first) == sorted(second)
+    values = [float(r.temperature) for r in first]
+    assert 20 <= min(values) and max(values) < 30.000001
+    assert abs(sum(values) / len(values) - 25) < 0.2
+    assert len({r.event_id for r in first}) == 4000
+
+
+def test_generator_has_no_shuffle(spark):
+    rows = generated(spark.range(10), "id", keys=2)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_generator_rejects_bad_arguments(spark):
+    with pytest.raises(ValueError):
+        generate_table(spark, 1, keys=0)
+
+
+def test_sensor_rows_project_any_table(spark):
+    millis = spark.createDataFrame([(1, 1500, "a", 21.25)], "event_id int, ts bigint, user_id string, value double")
+    row = sensor_rows(millis)
+    assert [f.name for f in row.schema] == [f.name for f in SENSOR]
+    assert row.select(epoch_millis(row.event_time)).first()[0] == 1500
+    assert str(row.first().temperature) == "21.25"

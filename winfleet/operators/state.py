@@ -64,8 +64,8 @@ def latest_state(
         alive = changes.where(F.col(op) != RESET).join(last, scope, "left")
         alive = alive.where(F.col("_reset").isNull() | (F.col(seq) > F.col("_reset"))).drop("_reset")
     else:
-        last_reset = resets.select(F.max(seq).alias("_reset")).scalar()
-        alive = changes.where((F.col(op) != RESET) & (F.col(seq) > F.coalesce(last_reset, F.lit(-(2**63)))))
+        last = resets.select(F.coalesce(F.max(seq), F.lit(-(2**63))).alias("_reset"))
+        alive = changes.where((F.col(op) != RESET) & (F.col(seq) > last.scalar()))
     newest = latest_by(alive, key, seq, columns)
     return newest.where(F.col(op) != DELETED).select(*changes.columns)
 
@@ -100,22 +100,25 @@ def with_previous(
     """Add ``previous``: a struct of ``columns`` of the key's row before this one in order of ``(time, seq)``, null at first.
 
     A plain lag would sort a key's whole history in one task. Here a key's history is cut at calendar units (``block``: hour,
-    day, month, ...), so that the lag runs per key and block; what a block has to know about the one before it is a single row,
-    the block's last, built with partial aggregation. Blocks of a key are as many as units of time, not as rows. ``block=None``
-    is the plain lag for short histories. Keys are not null.
+    day, month, ...) and the lag runs per key and block. All a block has to know about the ones before it is a single row, the
+    last of them; those rows, found with partial aggregation, join the block as its first row, serve the lag and are dropped
+    again. So the rows are shuffled and sorted once, and what is looked at per key as a whole is one row per block: units
+    of time, not rows. ``block=None`` is the plain lag, for short histories. Keys are not null.
     """
-    row = F.struct(*columns)
+    previous = F.struct(*columns)
     order = [F.col(time), F.col(seq)]
     if block is None:
-        return rows.withColumn("previous", F.lag(row).over(Window.partitionBy(key).orderBy(*order)))
-    cut = F.coalesce(F.unix_seconds(F.date_trunc(block, F.col(time))), F.lit(-(2**63)))
-    blocked = rows.withColumn("_block", cut)
-    ends = blocked.groupBy(key, "_block").agg(F.max_by(row, F.struct(time, seq)).alias("_end"))
+        return rows.withColumn("previous", F.lag(previous).over(Window.partitionBy(key).orderBy(*order)))
+    start = F.coalesce(F.unix_seconds(F.date_trunc(block, F.col(time))), F.lit(-(2**63)))
+    blocked = rows.withColumn("_block", start)
+    known = list(dict.fromkeys([time, seq, *columns]))
+    ends = blocked.groupBy(key, "_block").agg(F.max(F.struct(*known)).alias("_end"))
     carried = F.lag("_end").over(Window.partitionBy(key).orderBy("_block"))
-    carry = ends.select(key, "_block", carried.alias("_carry")).where("_carry IS NOT NULL")
-    inside = F.lag(row).over(Window.partitionBy(key, "_block").orderBy(*order))
-    joined = blocked.join(carry, [key, "_block"], "left")
-    return joined.select(*rows.columns, F.coalesce(inside, F.col("_carry")).alias("previous"))
+    carry = ends.select(key, "_block", carried.alias("_end")).where("_end IS NOT NULL")
+    carry = carry.select(key, "_block", "_end.*", F.lit(True).alias("_carried"))
+    both = blocked.withColumn("_carried", F.lit(False)).unionByName(carry, allowMissingColumns=True)
+    inside = Window.partitionBy(key, "_block").orderBy(*order)
+    return both.withColumn("previous", F.lag(previous).over(inside)).where("NOT _carried").select(*rows.columns, "previous")
 
 
 def status_changes(

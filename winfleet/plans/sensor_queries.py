@@ -207,7 +207,8 @@ def _closed_sql(aggregate: str) -> str:
 
 def _run_job(spark: SparkSession, sf_dir: str, start: Callable[..., list], part: str) -> DataFrame:
     output, checkpoints = shared_dir(spark, "out"), shared_dir(spark, "progress")
-    for running in start(_stream(spark, sf_dir), output, checkpoints, lateness=DEMO_LATENESS, interval=None):
+    settings = {"lateness": DEMO_LATENESS, "interval": None, "tasks_per_bucket": 2}
+    for running in start(_stream(spark, sf_dir), output, checkpoints, **settings):
         running.awaitTermination()
     return read_buckets(spark, job_output(output, "run", part)).select("bucket", "value")
 

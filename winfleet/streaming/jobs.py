@@ -25,13 +25,15 @@ _LATE_FILTER = "spark.sql.streaming.statefulOperator.allowMultiple"
 @dataclass(frozen=True)
 class JobSettings:
     """Settings of a job with their usual values. ``interval`` is both the time between micro-batches, hence between
-    watermark steps, and the checkpoint interval; None processes what is there and ends."""
+    watermark steps, and the checkpoint interval; None processes what is there and ends. ``tasks_per_bucket`` bounds the files
+    that a micro-batch of windows writes per bucket (rows arrive in few buckets anyway)."""
 
     size: timedelta = DEFAULT_SIZE
     slide: timedelta = DEFAULT_SLIDE
     lateness: timedelta = timedelta(minutes=1)
     interval: timedelta | None = timedelta(seconds=30)
     console_verbosity: int = 0
+    tasks_per_bucket: int | None = None
 
 
 @contextmanager
@@ -77,12 +79,13 @@ def _start(
     settings: JobSettings,
 ) -> list[StreamingQuery]:
     trigger = every(settings.interval)
+    spread = {"tasks_per_bucket": settings.tasks_per_bucket}
     base = f"{checkpoints}/{run}/{part}"
     with immediate_late_filter(rows.sparkSession):
         windows = windows_of(rows, settings, aggregate)
         queries = [
             stream_buckets(sensor_lines(rows), job_output(output, run, "sensor"), f"{base}/rows", trigger),
-            stream_buckets(window_lines(windows), job_output(output, run, part), f"{base}/windows", trigger),
+            stream_buckets(window_lines(windows), job_output(output, run, part), f"{base}/windows", trigger, **spread),
         ]
         if settings.console_verbosity > 1:
             queries.append(stream_console(rows, f"{base}/console-rows", trigger))

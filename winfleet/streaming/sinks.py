@@ -57,7 +57,12 @@ def stream_buckets(
     trigger: dict[str, object],
     name: str | None = None,
     rows_per_file: int = ROWS_PER_FILE,
+    tasks_per_bucket: int | None = None,
 ) -> StreamingQuery:
+    """Write a stream of lines. By default every task writes the buckets it happens to have; ``tasks_per_bucket`` bounds the
+    files per bucket and micro-batch by sending a bucket's lines to that many tasks."""
+    if tasks_per_bucket is not None:
+        lines = lines.repartition("bucket", F.pmod(F.hash("value"), F.lit(tasks_per_bucket)))
     writer = lines.writeStream.format("text").partitionBy("bucket").outputMode("append")
     writer = writer.option("path", path).option("checkpointLocation", checkpoint)
     writer = writer.option("maxRecordsPerFile", rows_per_file).trigger(**trigger)
