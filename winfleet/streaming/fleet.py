@@ -74,13 +74,16 @@ def status_changes_stream(
         frame = pd.concat(list(batches)).sort_values(order)
         values = frame[status]
         news = values != values.shift()
-        news.iloc[0] = not memory.exists or memory.get[0] != values.iloc[0]
-        memory.update((values.iloc[-1],))
+        now = memory.getCurrentProcessingTimeMs()
+        # A timeout is reported to keys without new rows only, so a returning key checks its own age.
+        known = memory.exists and now - memory.get[1] <= patience
+        news.iloc[0] = not known or memory.get[0] != values.iloc[0]
+        memory.update((values.iloc[-1], now))
         memory.setTimeoutDuration(patience)
         yield frame.loc[news, columns]
 
     return rows.groupBy(key).applyInPandasWithState(
-        changed, rows.schema, "status STRING", "append", GroupStateTimeout.ProcessingTimeTimeout
+        changed, rows.schema, "status STRING, seen BIGINT", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
