@@ -38,7 +38,12 @@ def test_rejects_go_to_the_side_and_keep_their_text(spark):
     rows = parse_documents(bodies(spark, {"metadata": {"name": "a"}}, '{"metadata":{"name":"b"', "[1]", None), "job").collect()
     assert [r.rejected for r in rows] == [False, True, True, True]
     assert rows[0].resource.metadata.name == "a"
-    assert rows[1].resource is None and rows[1].body == '{"metadata":{"name":"b"'
+    assert rows[1].resource.metadata is None and rows[1].body == '{"metadata":{"name":"b"'
+
+
+def test_text_is_parsed_once(spark):
+    parsed = parse_documents(bodies(spark, JOB), "job_spec").where("NOT rejected").select("rejected", "resource.restart.*")
+    assert parsed._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
 
 
 def test_unreadable_number_reads_as_null(spark):

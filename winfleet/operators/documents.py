@@ -25,22 +25,35 @@ def _textual(kind: T.DataType) -> T.DataType:
     return kind
 
 
+def _has_numbers(kind: T.DataType) -> bool:
+    return _textual(kind) != kind
+
+
+def _parsed(rows: DataFrame, body: str, schema: T.StructType) -> DataFrame:
+    """Add ``_parsed``, the text read as the schema plus a field for text that does not fit.
+
+    Exploding an array of one parsed document keeps the optimizer from copying the parse into every filter on its fields.
+    """
+    readable = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    return rows.withColumn("_parsed", F.explode(F.array(F.from_json(body, readable, _OPTIONS))))
+
+
 def parse_documents(rows: DataFrame, kind: str, body: str = "body") -> DataFrame:
     """Add ``resource`` (the typed document) and ``rejected`` (true for text that is not such a document).
 
     ``kind`` names an entry of ``schemas.DOCUMENTS``. Filter on ``rejected`` to split good rows from the side table; a
-    rejected row keeps its text and has a null resource. A number that does not parse reads as null.
+    rejected row keeps its text, and the fields of its resource are null. A number that does not parse reads as null. Only
+    those top-level fields that a query uses are converted.
     """
     schema = DOCUMENTS[kind]
-    readable = T.StructType([*_textual(schema).fields, T.StructField(_CORRUPT, T.StringType())])
-    parsed = rows.withColumn("_parsed", F.from_json(body, readable, _OPTIONS))
-    fields = F.struct(*[F.col(f"_parsed.{f.name}").alias(f.name) for f in schema.fields])
+    parsed = _parsed(rows, body, _textual(schema))
     rejected = F.col("_parsed").isNull() | F.col(f"_parsed.{_CORRUPT}").isNotNull()
-    return (
-        parsed.withColumn("rejected", rejected)
-        .withColumn("resource", F.when(~F.col("rejected"), fields.try_cast(schema)))
-        .drop("_parsed")
-    )
+    fields = []
+    for field in schema.fields:
+        value = F.col(f"_parsed.{field.name}")
+        typed = value.try_cast(field.dataType) if _has_numbers(field.dataType) else value
+        fields.append(F.when(~rejected, typed).alias(field.name))
+    return parsed.withColumns({"rejected": rejected, "resource": F.struct(*fields)}).drop("_parsed")
 
 
 def declared_jobs(deployments: DataFrame, jobs: str = "resource.spec.jobs") -> DataFrame:
@@ -71,20 +84,19 @@ def operation_outcomes(rows: DataFrame, body: str = "body") -> DataFrame:
     Anything but COMPLETED is still in progress; COMPLETED with a failure cause, or without a location, is an error; text
     that does not parse is an error.
     """
-    readable = T.StructType([*OPERATION_RESULT.fields, T.StructField(_CORRUPT, T.StringType())])
-    result = rows.withColumn("_result", F.from_json(body, readable, _OPTIONS))
-    broken = F.col("_result.status").isNull() | F.col(f"_result.{_CORRUPT}").isNotNull()
-    location = F.col("_result.operation.location")
+    result = _parsed(rows, body, OPERATION_RESULT)
+    broken = F.col("_parsed.status").isNull() | F.col(f"_parsed.{_CORRUPT}").isNotNull()
+    location = F.col("_parsed.operation.location")
     outcome = (
         F.when(broken, "error")
-        .when(~F.col("_result.status.id").eqNullSafe("COMPLETED"), "pending")
-        .when(F.col("_result.operation.failure-cause").isNotNull() | location.isNull(), "error")
+        .when(~F.col("_parsed.status.id").eqNullSafe("COMPLETED"), "pending")
+        .when(F.col("_parsed.operation.failure-cause").isNotNull() | location.isNull(), "error")
         .otherwise("done")
     )
     return (
         result.withColumn("outcome", outcome)
         .withColumn("location", F.when(F.col("outcome") == "done", location))
-        .drop(body, "_result")
+        .drop(body, "_parsed")
     )
 
 
