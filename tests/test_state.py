@@ -112,13 +112,14 @@ def test_changes_watch_several_columns_and_keep_null_times(spark):
 
 
 def test_a_key_with_a_long_history_is_split_over_blocks(spark):
-    """The window that sorts rows is partitioned by key and block, never by key alone."""
+    """All rows are shuffled by key and block, once; only first and last rows of blocks are shuffled by key alone."""
     frame = spark.range(1000).select(
         F.col("id").alias("seq"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.lit("a").alias("key"), F.lit("s").alias("status")
     )
-    plan = state.status_changes(frame, "key")._jdf.queryExecution().executedPlan().toString()
-    outer = plan.split("Union")[0]
-    assert "hashpartitioning(key" in outer and "_block" in outer.split("hashpartitioning(key")[1].split(")")[0]
+    changes = state.status_changes(frame, "key")
+    changes.collect()
+    plan = changes._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan and "_first" in plan
 
 
 def test_newest_per_name(spark, rows_of):

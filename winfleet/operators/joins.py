@@ -56,12 +56,10 @@ def with_name_prefixes(rows: DataFrame, name: str, alias: str) -> DataFrame:
     ``a-b-c`` gives ``a`` and ``a-b``: exactly the texts x for which the name starts with ``x-``. Equality with one of them
     replaces the startswith condition, which Spark could only run as a nested loop over all pairs.
     """
-    parts = F.split(F.col(name), "-", -1)
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.size("_parts") - 1), lambda i: F.array_join(F.slice(F.col("_parts"), F.lit(1), i), "-")
-    )
-    split = rows.withColumn("_parts", parts).where(F.size("_parts") > 1)
-    return split.withColumn(alias, F.explode(prefixes)).drop("_parts")
+    dashes = F.length(name) - F.length(F.replace(F.col(name), F.lit("-"), F.lit("")))
+    numbered = rows.withColumn("_dashes", dashes).where("_dashes > 0")
+    numbered = numbered.withColumn("_nth", F.explode(F.sequence(F.lit(1), "_dashes")))
+    return numbered.withColumn(alias, F.expr(f"substring_index({name}, '-', _nth)")).drop("_dashes", "_nth")
 
 
 def prefix_join(

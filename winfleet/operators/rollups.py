@@ -195,15 +195,17 @@ def metrics_wide(
     """One typed row per entity from the long form (entity, id, value, seq).
 
     The last value of a repeated id counts; an id that never occurs reads as 0 or ''; a value that is no number reads as
-    null. All metrics are picked in a single aggregation with partial maxima: one shuffle, and a hot entity is reduced
-    to one row per task first. (``pivot`` would aggregate and shuffle twice.)
+    null. A row updates one maximum, that of its entity and id, in a partial aggregation, so neither a hot entity nor the
+    number of metrics matters; what is then turned into columns is one row per entity and id. Ids that no column asks for
+    share one group, which keeps entities that have nothing else.
     """
+    wanted = F.when(F.col(id).isin(*[metric.id for metric in metrics]), F.col(id))
+    newest = rows.groupBy(*entity, wanted.alias("_id")).agg(F.max_by(F.struct(F.col(value).alias("v")), seq).alias("_last"))
     picked = []
     for metric in metrics:
-        place = F.when(F.col(id) == metric.id, F.col(seq))
-        last = F.max_by(F.col(value).try_cast(metric.type), place)
-        picked.append(F.when(F.max(place).isNull(), metric.default).otherwise(last).alias(metric.column))
-    return rows.groupBy(*entity).agg(*picked)
+        last = F.max(F.when(F.col("_id") == metric.id, F.col("_last")))
+        picked.append(F.when(last.isNull(), metric.default).otherwise(last["v"].try_cast(metric.type)).alias(metric.column))
+    return newest.groupBy(*entity).agg(*picked)
 
 
 def group_readiness(jobs: DataFrame, group: list[str], finalizer: str) -> DataFrame:

@@ -100,25 +100,27 @@ def with_previous(
     """Add ``previous``: a struct of ``columns`` of the key's row before this one in order of ``(time, seq)``, null at first.
 
     A plain lag would sort a key's whole history in one task. Here a key's history is cut at calendar units (``block``: hour,
-    day, month, ...) and the lag runs per key and block. All a block has to know about the ones before it is a single row, the
-    last of them; those rows, found with partial aggregation, join the block as its first row, serve the lag and are dropped
-    again. So the rows are shuffled and sorted once, and what is looked at per key as a whole is one row per block: units
-    of time, not rows. ``block=None`` is the plain lag, for short histories. Keys are not null.
+    day, month, ...) and the lag runs per key and block, which leaves out the first row of each block. The row before that one
+    is the last of the key's block before, so a second lag runs over the first and last rows of blocks alone: at most two per
+    key and unit of time, however many rows there are. Both parts start from the same shuffle, which Spark runs once.
+    ``block=None`` is the plain lag, for short histories. Keys are not null.
     """
-    previous = F.struct(*columns)
     order = [F.col(time), F.col(seq)]
+    whole = Window.partitionBy(key).orderBy(*order)
     if block is None:
-        return rows.withColumn("previous", F.lag(previous).over(Window.partitionBy(key).orderBy(*order)))
+        return rows.select("*", F.lag(F.struct(*columns)).over(whole).alias("previous"))
     start = F.coalesce(F.unix_seconds(F.date_trunc(block, F.col(time))), F.lit(-(2**63)))
     blocked = rows.withColumn("_block", start)
-    known = list(dict.fromkeys([time, seq, *columns]))
-    ends = blocked.groupBy(key, "_block").agg(F.max(F.struct(*known)).alias("_end"))
-    carried = F.lag("_end").over(Window.partitionBy(key).orderBy("_block"))
-    carry = ends.select(key, "_block", carried.alias("_end")).where("_end IS NOT NULL")
-    carry = carry.select(key, "_block", "_end.*", F.lit(True).alias("_carried"))
-    both = blocked.withColumn("_carried", F.lit(False)).unionByName(carry, allowMissingColumns=True)
     inside = Window.partitionBy(key, "_block").orderBy(*order)
-    return both.withColumn("previous", F.lag(previous).over(inside)).where("NOT _carried").select(*rows.columns, "previous")
+    first = F.lag(F.lit(False), 1, True).over(inside).alias("_first")
+    last = F.lead(F.lit(False), 1, True).over(inside).alias("_last")
+    # Lags of plain columns, put together afterwards: both parts then feed the same columns to their shuffle.
+    before = [F.lag(column).over(inside).alias(f"_before_{column}") for column in columns]
+    previous = F.struct(*[F.col(f"_before_{column}").alias(column) for column in columns])
+    inner = blocked.select("*", first, *before).where("NOT _first").select(*rows.columns, previous.alias("previous"))
+    edges = blocked.select("*", first, last).where("_first OR _last")
+    edges = edges.select("*", F.lag(F.struct(*columns)).over(whole).alias("previous")).where("_first")
+    return inner.unionAll(edges.select(*rows.columns, "previous"))
 
 
 def status_changes(
