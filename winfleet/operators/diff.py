@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +58,3 @@ def must_recreate(changes: Column) -> Column:
 
 def digest_changed(stored: Column, spec: Column) -> Column:
     return stored.isNull() | (stored != spec_digest(spec))
-
-
-def any_differs(pairs: list[tuple[Column, Column]]) -> Column:
-    """Null-safe inequality of at least one pair."""
-    return reduce(lambda a, b: a | b, [~left.eqNullSafe(right) for left, right in pairs], F.lit(False))

@@ -9,14 +9,14 @@ from winfleet.functions.digest import spec_digest
 from winfleet.functions.times import seconds_since
 from winfleet.operators import diff, documents, joins, rollups, state, timing
 from winfleet.plans.registry import query, with_views
-from winfleet.plans.views import VIEWS, table, view, view_of
-from winfleet.session import shared_dir, use_utc
+from winfleet.plans.views import table, view, view_of
+from winfleet.session import shared_dir
 from winfleet.sources.sensor import event_stream
 from winfleet.streaming.fleet import (
     read_latest_state,
+    read_status_changes,
     start_latest_state,
     start_status_changes,
-    status_changes_stream,
 )
 
 FINALIZER = "supervisor"
@@ -358,34 +358,26 @@ def _stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_latest_state(spark, path, changes.schema, ["name"])
 
 
-@query(
-    "status_changes",
-    with_views(
-        "WITH p AS (SELECT *, lag(status) OVER w AS ps, lag(ts) OVER w AS pt FROM status_log "
-        "WINDOW w AS (PARTITION BY user_id ORDER BY ts, seq)) SELECT seq, ts, user_id, status FROM p "
-        "WHERE ps IS NULL OR ps <> status OR ts > pt + INTERVAL 300 SECOND",
-        "status_log",
-    ),
+_CHANGES = with_views(
+    "WITH p AS (SELECT *, lag(status) OVER w AS ps, lag(ts) OVER w AS pt FROM status_log "
+    "WINDOW w AS (PARTITION BY user_id ORDER BY ts, seq)) SELECT seq, ts, user_id, status FROM p "
+    "WHERE ps IS NULL OR ps <> status OR ts > pt + INTERVAL 300 SECOND",
+    "status_log",
 )
+
+
+@query("status_changes", _CHANGES)
 def _status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.status_changes(view(spark, sf_dir, "status_log"), "user_id")
 
 
-@query(
-    "stream_status_changes",
-    with_views(
-        "WITH p AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, seq) AS ps FROM status_log) "
-        "SELECT seq, user_id, status FROM p WHERE ps IS NULL OR ps <> status",
-        "status_log",
-    ),
-)
+@query("stream_status_changes", _CHANGES)
 def _stream_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     log = view_of(event_stream(spark, sf_dir, schema, pattern="events.parquet"), "status_log")
-    changes = status_changes_stream(log.withColumn("ts", F.col("ts").cast("timestamp")), "user_id")
     path = shared_dir(spark, "status-changes")
-    start_status_changes(changes, path, shared_dir(spark, "progress")).awaitTermination()
-    return spark.read.schema(changes.schema).parquet(path).select("seq", "user_id", "status")
+    start_status_changes(log, path, shared_dir(spark, "progress"), "user_id").awaitTermination()
+    return read_status_changes(spark, path, log.schema)
 
 
 def _illegal_sql(allowed: dict[str, set[str]], always: set[str]) -> str:

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from winfleet.operators.state import REMEMBERED, compacted, latest_state
+from winfleet.operators.state import REMEMBERED, compacted, latest_state, status_changes
 from winfleet.streaming.sinks import every
 
-_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
-
 
 def start_latest_state(
     changes: DataFrame,
@@ -49,54 +45,45 @@ def read_latest_state(
     return latest_state(log, key, seq, op)
 
 
-def status_changes_stream(
+def start_status_changes(
     rows: DataFrame,
+    path: str,
+    checkpoint: str,
     key: str,
     time: str = "ts",
     seq: str = "seq",
-    status: str = "status",
+    watched: tuple[str, ...] = ("status",),
     remembered: timedelta = REMEMBERED,
-) -> DataFrame:
-    """Rows of a stream whose status is new for their key, compared within a micro-batch in order of ``(time, seq)`` and
-    across micro-batches by keyed state that is dropped when the key is not observed for ``remembered``.
-
-    The batch form measures that gap in event time, the state in processing time; they agree on changes of status.
-    A key's share of a micro-batch is held by one task, so bound micro-batches with ``files_per_trigger``. Start the query
-    with ``start_status_changes``.
+    block: str | None = "day",
+    interval: timedelta | None = None,
+) -> StreamingQuery:
+    """Write the status changes of a stream below ``path``, read with ``read_status_changes``.
+
+    A micro-batch is a table, so the batch operator does the work, with its protection against keys that hold most of the
+    rows. What it needs from the past is each key's last row: every micro-batch leaves these in a folder of its number and
+    takes those of the number before as rows that were seen already. It replaces its own folders, so a batch replayed after
+    a failure changes nothing. Memory expires in event time, as in a table; when input arrives in order the stream's changes
+    are the table's. A row older than its key's last one is compared with older rows of its own micro-batch only.
+    Folders of ``last`` before the newest are not read again.
     """
-    columns, order = rows.columns, [time, seq]
-    patience = remembered // timedelta(milliseconds=1)
-
-    def changed(_: tuple, batches: Iterator[pd.DataFrame], memory: GroupState) -> Iterator[pd.DataFrame]:
-        if memory.hasTimedOut:
-            memory.remove()
-            return
-        frame = pd.concat(list(batches)).sort_values(order)
-        values = frame[status]
-        news = values != values.shift()
-        now = memory.getCurrentProcessingTimeMs()
-        # A timeout is reported to keys without new rows only, so a returning key checks its own age.
-        known = memory.exists and now - memory.get[1] <= patience
-        news.iloc[0] = not known or memory.get[0] != values.iloc[0]
-        memory.update((values.iloc[-1], now))
-        memory.setTimeoutDuration(patience)
-        yield frame.loc[news, columns]
-
-    return rows.groupBy(key).applyInPandasWithState(
-        changed, rows.schema, "status STRING, seen BIGINT", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    spark = rows.sparkSession
+    known = list(dict.fromkeys([time, seq, *watched]))
+    last_type = rows.select(key, *known).schema
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = batch.withColumn("_old", F.lit(False))
+        if batch_id > 0:
+            old = spark.read.schema(last_type).parquet(f"{path}/last/batch={batch_id - 1}")
+            seen = seen.unionByName(old.withColumn("_old", F.lit(True)), allowMissingColumns=True)
+        changes = status_changes(seen, key, time, seq, watched, remembered, block).where("NOT _old").drop("_old")
+        changes.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+        newest = seen.groupBy(key).agg(F.max(F.struct(*known)).alias("_last")).select(key, "_last.*")
+        newest.write.mode("overwrite").parquet(f"{path}/last/batch={batch_id}")
+
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**every(interval)).start()
 
-def start_status_changes(
-    changes: DataFrame, path: str, checkpoint: str, interval: timedelta | None = None
-) -> StreamingQuery:
-    """Write the stream of ``status_changes_stream`` as parquet. Without the setting below, waiting for timeouts would keep a
-    run over what is there going with empty micro-batches."""
-    spark = changes.sparkSession
-    before = spark.conf.get(_EMPTY_BATCHES)
-    spark.conf.set(_EMPTY_BATCHES, "false")
-    try:
-        writer = changes.writeStream.format("parquet").outputMode("append").option("path", path)
-        return writer.option("checkpointLocation", checkpoint).trigger(**every(interval)).start()
-    finally:
-        spark.conf.set(_EMPTY_BATCHES, before)
+
+def read_status_changes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(stored).parquet(f"{path}/changes").drop("batch")
