@@ -68,6 +68,10 @@ def test_resources_of_a_cluster(spark):
     for kind, wanted in expected.items():
         assert [r.name for r in joins.resources_of(frame, kind, "n", "c").collect()] == wanted
         assert joins.resources_of(frame, kind, "other", "c").count() == 0
+    together = joins.resources_by_kind(frame, tuple(expected), "n", "c").select("kind", "name")
+    assert sorted(tuple(r) for r in together.collect()) == sorted((k, n) for k, ns in expected.items() for n in ns)
+    twice = joins.resources_by_kind(names(spark, ["jobmanager-jobmanager-1"], namespace="n"), ("job", "jobmanager_pod"), "n", "jobmanager")
+    assert sorted(r.kind for r in twice.collect()) == ["job", "jobmanager_pod"]
 
 
 def test_unmanaged_running_jobs(spark, rows_of):

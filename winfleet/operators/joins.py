@@ -6,6 +6,8 @@ No join here is hinted: Spark broadcasts a side only when its measured size is b
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,14 @@ def resources_of(resources: DataFrame, kind: str, namespace: str, cluster: str)
     return resources.where((F.col("namespace") == namespace) & belongs_to(kind, cluster))
 
 
+def resources_by_kind(resources: DataFrame, kinds: tuple[str, ...], namespace: str, cluster: str) -> DataFrame:
+    """Resources of several kinds in one scan, with ``kind``; a name that fits two kinds gives two rows."""
+    tests = {kind: belongs_to(kind, cluster) for kind in kinds}
+    fits = reduce(lambda a, b: a | b, tests.values())
+    matching = F.array_compact(F.array(*[F.when(test, F.lit(kind)) for kind, test in tests.items()]))
+    return resources.where((F.col("namespace") == namespace) & fits).withColumn("kind", F.explode(matching))
+
+
 def with_name_prefixes(rows: DataFrame, name: str, alias: str) -> DataFrame:
     """One row per proper prefix of the name that ends before a '-'.
 

@@ -176,15 +176,8 @@ _KINDS = ("job", "bootstrap_job", "jobmanager_pod", "taskmanager_pod")
     ),
 )
 def _resource_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resources = view(spark, sf_dir, "resources")
-    parts = [
-        joins.resources_of(resources, kind, "ns1", "c10").select(F.lit(kind).alias("kind"), "uid", "name")
-        for kind in _KINDS
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionAll(part)
-    return result
+    found = joins.resources_by_kind(view(spark, sf_dir, "resources"), _KINDS, "ns1", "c10")
+    return found.select("kind", "uid", "name")
 
 
 _PAIRS = "FROM fleet_jobs j JOIN fleet_clusters c ON starts_with(j.name, c.name || '-')"
