@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from winfleet.operators.state import status_changes
 from winfleet.operators.windows import average_temperature
 from winfleet.sources.sensor import event_stream, generate_stream, generate_table, sensor_rows, with_watermark
-from winfleet.streaming.fleet import read_latest_state, read_status_changes, start_latest_state, start_status_changes
+from winfleet.streaming.fleet import (
+    compact_latest_state,
+    read_latest_state,
+    read_status_changes,
+    start_latest_state,
+    start_status_changes,
+)
 from winfleet.streaming.jobs import JobSettings, job_output, start_average_job, start_maximum_job
 from winfleet.streaming.sinks import bucket_counts, every, read_buckets, sensor_lines, window_lines, write_buckets
 
@@ -173,6 +179,20 @@ def test_streamed_latest_state_with_resets_inside_batches(spark, tmp_path, rows_
         assert rows_of(read_latest_state(spark, path, folder.frame([]).schema, ["name"])) == sorted(live, key=repr)
 
 
+def test_compacted_state_goes_on_elsewhere(spark, tmp_path, rows_of):
+    folder = Folder(spark, tmp_path, CHANGES)
+    schema, checkpoint = folder.frame([]).schema, str(tmp_path / "cp")
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    for batch in ([(1, "a", "CHANGED", 1), (2, "b", "CHANGED", 2)], [(3, "a", "CHANGED", 3), (4, "c", "DELETED", 0)]):
+        folder.add(batch)
+        start_latest_state(folder.stream(), old, checkpoint, ["name"]).awaitTermination()
+    compact_latest_state(spark, old, new, schema, ["name"])
+    assert spark.read.parquet(new).count() == 3
+    folder.add([(5, "b", "DELETED", 0), (6, "d", "CHANGED", 6)])
+    start_latest_state(folder.stream(), new, checkpoint, ["name"]).awaitTermination()
+    assert rows_of(read_latest_state(spark, new, schema, ["name"])) == [(3, "a", "CHANGED", 3), (6, "d", "CHANGED", 6)]
+
+
 def test_replayed_batch_replaces_itself(spark, tmp_path, rows_of):
     folder = Folder(spark, tmp_path, CHANGES)
     folder.add([(1, "a", "CHANGED", 1), (2, "b", "CHANGED", 2)])

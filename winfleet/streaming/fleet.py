@@ -20,6 +20,7 @@ def start_latest_state(
     key: list[str],
     seq: str = "seq",
     op: str = "op",
+    scope: list[str] | None = None,
     interval: timedelta | None = None,
 ) -> StreamingQuery:
     """Keep a change stream as a compact table below ``path``, read with ``read_latest_state``.
@@ -30,19 +31,43 @@ def start_latest_state(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        compacted(batch, key, seq, op).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        compacted(batch, key, seq, op, scope).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**every(interval)).start()
 
 
+def _change_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(stored).parquet(path).drop("batch")
+
+
 def read_latest_state(
-    spark: SparkSession, path: str, schema: T.StructType, key: list[str], seq: str = "seq", op: str = "op"
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    key: list[str],
+    seq: str = "seq",
+    op: str = "op",
+    scope: list[str] | None = None,
 ) -> DataFrame:
     """The live rows of the table that ``start_latest_state`` keeps."""
-    stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    log = spark.read.schema(stored).parquet(path).drop("batch")
-    return latest_state(log, key, seq, op)
+    return latest_state(_change_log(spark, path, schema), key, seq, op, scope)
+
+
+def compact_latest_state(
+    spark: SparkSession,
+    path: str,
+    target: str,
+    schema: T.StructType,
+    key: list[str],
+    seq: str = "seq",
+    op: str = "op",
+    scope: list[str] | None = None,
+) -> None:
+    """Write the table below ``path`` to ``target`` with one row per key. Do so between two runs of the stream, which then goes on
+    at ``target`` with the checkpoint it has."""
+    compacted(_change_log(spark, path, schema), key, seq, op, scope).write.parquet(f"{target}/batch=-1")
 
 
 def start_status_changes(
