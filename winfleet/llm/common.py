@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
@@ -65,6 +67,25 @@ def new_file(folder: str, suffix: str) -> tuple[str, fs.FileSystem, str]:
     return f"{folder}/{name}", filesystem, f"{path}/{name}"
 
 
+def likely_in(keys: DataFrame, key: str, bits: int = 1 << 23) -> Callable[[str], Column]:
+    """A test that holds for every value of ``keys`` and for few others, to thin out the large side before it is shuffled for a join.
+
+    It is a bit map of ``bits`` bits whatever the number of keys, so its broadcast is bounded; with very many keys it fills up and
+    lets everything pass, and the join that follows decides as before.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    words = keys.select(place.alias("place")).groupBy(F.expr("place div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 AS int)))").alias("value")).toPandas()
+    held = np.zeros(bits // 64, dtype=np.int64)
+    held[words["word"].to_numpy(dtype=np.int64)] = words["value"].to_numpy(dtype=np.int64)
+
+    @F.pandas_udf("boolean")
+    def test(places: pd.Series) -> pd.Series:
+        at = places.to_numpy(dtype=np.int64)
+        return pd.Series(((held[at >> 6] >> (at & 63)) & 1).astype(bool))
+
+    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(bits)))
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node, component (smallest node reachable) for every node of the edges (a, b), by alternating large and small stars.
 
@@ -73,8 +94,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     Self-edges and repeated edges are allowed; a null end is ignored.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a IS NOT NULL AND b IS NOT NULL")
+    edges = written(edges.distinct(), f"{name}-all")
     nodes = written(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{name}-nodes")
-    edges = written(edges.where("u <> v").distinct(), f"{name}-edges")
+    edges = edges.where("u <> v")
     mark = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     while mark[0]:
         both = edges.select("u", "v").union(edges.select("v", "u"))

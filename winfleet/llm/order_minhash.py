@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winfleet.llm.common import components, digest, text_slices, written
+from winfleet.llm.common import components, digest, likely_in, text_slices, written
 from winfleet.llm.words import mix, shingles, split_words
 
 SHINGLE = 5
@@ -185,7 +185,7 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block_docs).alias("blocks"))
     placed = clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     placed = written(placed.join(texts.select("rep", "digest", "first_id"), "rep"), "omh-places")
-    own = keyed.join(placed, "digest").where("doc_id <=> first_id").dropDuplicates(["rep"])
+    own = keyed.where(likely_in(placed, "digest")("digest")).join(placed, "digest").where("doc_id <=> first_id").dropDuplicates(["rep"])
     own = own.select("rep", "cluster", "block", "blocks", "text", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other"))
     tiles = own.select("rep", "cluster", "block", "text", F.least("block", "other").alias("left_block"), F.greatest("block", "other").alias("right_block"))
     links = tiles.groupBy("cluster", "left_block", "right_block").applyInPandas(_tile(threshold), "a long, b long")
