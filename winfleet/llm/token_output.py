@@ -10,7 +10,6 @@ All numbers are little-endian. The ranks are a table of the vocabulary's size, k
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -64,36 +63,83 @@ def _tokenizer(path: str) -> Tokenizer:
     return tokenizer
 
 
-# Where a byte-level vocabulary may be cut without changing ids: at one space or one line feed between two characters that are
-# no white space. Texts with any other white space are encoded whole.
-_ODD = re.compile(r"[\s\x1c-\x1f\x85][\s\x1c-\x1f\x85]|[^\S \n]|[\x1c-\x1f\x85]|^\s|\s\Z")
-_PIECES = re.compile(r" [^ \n]+|[^ \n]+|\n")
-CACHE = 400_000
-_caches: dict[str, dict[str, bytes]] = {}
+class PieceCache:
+    """Ids of words as bytes of uint32, with and without a space before them.
 
+    A byte-level vocabulary of this kind starts a new token at a space that has no white space beside it, and takes a lone line
+    feed by itself. So texts whose only white space is of these two sorts may be put together from the ids of their words;
+    others are encoded whole. Entries are kept in two generations of ``limit`` words, which bounds the memory.
+    """
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian uint32 bytes; equal to encoding each whole text.
+    def __init__(self, path: str, limit: int = 450_000):
+        self.tokenizer, self.limit = _tokenizer(path), limit
+        self.young: dict[str, bytes] = {}  # words after a space, by the word
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.starts[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how the vocabulary writes a space
+        self.first: dict[str, bytes] = {}  # words at the start of a line
+        self.line_feed = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def add(self, words: list[str]) -> None:
+        """Learn words after a space: encoded in one string, and cut where a token starts with the space."""
+        for k in range(0, len(words), 2048):
+            part = words[k : k + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) != len(part):
+                self.young.update((w, self.whole(" " + w)) for w in part)
+                continue
+            raw, cuts = ids.tobytes(), (np.append(at, len(ids)) * 4).tolist()
+            self.young.update((w, raw[low:high]) for w, low, high in zip(part, cuts[:-1], cuts[1:]))
+
+    def first_of(self, word: str) -> bytes:
+        found = self.first.get(word)
+        if found is None:
+            if len(self.first) > self.limit // 4:
+                self.first.clear()
+            found = self.first[word] = self.whole(word)
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        out: list[bytes] = [b""] * len(texts)
+        waiting: list[tuple[int, list[list[str]]]] = []
+        missing: set[str] = set()
+        get = self.young.get
+        for i, text in enumerate(texts):
+            lines = [line.split(" ") for line in text.split("\n")]
+            if [w for words in lines for w in words] != text.split():
+                out[i] = self.whole(text)
+                continue
+            found = [list(map(get, words[1:])) for words in lines]
+            unknown = [w for words, values in zip(lines, found) if None in values for w, v in zip(words[1:], values) if v is None]
+            if unknown:
+                missing.update(unknown)
+                waiting.append((i, lines))
+            else:
+                out[i] = self.line_feed.join([self.first_of(words[0]) + b"".join(values) for words, values in zip(lines, found)])
+        if missing:
+            again = [(w, v) for w in missing if (v := self.old.get(w)) is not None]
+            self.young.update(again)
+            self.add(list(missing.difference(w for w, _ in again)))
+            for i, lines in waiting:
+                out[i] = self.line_feed.join([self.first_of(words[0]) + b"".join([self.young[w] for w in words[1:]]) for words in lines])
+        return out
+
+
+@lru_cache(maxsize=1)
+def _cache(path: str) -> PieceCache:
+    return PieceCache(path)
 
-    Pieces seen before are taken from a cache of bounded size that lives as long as the Python worker.
-    """
-    tokenizer, cache = _tokenizer(path), _caches.setdefault(path, {})
-    if len(cache) > CACHE:
-        cache.clear()
-    odd = [i for i, text in enumerate(texts) if _ODD.search(text)]
-    out: list[bytes] = [b""] * len(texts)
-    for i, found in zip(odd, tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
-        out[i] = np.array(found.ids, dtype="<u4").tobytes()
-    whole = set(odd)
-    pieces = {i: _PIECES.findall(text) for i, text in enumerate(texts) if i not in whole}
-    new = list(set().union(*pieces.values()) - cache.keys()) if pieces else []
-    for k in range(0, len(new), 4096):
-        part = new[k : k + 4096]
-        cache.update(zip(part, (np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-    get = cache.__getitem__
-    for i, own in pieces.items():
-        out[i] = b"".join(map(get, own))
-    return out
+
+def encode_texts(texts: list[str], path: str) -> list[bytes]:
+    """Ids of each text as little-endian uint32 bytes; equal to encoding each whole text. The cache lives as long as the worker."""
+    return _cache(path).encode(texts)
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
