@@ -108,7 +108,7 @@ class PieceCache:
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
         out: list[bytes] = [b""] * len(texts)
-        waiting: list[tuple[int, list[list[str]]]] = []
+        waiting: list[tuple[int, list[list[str]], list[list[bytes | None]]]] = []
         missing: set[str] = set()
         get = self.young.get
         for i, text in enumerate(texts):
@@ -120,15 +120,16 @@ class PieceCache:
             unknown = [w for words, values in zip(lines, found) if None in values for w, v in zip(words[1:], values) if v is None]
             if unknown:
                 missing.update(unknown)
-                waiting.append((i, lines))
+                waiting.append((i, lines, found))
             else:
                 out[i] = self.line_feed.join([self.first_of(words[0]) + b"".join(values) for words, values in zip(lines, found)])
         if missing:
             again = [(w, v) for w in missing if (v := self.old.get(w)) is not None]
             self.young.update(again)
             self.add(list(missing.difference(w for w, _ in again)))
-            for i, lines in waiting:
-                out[i] = self.line_feed.join([self.first_of(words[0]) + b"".join([self.young[w] for w in words[1:]]) for words in lines])
+            for i, lines, found in waiting:
+                full = [[self.young[w] if v is None else v for w, v in zip(words[1:], values)] for words, values in zip(lines, found)]
+                out[i] = self.line_feed.join([self.first_of(words[0]) + b"".join(values) for words, values in zip(lines, full)])
         return out
 
 
