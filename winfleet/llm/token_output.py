@@ -284,4 +284,4 @@ def read_ids(spark: SparkSession, blocks: DataFrame, folder: str, with_ids: bool
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")] + [T.StructField("ids", T.BinaryType())] * with_ids)
-    return places.repartition("path", "at").mapInArrow(read, schema)
+    return places.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "at").mapInArrow(read, schema)

@@ -160,10 +160,12 @@ def read_archives(spark: SparkSession, files: DataFrame, stretch_bytes: int = 16
     payload; a record that breaks off or has another digest fails the job. Empty ``files`` give an empty result.
     """
     stretches = files.select("path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_bytes - 1) div {stretch_bytes}"))).alias("k"))
-    stretches = stretches.select("path", "n_bytes", (F.col("k") * stretch_bytes).alias("low"), F.least(F.col("n_bytes"), (F.col("k") + 1) * stretch_bytes).alias("high")).repartition("path", "low")
-    stretches = written(stretches, "warc-stretches").repartition("path", "low")
+    stretches = stretches.select("path", "n_bytes", (F.col("k") * stretch_bytes).alias("low"), F.least(F.col("n_bytes"), (F.col("k") + 1) * stretch_bytes).alias("high"))
+    # A number of partitions of its own: these rows are few and small, and what they stand for is not.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stretches = written(stretches, "warc-stretches").repartition(tasks, "path", "low")
     true = entries(stretches).withColumn("low", F.expr(f"at div {stretch_bytes} * {stretch_bytes}"))
-    true = stretches.join(true, ["path", "low"])
+    true = stretches.join(true, ["path", "low"]).repartition(tasks, "path", "low")
     schema = RECORD if with_payload else T.StructType(RECORD.fields[:-1])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
