@@ -3,11 +3,13 @@
 import collections
 import re
 
+import duckdb
+import pandas as pd
 import pytest
 
 import corpus_pipeline
 from conftest import TESTDATA
-from winfleet.llm.queries import QUERIES
+from winfleet.llm.queries import ORACLES, QUERIES
 
 SF_DIR = f"{TESTDATA}/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -29,6 +31,21 @@ def test_query_returns_a_row_for_each_row(spark, name):
     assert got.count() == spark.read.parquet(f"{SF_DIR}/{table}.parquet").count()
 
 
+@pytest.mark.parametrize("name", ORACLES)
+def test_query_agrees_with_sql(spark, name):
+    connection = duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
+    wanted = connection.execute(ORACLES[name]).fetch_df()
+    got = QUERIES[name](spark, SF_DIR).toPandas()
+    columns = sorted(got.columns)
+    assert columns == sorted(wanted.columns) and len(got) == len(wanted)
+
+    key = ("page_id" in columns and "page_id") or ("vec_id" in columns and "vec_id") or "doc_id"
+    for a, b in zip(got.sort_values(key)[columns].itertuples(index=False), wanted.sort_values(key)[columns].itertuples(index=False)):
+        assert [None if pd.isna(v) else v for v in a] == [None if pd.isna(v) else v for v in b]
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet").select("doc_id", "lang")
     got = QUERIES["op9_hyperdimensional_language"](spark, f"{TESTDATA}/sf0.01").join(docs, "doc_id").where("held_out").collect()
