@@ -90,15 +90,15 @@ def test_empty_status_set_means_all(spark):
 
 
 def test_idle_workers_and_their_hosts(spark, rows_of):
-    path = "akka.tcp://flink@172.17.0.{}:41545/user/{}taskmanager_0"
+    path = "akka.tcp://flink@10.9.8.{}:6130/user/{}taskmanager_0"
     rows = [
         (1, path.format(1, ""), 4, 0), (2, path.format(2, "rpc/"), 4, 2), (3, path.format(3, ""), 4, 4),
         (4, path.format(4, "rpc/"), 4, 4), (5, "bad-path", 4, 4), (6, path.format(6, "") + "x", 4, 4), (7, None, 4, 4),
     ]
     workers = spark.createDataFrame(rows, "id int, path string, slots_number int, free_slots int")
-    assert rows_of(joins.idle_workers(workers).select("id", "host_ip")) == [(3, "172.17.0.3"), (4, "172.17.0.4")]
+    assert rows_of(joins.idle_workers(workers).select("id", "host_ip")) == [(3, "10.9.8.3"), (4, "10.9.8.4")]
     hosts = spark.createDataFrame(
-        [(f"host-{i}", [(f"172.17.0.{i}",), (f"10.0.0.{i}",)]) for i in range(1, 8)] + [("none", None)],
+        [(f"host-{i}", [(f"10.9.8.{i}",), (f"10.0.0.{i}",)]) for i in range(1, 8)] + [("none", None)],
         "name string, pod_ips array<struct<ip:string>>",
     )
     assert rows_of(joins.idle_hosts(workers, hosts)) == [("host-3",), ("host-4",)]

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import TESTDATA
+from winfleet.plans.registry import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", f"{TESTDATA}/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -32,10 +33,11 @@ def plain(value):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sql, name):
     got = entry.queries()[name](spark, SF_DIR).toPandas()
     wanted = sql.execute(entry.oracle_sql()[name]).fetch_df()

@@ -1,3 +1,4 @@
+from datetime import timedelta
 from datetime import datetime, timezone
 
 import pytest
@@ -55,4 +56,30 @@ def test_sensor_rows_project_any_table(spark):
     row = sensor_rows(millis)
     assert [f.name for f in row.schema] == [f.name for f in SENSOR]
     assert row.select(epoch_millis(row.event_time)).first()[0] == 1500
-    assert str(row.first().temperature) == "21.25"
+    assert str(row.first().temperature) == "21.250000"
+
+
+def test_default_type_keeps_large_values_and_decimals(spark, rows_of):
+    from winfleet.operators.windows import average_temperature, maximum_temperature
+    from winfleet.sources.sensor import sensor_rows
+
+    events = spark.sql("SELECT 1 AS event_id, TIMESTAMP '2024-01-01 00:00:00' AS ts, 'k' AS user_id, 20.126D AS value UNION ALL SELECT 2, TIMESTAMP '2024-01-01 00:00:01', 'k', 15000000.5D")
+    rows = sensor_rows(events)
+    hour = timedelta(minutes=60)
+    assert [str(r.temperature) for r in average_temperature(rows, hour, hour).collect()] == ["7500010.31"]
+    assert [str(r.temperature) for r in maximum_temperature(rows, hour, hour).collect()] == ["15000000.500000"]
+
+
+def test_table_stream_reads_files_and_folders(spark, tmp_path):
+    from winfleet.sources.sensor import table_stream
+
+    frame = spark.range(30)
+    frame.repartition(3).write.parquet(str(tmp_path / "folder" / "events.parquet"))
+    frame.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "parts").glob("part-*.parquet")).rename(tmp_path / "file" / "events.parquet")
+    for name in ("folder", "file"):
+        stream = table_stream(spark, str(tmp_path / name), "events", frame.schema, files_per_trigger=1)
+        query = stream.writeStream.format("memory").queryName(f"seen_{name}").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"progress-{name}")).start()
+        query.awaitTermination()
+        assert spark.table(f"seen_{name}").count() == 30

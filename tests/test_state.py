@@ -94,10 +94,10 @@ def test_illegal_transitions_agree_with_a_loop(spark, rows_of, block):
     rows = random_statuses(2, 400)
     expected, last = [], {}
     for seq, at, key, status in rows:
-        before = last.get(key)
-        if before and status and before != status and status != "Unknown" and status not in state.JOB_TRANSITIONS[before]:
+        before, now = last.get(key), status or "Unknown"
+        if before and before != now and now != "Unknown" and now not in state.JOB_TRANSITIONS[before]:
             expected.append((seq, at, key, status, before))
-        last[key] = status
+        last[key] = now
     frame = spark.createDataFrame(rows, STATUS)
     got = state.illegal_transitions(frame, "key", state.JOB_TRANSITIONS, state.JOB_FALLBACK, block=block)
     assert rows_of(got) == sorted(expected, key=repr)

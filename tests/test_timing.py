@@ -18,7 +18,7 @@ def test_time_predicates(spark):
 
 def test_restart_rules(spark):
     cases = [("Always", None, True), ("Always", "RUNNING", True), ("OnlyIfFailed", "FAILED", True), ("OnlyIfFailed", "RUNNING", False),
-             ("OnlyIfFailed", None, False), ("Never", "FAILED", False), (None, "FAILED", False)]
+             ("OnlyIfFailed", None, False), ("Never", "FAILED", False), (None, "FAILED", True), ("", "RUNNING", True)]
     frame = spark.createDataFrame([c[:2] for c in cases], "policy string, status string")
     assert [r[0] for r in frame.select(timing.should_restart(F.col("policy"), F.col("status"))).collect()] == [c[2] for c in cases]
     now = F.lit("1970-01-01 00:01:00").cast("timestamp")

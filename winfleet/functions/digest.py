@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 def spec_digest(spec: Column) -> Column:
     """Base64 of the MD5 of the struct's JSON text, '' for a missing struct.
 
-    Null fields are left out of the JSON and fields keep schema order, so equal specs have equal digests.
+    Null fields are left out of the JSON and fields keep schema order, so equal specs have equal digests. Maps are written in
+    the order of their entries: build them in one order if they are to compare.
     """
     return F.coalesce(F.base64(F.unhex(F.md5(F.to_json(spec)))), F.lit(""))

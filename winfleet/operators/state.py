@@ -7,6 +7,8 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winfleet.functions.settings import STATUS_DEFAULTS, or_default_if_blank
+
 # Operations of a change log.
 CHANGED, DELETED, RESET = "CHANGED", "DELETED", "RESET"
 
@@ -155,12 +157,13 @@ def illegal_transitions(
     """Changes of status that the table of allowed transitions does not have, with ``previous_status``.
 
     ``always`` lists statuses that may follow any other. The table is a constant of the state machine, so it becomes a set of
-    literals inside the filter instead of a join.
+    literals inside the filter instead of a join. A missing or blank status reads as Unknown.
     """
     pairs = {(before, after) for before, afters in allowed.items() for after in afters}
     pairs |= {(before, after) for before in _STATUSES for after in always or set()}
-    seen = with_previous(rows, key, time, seq, [status], block)
-    before, after = F.col("previous")[status], F.col(status)
+    known = rows.withColumn("_status", or_default_if_blank(F.col(status), STATUS_DEFAULTS["supervisor_status"]))
+    seen = with_previous(known, key, time, seq, ["_status"], block)
+    before, after = F.col("previous")["_status"], F.col("_status")
     legal = F.concat_ws(">", before, after).isin(sorted(f"{a}>{b}" for a, b in pairs))
     moved = seen.where(F.col("previous").isNotNull() & (before != after) & ~legal)
-    return moved.withColumn("previous_status", before).drop("previous")
+    return moved.withColumn("previous_status", before).drop("previous", "_status")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from winfleet.functions.settings import STATUS_DEFAULTS, or_default_if_blank
 from winfleet.functions.times import seconds_since
 
 # Words of the restart policy and of a failed job.
@@ -27,8 +28,9 @@ def due(time: Column, now: Column, interval: Column) -> Column:
 
 
 def should_restart(policy: Column, job_status: Column) -> Column:
-    failed = job_status.eqNullSafe(FAILED)
-    return F.coalesce((policy == ALWAYS) | ((policy == ONLY_IF_FAILED) & failed), F.lit(False))
+    """A policy that is missing or blank reads as Always."""
+    policy = or_default_if_blank(policy, STATUS_DEFAULTS["restart_policy"])
+    return (policy == ALWAYS) | ((policy == ONLY_IF_FAILED) & job_status.eqNullSafe(FAILED))
 
 
 def restart_eligible(policy: Column, job_status: Column, time: Column, now: Column, delay: Column) -> Column:

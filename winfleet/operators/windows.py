@@ -19,6 +19,7 @@ Plans
 from __future__ import annotations
 
 from datetime import timedelta
+from decimal import Decimal
 from math import gcd
 
 from pyspark.sql import Column, DataFrame
@@ -34,21 +35,19 @@ DEFAULT_SLIDE = timedelta(minutes=5)
 # A block of panes spans this many window sizes: about one pane row in that number is copied to a second block.
 BLOCK_SIZES = 24
 
-# Up to this many digits values are summed as 64-bit integers: 9 * 10^8 largest values fit one window, and beyond that
-# the sum fails under ANSI rules instead of wrapping. Wider decimals are summed as decimals.
-NARROW_DIGITS = 10
-
-
 def average_temperature(
     rows: DataFrame, size: timedelta = DEFAULT_SIZE, slide: timedelta = DEFAULT_SLIDE, panes: bool | None = None
 ) -> DataFrame:
-    """Average per key and window with two decimals, ties toward zero. ``panes=None`` picks the plan as described above."""
+    """Average per key and window with two decimals, ties toward zero.
+
+    Sums are decimals of 38 digits in units of the input's last place, so they do not wrap. Precision plus scale of the input
+    may be up to 36 digits; beyond that, and for averages of 10^16 or more, ANSI rules (Spark's default) make the query fail.
+    ``panes=None`` picks the plan as described above."""
     kind = rows.schema["temperature"].dataType
     if not isinstance(kind, T.DecimalType):
         raise TypeError(f"temperature must be a decimal, not {kind.simpleString()}")
     scale = max(kind.scale, 2)
-    narrow = kind.precision + scale - kind.scale <= NARROW_DIGITS
-    units = (F.col("temperature") * F.lit(10**scale)).cast("bigint" if narrow else f"decimal({_digits(kind, scale)},0)")
+    units = (F.col("temperature") * F.lit(Decimal(10**scale))).cast(f"decimal({_digits(kind, scale)},0)")
     readings = rows.where("temperature IS NOT NULL").select("location_id", "event_time", units.alias("units"))
     totals = _aggregate(
         readings,
@@ -59,7 +58,7 @@ def average_temperature(
         merge=[F.sum("total").alias("total"), F.sum("n").alias("n")],
     )
     return totals.select(
-        "location_id", "window_start", half_down_mean("total", "n", scale, wide=not narrow).alias("temperature")
+        "location_id", "window_start", half_down_mean("total", "n", scale, wide=True).alias("temperature")
     )
 
 

@@ -11,7 +11,7 @@ from winfleet.operators import diff, documents, joins, rollups, state, timing
 from winfleet.plans.registry import query, with_views
 from winfleet.plans.views import table, view, view_of
 from winfleet.session import shared_dir
-from winfleet.sources.sensor import event_stream
+from winfleet.sources.sensor import table_stream
 from winfleet.streaming.fleet import (
     read_latest_state,
     read_status_changes,
@@ -296,13 +296,13 @@ def _spec_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_views(
         "SELECT id, to_base64(unhex(md5('{' || concat_ws(',', CASE WHEN bootstrap IS NOT NULL THEN '\"bootstrap\":\"' || "
         "bootstrap || '\"' END, '\"savepoint\":\"' || savepoint || '\"', '\"restart\":' || restart) || '}'))) AS digest "
-        "FROM deployed_specs",
-        "deployed_specs",
+        "FROM all_specs",
+        "all_specs",
     ),
 )
 def _spec_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = F.struct("bootstrap", "savepoint", "restart")
-    return view(spark, sf_dir, "deployed_specs").select("id", spec_digest(spec).alias("digest"))
+    return view(spark, sf_dir, "all_specs").select("id", spec_digest(spec).alias("digest"))
 
 
 @query(
@@ -345,7 +345,7 @@ def _latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_latest_state", _LATEST)
 def _stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    changes = view_of(event_stream(spark, sf_dir, schema, pattern="events.parquet"), "fleet_changes")
+    changes = view_of(table_stream(spark, sf_dir, "events", schema), "fleet_changes")
     path = shared_dir(spark, "latest-state")
     start_latest_state(changes, path, shared_dir(spark, "progress"), ["name"]).awaitTermination()
     return read_latest_state(spark, path, changes.schema, ["name"])
@@ -367,7 +367,7 @@ def _status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_status_changes", _CHANGES)
 def _stream_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    log = view_of(event_stream(spark, sf_dir, schema, pattern="events.parquet"), "status_log")
+    log = view_of(table_stream(spark, sf_dir, "events", schema), "status_log")
     path = shared_dir(spark, "status-changes")
     start_status_changes(log, path, shared_dir(spark, "progress"), "user_id").awaitTermination()
     return read_status_changes(spark, path, log.schema)
@@ -587,7 +587,7 @@ def _savepoint_due(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "restart_eligible",
     with_views(
-        f"SELECT uid FROM fleet_jobs WHERE (restart_policy = 'Always' OR (restart_policy = 'OnlyIfFailed' "
+        f"SELECT uid FROM fleet_jobs WHERE (coalesce(nullif(trim(restart_policy), ''), 'Always') = 'Always' OR (restart_policy = 'OnlyIfFailed' "
         f"AND job_status = 'FAILED')) AND {_ELAPSED} > 60",
         "fleet_jobs",
     ),

@@ -7,6 +7,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from winfleet.functions.keys import uuid_key
 from winfleet.functions.text import sensor_display, sensor_line, window_display, window_line
@@ -15,16 +16,18 @@ from winfleet.operators.windows import average_temperature, maximum_temperature
 from winfleet.plans.registry import query
 from winfleet.plans.views import table
 from winfleet.session import shared_dir
-from winfleet.sources.sensor import event_stream, generated, sensor_rows
+from winfleet.sources.sensor import sensor_rows, table_stream
 from winfleet.streaming.jobs import job_output, start_average_job, start_maximum_job
 from winfleet.streaming.sinks import bucket_counts, read_buckets, sensor_lines, window_lines, write_buckets
 
 HOUR = timedelta(minutes=60)
+# The test table holds doubles that stand for two decimals.
+TWO_DECIMALS = T.DecimalType(18, 2)
 DEMO_SIZE, DEMO_SLIDE, DEMO_LATENESS = timedelta(seconds=60), timedelta(seconds=10), timedelta(seconds=5)
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sensor_rows(table(spark, sf_dir, "events"))
+    return sensor_rows(table(spark, sf_dir, "events"), kind=TWO_DECIMALS)
 
 
 def _seconds(length: timedelta) -> int:
@@ -88,23 +91,6 @@ def _sensor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings(spark, sf_dir).withColumn("temperature", F.col("temperature").cast("decimal(18,2)"))
 
 
-@query(
-    "gen_sensor_rows",
-    "WITH n AS (SELECT event_id AS i, event_id // 32 AS j FROM events), "
-    "p AS (SELECT i, (j // 31200) * 600000 + CASE WHEN j % 31200 < 1200 THEN (j % 31200) * 250 "
-    "ELSE 300000 + (j % 31200 - 1200) * 10 END AS off, md5('sensor-id:' || i) AS h, md5('sensor:' || i) AS v, "
-    "lpad(lower(to_hex(i % 32)), 32, '0') AS k FROM n) "
-    "SELECT substr(h,1,8) || '-' || substr(h,9,4) || '-' || substr(h,13,4) || '-' || substr(h,17,4) || '-' || substr(h,21) "
-    "AS event_id, 1704067200000 + off AS event_millis, substr(k,1,8) || '-' || substr(k,9,4) || '-' || substr(k,13,4) || '-' "
-    "|| substr(k,17,4) || '-' || substr(k,21) AS location_id, CAST(CAST(20 AS DOUBLE) + CAST(CAST('0x' || substr(v,1,8) AS "
-    "BIGINT) * 10 AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS DECIMAL(8,6)) AS temperature FROM p",
-)
-def _gen_sensor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbers = table(spark, sf_dir, "events").select("event_id")
-    rows = generated(numbers, "event_id", keys=32, delays=[250, 10], delay_interval=300_000)
-    return rows.select("event_id", epoch_millis(F.col("event_time")).alias("event_millis"), "location_id", "temperature")
-
-
 @query("sensor_csv_line", f"SELECT {_ROW_TIME} || ',' || event_id || ',' || user_id || ',' || {_ROW_VALUE} AS line FROM events")
 def _sensor_csv_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [F.col(c) for c in ("event_time", "event_id", "location_id", "temperature")]
@@ -165,7 +151,7 @@ _BUCKET = "strftime({}, '%Y-%m-%d--%H')"
 
 @query("bucket_counts", f"SELECT {_BUCKET.format('ts')} AS bucket, count(*) AS n FROM events GROUP BY 1")
 def _bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = readings(spark, sf_dir).where("temperature IS NOT NULL")
+    rows = readings(spark, sf_dir)
     return bucket_counts(rows.select(hour_bucket(F.col("event_time")).alias("bucket")))
 
 
@@ -192,7 +178,7 @@ def _sensor_bucket_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    return sensor_rows(event_stream(spark, sf_dir, schema, pattern="events.parquet"))
+    return sensor_rows(table_stream(spark, sf_dir, "events", schema), kind=TWO_DECIMALS)
 
 
 def _closed_sql(aggregate: str) -> str:
@@ -207,7 +193,7 @@ def _closed_sql(aggregate: str) -> str:
 
 def _run_job(spark: SparkSession, sf_dir: str, start: Callable[..., list], part: str) -> DataFrame:
     output, checkpoints = shared_dir(spark, "out"), shared_dir(spark, "progress")
-    settings = {"lateness": DEMO_LATENESS, "interval": None, "tasks_per_bucket": 2}
+    settings = {"lateness": DEMO_LATENESS, "interval": None, "tasks_per_bucket": int(spark.conf.get("spark.sql.shuffle.partitions"))}
     for running in start(_stream(spark, sf_dir), output, checkpoints, **settings):
         running.awaitTermination()
     return read_buckets(spark, job_output(output, "run", part)).select("bucket", "value")

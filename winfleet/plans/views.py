@@ -132,6 +132,15 @@ VIEWS = {
         },
         "p_partkey % 13 <> 0",
     ),
+    "all_specs": View(
+        "part",
+        {
+            "id": "p_partkey",
+            "bootstrap": "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END",
+            "savepoint": "p_type",
+            "restart": "p_size",
+        },
+    ),
     "op_results": View(
         "events",
         {

@@ -18,11 +18,12 @@ def sensor_rows(
     event_time: str = "ts",
     location_id: str = "user_id",
     temperature: str = "value",
-    kind: T.DecimalType = TEMPERATURE,
+    kind: T.DecimalType | None = None,
 ) -> DataFrame:
     """Project any event table or stream onto the four sensor columns.
 
-    Epoch milliseconds become timestamps, and a stream's zone-less times become timestamps because a watermark needs them.
+    Decimals keep their type unless ``kind`` says otherwise, other numbers become TEMPERATURE: eighteen digits and six
+    decimals. Epoch milliseconds become timestamps, and a stream's zone-less times become timestamps because a watermark needs them.
     """
     time = F.col(event_time)
     time_type = events.schema[event_time].dataType
@@ -30,6 +31,9 @@ def sensor_rows(
         time = F.timestamp_millis(time)
     elif events.isStreaming or isinstance(time_type, T.StringType):
         time = time.cast("timestamp")
+    if kind is None:
+        given = events.schema[temperature].dataType
+        kind = given if isinstance(given, T.DecimalType) else TEMPERATURE
     return events.select(
         F.col(event_id).cast("string").alias("event_id"),
         time.alias("event_time"),
@@ -55,6 +59,14 @@ def event_stream(
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """The table ``name`` as a stream, be it one file or a folder of part files.
+
+    A file source wants a folder or a pattern; the pattern fits the name alone, and Spark lists what it finds there.
+    """
+    return event_stream(spark, f"{folder}/{name}.parque[t]", schema, files_per_trigger)
+
+
 def with_watermark(rows: DataFrame, lateness: timedelta = timedelta(minutes=1)) -> DataFrame:
     """Bound how far events may be out of order. A window closes once the largest event time is ``lateness`` past its end.
 
