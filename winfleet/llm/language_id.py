@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winfleet.llm.common import text_slices
+from winfleet.llm.common import importable, text_slices
 
 SYMBOLS = 64  # the space, and 63 places that letters share by a hash of their code point, a to z apart
 DIMENSIONS = 1024
@@ -82,6 +82,7 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
     What reaches the driver is a count per language and trigram: at most SYMBOLS**3 for each language, whatever the rows.
     """
+    importable(rows.sparkSession)
     counts = trigram_counts(rows.where("lang IS NOT NULL AND text IS NOT NULL")).toPandas()
     langs = sorted(counts["lang"].unique())
     trigrams, at = np.unique(counts["trigram"].to_numpy(dtype=np.int64), return_inverse=True)
