@@ -72,9 +72,9 @@ def test_late_rows_reach_their_open_windows_only(spark, tmp_path):
     got = [line.split(",") for line in lines(spark, job_output(str(tmp_path / "out"), "run", "maximum"))]
     values = {start[11:19]: value for start, _, value in got}
     # The watermark stands at 75 s when the row of second 20 arrives: of its windows only [20, 80) is still open.
-    assert values["00:00:20"] == "20.00"
+    assert values["00:00:20"] == "20.000000"
     first = [s for s in values if s < "00:00:20"] + [f"23:59:{s}" for s in (10, 20, 30, 40, 50) if f"23:59:{s}" in values]
-    assert all(values[s] == "20.00" for s in first)
+    assert all(values[s] == "20.000000" for s in first)
     assert len(read_buckets(spark, job_output(str(tmp_path / "out"), "run", "sensor")).collect()) == 4
 
 
