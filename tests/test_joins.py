@@ -21,13 +21,13 @@ def test_prefix_joins_agree_with_brute_force(spark, rows_of, seed):
     job_names, cluster_names = random_names(seed, 150), random_names(seed + 100, 40)
     jobs, clusters = names(spark, job_names), names(spark, cluster_names)
     pairs = [(j, c) for j in job_names for c in cluster_names if j.startswith(c + "-")]
-    assert rows_of(joins.prefix_join(jobs, clusters)) == sorted(pairs, key=repr)
+    assert rows_of(joins.prefix_join(jobs, clusters, within=())) == sorted(pairs, key=repr)
     longest = {j: max((c for k, c in pairs if k == j), key=len) for j, _ in pairs}
-    assert rows_of(joins.prefix_join(jobs, clusters, match="longest")) == sorted(longest.items(), key=repr)
+    assert rows_of(joins.prefix_join(jobs, clusters, match="longest", within=())) == sorted(longest.items(), key=repr)
     alone = [(j,) for j in job_names if j not in longest]
-    assert rows_of(joins.orphans(jobs, clusters)) == sorted(alone, key=repr)
+    assert rows_of(joins.orphans(jobs, clusters, within=())) == sorted(alone, key=repr)
     listing = [(c, j[len(c) + 1:]) for j, c in pairs]
-    assert rows_of(joins.job_listing(jobs, clusters)) == sorted(listing, key=repr)
+    assert rows_of(joins.job_listing(jobs, clusters, within=())) == sorted(listing, key=repr)
 
 
 def test_prefix_join_stays_within_a_namespace(spark, rows_of):
@@ -40,7 +40,7 @@ def test_prefix_join_stays_within_a_namespace(spark, rows_of):
 
 
 def test_prefix_join_is_an_equi_join(spark):
-    joined = joins.prefix_join(names(spark, ["a-b"]), names(spark, ["a"]))
+    joined = joins.prefix_join(names(spark, ["a-b"]), names(spark, ["a"]), within=())
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
@@ -52,10 +52,23 @@ def test_prefix_join_rejects_unknown_rule(spark):
 
 def test_lookup_keeps_rows_without_partner(spark, rows_of):
     jobs = spark.createDataFrame([("c", "a"), ("c", "b")], "cluster string, job string")
-    found = joins.lookup(jobs, names(spark, ["bootstrap-c-a"], image="i"), [F.lit("bootstrap-"), F.col("cluster"), F.lit("-"), F.col("job")])
+    found = joins.lookup(jobs, names(spark, ["bootstrap-c-a"], image="i"), [F.lit("bootstrap-"), F.col("cluster"), F.lit("-"), F.col("job")], within=())
     assert rows_of(found) == [("c", "a", "bootstrap-c-a", "i"), ("c", "b", None, None)]
 
 
+def test_lookup_stays_within_a_namespace(spark, rows_of):
+    jobs = spark.createDataFrame([("x", "a"), ("y", "a")], "namespace string, job string")
+    resources = names(spark, ["b-a"], namespace="x", image="i").union(names(spark, ["b-a"], namespace="y", image="k"))
+    found = joins.lookup(jobs, resources, [F.lit("b-"), F.col("job")]).select("namespace", "resource_image")
+    assert rows_of(found) == [("x", "i"), ("y", "k")]
+
+
+def test_longest_prefix_sorts_no_rows_to_aggregate(spark):
+    jobs, clusters = names(spark, ["a-b", "a-b-c"], namespace="n", size=1), names(spark, ["a", "a-b"], namespace="n")
+    longest = joins.prefix_join(jobs, clusters, match="longest")
+    assert "SortAggregate" not in longest._jdf.queryExecution().executedPlan().toString()
+
+
 def test_resources_of_a_cluster(spark):
     everything = ["c", "c-a", "cc-a", "jobmanager-c", "jobmanager-c-1", "taskmanager-c-x", "bootstrap-c-a", "supervisor-c",
                   "supervisor-c-0", "taskmanager-cc-x"]

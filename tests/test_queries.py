@@ -56,8 +56,8 @@ def test_entry_runs(spark):
 
 
 CHECKS = {
-    "sf0.001": {"prefix_join_all": 247, "orphan_jobs": 1370, "latest_state": 3, "idle_workers": 2},
-    "sf0.01": {"prefix_join_all": 23750, "orphan_jobs": 2500, "latest_state": 92, "idle_workers": 18, "sliding_avg_temperature": 114755},
+    "sf0.001": {"prefix_join_all": 133, "orphan_jobs": 1430, "latest_state": 3, "idle_workers": 2},
+    "sf0.01": {"prefix_join_all": 11970, "orphan_jobs": 8700, "latest_state": 92, "idle_workers": 18, "sliding_avg_temperature": 114755},
 }
 
 

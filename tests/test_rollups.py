@@ -38,17 +38,17 @@ def test_required_slots_and_workers(spark):
          ("c-d-e", "Starting", 3), ("fixed-a", "Started", 7), ("low-a", "Started", 1), ("nobody", "Started", 5)],
         JOB,
     )
-    sized = rollups.required_workers(rollups.required_slots(jobs, clusters))
+    sized = rollups.required_workers(rollups.required_slots(jobs, clusters, within=()))
     got = {r.name: (r.required_slots, r.n_jobs, r.declared_workers, r.required_workers) for r in sized.collect()}
     assert got == {"c": (8, 6, 3, 4), "c-d": (3, 1, 1, 3), "fixed": (7, 1, 2, 2), "idle": (0, 0, 32, 32), "low": (1, 1, 1, 1)}
-    as_job = rollups.required_slots(jobs, clusters, active=rollups.ACTIVE_FOR_JOB)
+    as_job = rollups.required_slots(jobs, clusters, active=rollups.ACTIVE_FOR_JOB, within=())
     assert {r.name: r.required_slots for r in as_job.collect()}["c"] == 7
 
 
 def test_slots_are_summed_before_the_join(spark):
     clusters = spark.createDataFrame([("c", 1, 1, None, None, None)], CLUSTER)
     jobs = spark.createDataFrame([("c-a", "Started", 1)], JOB)
-    plan = rollups.required_slots(jobs, clusters)._jdf.queryExecution().executedPlan().toString()
+    plan = rollups.required_slots(jobs, clusters, within=())._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Join") < plan.index("partial_sum(")
 
 
@@ -64,11 +64,19 @@ def test_rescale_plan(spark):
 def test_pods_and_capacity(spark):
     clusters = spark.createDataFrame([("c", 2, 0, None, None, None), ("e", None, 0, None, None, None)], CLUSTER)
     pods = spark.createDataFrame([("taskmanager-c-1",), ("taskmanager-c-2",), ("jobmanager-c-1",), ("taskmanager-cc-1",)], "name string")
-    sized = rollups.total_capacity(rollups.pod_counts(pods, clusters))
+    sized = rollups.total_capacity(rollups.pod_counts(pods, clusters, within=()))
     assert sorted((r.name, r.replicas, r.total_slots) for r in sized.collect()) == [("c", 2, 4), ("e", 0, 0)]
     assert spark.range(1).select(rollups.has_enough_slots(F.lit(4), F.lit(4))).first()[0]
 
 
+def test_namespaces_do_not_mix(spark):
+    clusters = spark.createDataFrame([("n1", "c"), ("n2", "c")], "namespace string, name string")
+    pods = spark.createDataFrame([("n1", "taskmanager-c-1"), ("n1", "taskmanager-c-2"), ("n2", "taskmanager-c-1")], "namespace string, name string")
+    assert sorted((r.namespace, r.replicas) for r in rollups.pod_counts(pods, clusters).collect()) == [("n1", 2), ("n2", 1)]
+    jobs = spark.createDataFrame([("n1", "c-a", "Started", 4), ("n2", "c-a", "Started", 3)], f"namespace string, {JOB}")
+    assert sorted((r.namespace, r.required_slots) for r in rollups.required_slots(jobs, clusters).collect()) == [("n1", 4), ("n2", 3)]
+
+
 def test_status_counts_have_zeros(spark):
     frame = spark.createDataFrame([("Started",), ("Started",), (None,), (" ",), ("Odd",)], "s string")
     got = {r.status: r.n for r in rollups.status_counts(frame, "s").collect()}

@@ -8,11 +8,13 @@ def test_time_predicates(spark):
     time, now = F.col("t").cast("timestamp"), F.lit("1970-01-01 00:02:00").cast("timestamp")
     rows = frame.select(
         timing.overdue(time, now, F.lit(60)), timing.due(time, now, F.lit(60)), timing.due(time, now, F.lit(0)),
-        timing.unhealthy(F.lit(False), time, now, F.lit(60)), timing.unhealthy(F.lit(True), time, now, F.lit(60)),
-        timing.unhealthy(F.lit(None).cast("boolean"), time, now, F.lit(60)),
+        timing.unhealthy(F.lit(False), time, now, F.lit(60), F.lit(None)), timing.unhealthy(F.lit(True), time, now, F.lit(60), F.lit("Started")),
+        timing.unhealthy(F.lit(None).cast("boolean"), time, now, F.lit(60), F.lit("Started")),
+        timing.unhealthy(F.lit(False), time, now, F.lit(60), F.lit("Stopping")),
     ).collect()
     assert [tuple(r) for r in rows] == [
-        (False, True, False, False, False, False), (True, True, False, True, False, True), (True, True, False, True, False, True),
+        (False, True, False, False, False, False, False), (True, True, False, True, False, True, False),
+        (True, True, False, True, False, True, False),
     ]
 
 

@@ -30,14 +30,29 @@ RESOURCE_NAMES = {
 }
 
 
-def lookup(rows: DataFrame, resources: DataFrame, key: list[Column], name: str = "name", prefix: str = "resource_") -> DataFrame:
-    """Left join on a composed name: the concatenation of ``key`` equals ``resources.name``. Names are unique.
+#: Names are unique within a namespace only, so every operator here matches within one unless told otherwise.
+WITHIN = ("namespace",)
+
+
+def lookup(
+    rows: DataFrame,
+    resources: DataFrame,
+    key: list[Column],
+    name: str = "name",
+    prefix: str = "resource_",
+    within: tuple[str, ...] = WITHIN,
+) -> DataFrame:
+    """Left join on a composed name: the concatenation of ``key`` equals ``resources.name``, and the columns ``within`` are equal.
+    Names are unique within these columns.
 
     The resource's columns come back with ``prefix`` before their names.
     """
     renamed = resources.select([F.col(c).alias(prefix + c) for c in resources.columns])
     keyed = rows.withColumn("_key", F.concat(*key))
-    return keyed.join(renamed, F.col("_key") == F.col(prefix + name), "left").drop("_key")
+    condition = F.col("_key") == F.col(prefix + name)
+    for column in within:
+        condition = condition & (keyed[column] == F.col(prefix + column))
+    return keyed.join(renamed, condition, "left").drop("_key")
 
 
 def belongs_to(kind: str, cluster: str, name: str = "name") -> Column:
@@ -73,30 +88,33 @@ def with_name_prefixes(rows: DataFrame, name: str, alias: str) -> DataFrame:
 
 
 def prefix_join(
-    jobs: DataFrame, clusters: DataFrame, match: str = "all", within: tuple[str, ...] = (), key: str = "name"
+    jobs: DataFrame, clusters: DataFrame, match: str = "all", within: tuple[str, ...] = WITHIN, key: str = "name"
 ) -> DataFrame:
     """Jobs with the clusters whose name they start with: job columns, then cluster columns as ``cluster_*``.
 
     Cluster names may contain '-', so a job can belong to several: ``match="all"`` keeps every pair, ``match="longest"``
-    the one with the longest cluster name. ``within`` lists columns that must also be equal on both sides. Job names are
-    unique (within those columns).
+    the one with the longest cluster name: the longest length is a hash aggregate over names alone, by which the name is
+    then cut. ``within`` lists columns that must also be equal on both sides. Job names are unique (within those columns).
     """
     if match not in ("all", "longest"):
         raise ValueError(f"match must be 'all' or 'longest', not {match!r}")
     renamed = clusters.select([F.col(c).alias(f"cluster_{c}") for c in clusters.columns])
-    exploded = with_name_prefixes(jobs, key, "_prefix")
+    if match == "longest":
+        prefixes = with_name_prefixes(jobs.select(key, *within), key, "_prefix")
+        parents = clusters.select(F.col(key).alias("_prefix"), *within)
+        owned = prefixes.join(parents, ["_prefix", *within], "left_semi")
+        longest = owned.groupBy(key, *within).agg(F.max(F.length("_prefix")).alias("_length"))
+        named = jobs.join(longest, [key, *within]).withColumn("_prefix", F.substring(key, F.lit(1), F.col("_length"))).drop("_length")
+        named = named.select(*jobs.columns, "_prefix")
+    else:
+        named = with_name_prefixes(jobs, key, "_prefix")
     condition = F.col("_prefix") == F.col(f"cluster_{key}")
     for column in within:
-        condition = condition & (exploded[column] == F.col(f"cluster_{column}"))
-    pairs = exploded.join(renamed, condition).drop("_prefix")
-    if match == "all":
-        return pairs
-    payload = F.struct(*[c for c in pairs.columns if c != key and c not in within])
-    best = pairs.groupBy(key, *within).agg(F.max_by(payload, F.length(f"cluster_{key}")).alias("_best"))
-    return best.select(*[c if c == key or c in within else F.col("_best")[c].alias(c) for c in pairs.columns])
+        condition = condition & (named[column] == F.col(f"cluster_{column}"))
+    return named.join(renamed, condition).drop("_prefix")
 
 
-def orphans(jobs: DataFrame, clusters: DataFrame, within: tuple[str, ...] = (), key: str = "name") -> DataFrame:
+def orphans(jobs: DataFrame, clusters: DataFrame, within: tuple[str, ...] = WITHIN, key: str = "name") -> DataFrame:
     """Jobs without any cluster whose name they start with. Job names are unique (within those columns)."""
     parents = clusters.select(F.col(key).alias("_prefix"), *within)
     exploded = with_name_prefixes(jobs.select(key, *within), key, "_prefix")
@@ -104,7 +122,7 @@ def orphans(jobs: DataFrame, clusters: DataFrame, within: tuple[str, ...] = (),
     return jobs.join(owned, [key, *within], "left_anti")
 
 
-def slots_and_jobs_by_prefix(jobs: DataFrame, required: Column, within: tuple[str, ...] = ()) -> DataFrame:
+def slots_and_jobs_by_prefix(jobs: DataFrame, required: Column, within: tuple[str, ...] = WITHIN) -> DataFrame:
     """``cluster_name, required_slots, n_jobs`` for every name that could be a cluster of some job.
 
     Summing before the join keeps a cluster with very many jobs from becoming a skewed join key: partial sums are built
@@ -127,7 +145,7 @@ def with_status(jobs: DataFrame, statuses: set[str] | tuple[str, ...] = (), stat
     return jobs.where(F.col(status).isin(*sorted(statuses))) if statuses else jobs
 
 
-def job_listing(jobs: DataFrame, clusters: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+def job_listing(jobs: DataFrame, clusters: DataFrame, within: tuple[str, ...] = WITHIN) -> DataFrame:
     """``cluster_name, job_name``: every cluster's jobs with the cluster's name and the '-' cut off."""
     pairs = prefix_join(jobs.select("name", *within), clusters.select("name", *within), within=within)
     short = F.substring("name", F.length("cluster_name") + 2, F.length("name"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winfleet.functions.settings import or_default_if_blank
-from winfleet.operators.joins import slots_and_jobs_by_prefix
+from winfleet.operators.joins import WITHIN, slots_and_jobs_by_prefix
 
 # Supervisor statuses of jobs and clusters, the statuses in which a job occupies slots (as its cluster and as
 # the job itself see it), those in which it is between two states, and those in which it rests.
@@ -34,7 +34,7 @@ def required_slots(
     status: str = "supervisor_status",
     parallelism: str = "parallelism",
     active: tuple[str, ...] = ACTIVE_FOR_CLUSTER,
-    within: tuple[str, ...] = (),
+    within: tuple[str, ...] = WITHIN,
 ) -> DataFrame:
     """Clusters with ``required_slots`` and ``n_jobs`` of the jobs whose names they prefix, 0 where there are none."""
     needed = slots_needed(F.col(status), F.col(parallelism), active)
@@ -82,15 +82,17 @@ def parallelism_changed(current: Column, declared: Column, low: Column, high: Co
     return clamp(current, low, high) != clamp(declared, low, high)
 
 
-def pod_counts(pods: DataFrame, clusters: DataFrame, prefix: str = "taskmanager-") -> DataFrame:
-    """Clusters with ``replicas``, the number of pods named ``<prefix><cluster>-...``."""
+def pod_counts(
+    pods: DataFrame, clusters: DataFrame, prefix: str = "taskmanager-", within: tuple[str, ...] = WITHIN
+) -> DataFrame:
+    """Clusters with ``replicas``, the number of pods named ``<prefix><cluster>-...`` in the same namespace."""
     named = pods.where(F.col("name").startswith(prefix)).select(
-        F.substring("name", F.lit(len(prefix) + 1), F.length("name")).alias("name")
+        F.substring("name", F.lit(len(prefix) + 1), F.length("name")).alias("name"), *within
     )
-    counts = slots_and_jobs_by_prefix(named, F.lit(0)).select(
-        F.col("cluster_name").alias("name"), F.col("n_jobs").alias("replicas")
+    counts = slots_and_jobs_by_prefix(named, F.lit(0), within).select(
+        F.col("cluster_name").alias("name"), *within, F.col("n_jobs").alias("replicas")
     )
-    return clusters.join(counts, "name", "left").na.fill(0, ["replicas"])
+    return clusters.join(counts, ["name", *within], "left").na.fill(0, ["replicas"])
 
 
 def total_capacity(clusters: DataFrame, replicas: str = "replicas", slots: str = "task_slots") -> DataFrame:

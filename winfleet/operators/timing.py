@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from winfleet.functions.settings import STATUS_DEFAULTS, or_default_if_blank
 from winfleet.functions.times import seconds_since
 
-# Words of the restart policy and of a failed job.
+# Words of the restart policy, of a failed job, and of clusters that are not looked after.
 ALWAYS, ONLY_IF_FAILED, FAILED = "Always", "OnlyIfFailed", "FAILED"
+HALTED = ("Stopping", "Stopped")
 
 
 def overdue(time: Column, now: Column, limit: Column) -> Column:
@@ -17,9 +18,10 @@ def overdue(time: Column, now: Column, limit: Column) -> Column:
     return seconds_since(time, now) > limit
 
 
-def unhealthy(healthy: Column, time: Column, now: Column, limit: Column) -> Column:
-    """Not known to be healthy, and without an update for longer than the limit."""
-    return ~F.coalesce(healthy, F.lit(False)) & overdue(time, now, limit)
+def unhealthy(healthy: Column, time: Column, now: Column, limit: Column, status: Column) -> Column:
+    """Not known to be healthy, and without an update for longer than the limit. A cluster that stops or is stopped never is."""
+    halted = F.coalesce(status, F.lit("")).isin(*HALTED)
+    return ~halted & ~F.coalesce(healthy, F.lit(False)) & overdue(time, now, limit)
 
 
 def due(time: Column, now: Column, interval: Column) -> Column:

@@ -150,16 +150,16 @@ def _annotation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "composed_key_lookup",
     with_views(
-        "SELECT j.uid, j.name, b.created AS resource_created FROM fleet_jobs j "
-        "LEFT JOIN bootstraps b ON b.name = 'bootstrap-' || j.name",
+        "SELECT j.uid, j.namespace, j.name, b.created AS resource_created FROM fleet_jobs j LEFT JOIN bootstraps b "
+        "ON b.present AND b.namespace = j.namespace AND b.name = 'bootstrap-' || j.name",
         "fleet_jobs",
         "bootstraps",
     ),
 )
 def _composed_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs, bootstraps = view(spark, sf_dir, "fleet_jobs"), view(spark, sf_dir, "bootstraps")
-    found = joins.lookup(jobs, bootstraps.select("name", "created"), [F.lit("bootstrap-"), F.col("name")])
-    return found.select("uid", "name", "resource_created")
+    jobs, bootstraps = view(spark, sf_dir, "fleet_jobs"), view(spark, sf_dir, "bootstraps").where("present")
+    found = joins.lookup(jobs, bootstraps.select("namespace", "name", "created"), [F.lit("bootstrap-"), F.col("name")])
+    return found.select("uid", "namespace", "name", "resource_created")
 
 
 _KINDS = ("job", "bootstrap_job", "jobmanager_pod", "taskmanager_pod")
@@ -180,33 +180,35 @@ def _resource_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("kind", "uid", "name")
 
 
-_PAIRS = "FROM fleet_jobs j JOIN fleet_clusters c ON starts_with(j.name, c.name || '-')"
+_PAIRS = "FROM fleet_jobs j JOIN fleet_clusters c ON j.namespace = c.namespace AND starts_with(j.name, c.name || '-')"
 
 
-@query("prefix_join_all", with_views(f"SELECT j.name, c.name AS cluster_name {_PAIRS}", "fleet_jobs", "fleet_clusters"))
+@query("prefix_join_all", with_views(f"SELECT j.namespace, j.name, c.name AS cluster_name {_PAIRS}", "fleet_jobs", "fleet_clusters"))
 def _prefix_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs, clusters = view(spark, sf_dir, "fleet_jobs"), view(spark, sf_dir, "fleet_clusters")
-    return joins.prefix_join(jobs.select("name"), clusters.select("name"))
+    pairs = joins.prefix_join(jobs.select("namespace", "name"), clusters.select("namespace", "name"))
+    return pairs.select("namespace", "name", "cluster_name")
 
 
 @query(
     "prefix_join_longest",
     with_views(
-        f"SELECT j.name, j.uid, arg_max(c.name, length(c.name)) AS cluster_name {_PAIRS} GROUP BY j.name, j.uid",
+        f"SELECT j.namespace, j.name, j.uid, arg_max(c.name, length(c.name)) AS cluster_name {_PAIRS} GROUP BY ALL",
         "fleet_jobs",
         "fleet_clusters",
     ),
 )
 def _prefix_join_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs, clusters = view(spark, sf_dir, "fleet_jobs"), view(spark, sf_dir, "fleet_clusters")
-    return joins.prefix_join(jobs.select("name", "uid"), clusters.select("name"), match="longest")
+    pairs = joins.prefix_join(jobs.select("namespace", "name", "uid"), clusters.select("namespace", "name"), match="longest")
+    return pairs.select("namespace", "name", "uid", "cluster_name")
 
 
 @query(
     "orphan_jobs",
     with_views(
         "SELECT uid, name FROM fleet_jobs j WHERE NOT EXISTS "
-        "(SELECT 1 FROM fleet_clusters c WHERE starts_with(j.name, c.name || '-'))",
+        "(SELECT 1 FROM fleet_clusters c WHERE c.namespace = j.namespace AND starts_with(j.name, c.name || '-'))",
         "fleet_jobs",
         "fleet_clusters",
     ),
@@ -219,7 +221,7 @@ def _orphan_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "cluster_job_listing",
     with_views(
-        f"SELECT c.name AS cluster_name, substr(j.name, length(c.name) + 2) AS job_name {_PAIRS}",
+        f"SELECT c.namespace, c.name AS cluster_name, substr(j.name, length(c.name) + 2) AS job_name {_PAIRS}",
         "fleet_jobs",
         "fleet_clusters",
     ),
@@ -232,13 +234,13 @@ def _cluster_job_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     "unmanaged_running",
     with_views(
         "SELECT job_id, job_status FROM cluster_jobs WHERE job_status NOT IN ('FAILED', 'FINISHED', 'CANCELED') "
-        "AND job_id NOT IN (SELECT job_id FROM managed_jobs)",
+        "AND job_id NOT IN (SELECT job_id FROM managed_jobs WHERE present)",
         "cluster_jobs",
         "managed_jobs",
     ),
 )
 def _unmanaged_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    running, managed = view(spark, sf_dir, "cluster_jobs"), view(spark, sf_dir, "managed_jobs")
+    running, managed = view(spark, sf_dir, "cluster_jobs"), view(spark, sf_dir, "managed_jobs").where("present")
     return joins.unmanaged_running(running, managed).select("job_id", "job_status")
 
 
@@ -281,13 +283,13 @@ def _idle_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'DELETE' WHEN b.id IS NULL THEN 'CREATE' "
         "WHEN a.bootstrap IS DISTINCT FROM b.bootstrap OR a.savepoint IS DISTINCT FROM b.savepoint "
         "OR a.restart IS DISTINCT FROM b.restart THEN 'UPDATE' ELSE 'NONE' END AS action "
-        "FROM declared_specs a FULL JOIN deployed_specs b ON a.id = b.id",
+        "FROM (SELECT * FROM declared_specs WHERE present) a FULL JOIN (SELECT * FROM deployed_specs WHERE present) b ON a.id = b.id",
         "declared_specs",
         "deployed_specs",
     ),
 )
 def _spec_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    declared, deployed = view(spark, sf_dir, "declared_specs"), view(spark, sf_dir, "deployed_specs")
+    declared, deployed = (view(spark, sf_dir, name).where("present") for name in ("declared_specs", "deployed_specs"))
     return diff.spec_diff(declared, deployed, ["id"], ["bootstrap", "savepoint"], ["restart"])
 
 
@@ -312,18 +314,20 @@ def _spec_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN b.id IS NULL OR a.savepoint IS DISTINCT FROM b.savepoint THEN 'TASK_MANAGER' END, "
         "CASE WHEN b.id IS NULL OR a.restart IS DISTINCT FROM b.restart THEN 'RUNTIME' END) AS changes, "
         "b.id IS NULL OR a.bootstrap IS DISTINCT FROM b.bootstrap OR a.savepoint IS DISTINCT FROM b.savepoint "
-        "OR a.restart IS DISTINCT FROM b.restart AS recreate FROM declared_specs a LEFT JOIN deployed_specs b ON a.id = b.id",
+        "OR a.restart IS DISTINCT FROM b.restart AS recreate FROM declared_specs a LEFT JOIN "
+        "(SELECT * FROM deployed_specs WHERE present) b ON a.id = b.id",
         "declared_specs",
         "deployed_specs",
     ),
 )
 def _changed_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = dict(zip(diff.CLUSTER_COMPONENTS, ("bootstrap", "savepoint", "restart")))
-    deployed = view(spark, sf_dir, "deployed_specs")
-    stored = deployed.select("id", *[spec_digest(F.struct(c)).alias(name) for name, c in parts.items()])
-    both = view(spark, sf_dir, "declared_specs").join(stored, "id", "left")
-    changes = diff.component_changes({name: F.struct(c) for name, c in parts.items()}, {name: F.col(name) for name in parts})
-    changed = both.select("id", changes.alias("names"))
+    digests = {name: spec_digest(F.struct(c)) for name, c in parts.items()}
+    deployed = view(spark, sf_dir, "deployed_specs").where("present")
+    stored = deployed.select("id", *[digest.alias(f"stored_{name}") for name, digest in digests.items()])
+    current = view(spark, sf_dir, "declared_specs").select("id", *[digest.alias(name) for name, digest in digests.items()])
+    changes = diff.digest_changes({name: F.col(name) for name in parts}, {name: F.col(f"stored_{name}") for name in parts})
+    changed = current.join(stored, "id", "left").select("id", changes.alias("names"))
     return changed.select("id", F.concat_ws(",", "names").alias("changes"), diff.must_recreate(F.col("names")).alias("recreate"))
 
 
@@ -373,9 +377,8 @@ def _stream_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_status_changes(spark, path, log.schema)
 
 
-def _illegal_sql(allowed: dict[str, set[str]], always: set[str]) -> str:
-    pairs = [(a, b) for a in sorted(allowed) for b in sorted(allowed[a])] + [(a, b) for a in rollups.STATUSES for b in sorted(always)]
-    values = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+def _illegal_sql(pairs: str) -> str:
+    values = ", ".join("('{}', '{}')".format(*pair.split(">")) for pair in pairs.split())
     return with_views(
         f"WITH p AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, seq) AS ps FROM status_log), "
         f"allowed(a, b) AS (VALUES {values}) SELECT seq, ts, user_id, status, ps AS previous_status FROM p "
@@ -384,31 +387,52 @@ def _illegal_sql(allowed: dict[str, set[str]], always: set[str]) -> str:
     )
 
 
-def _illegal(name: str, allowed: dict[str, set[str]], always: set[str]) -> None:
-    @query(name, _illegal_sql(allowed, always))
+def _illegal(name: str, allowed: dict[str, set[str]], always: set[str], pairs: str) -> None:
+    @query(name, _illegal_sql(pairs))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return state.illegal_transitions(view(spark, sf_dir, "status_log"), "user_id", allowed, always)
 
 
-_illegal("illegal_transitions", state.JOB_TRANSITIONS, state.JOB_FALLBACK)
-_illegal("illegal_transitions_drawn", state.JOB_TRANSITIONS_DRAWN, set())
-_illegal("illegal_cluster_transitions", state.CLUSTER_TRANSITIONS, set())
-_illegal("illegal_cluster_transitions_drawn", state.CLUSTER_TRANSITIONS_DRAWN, set())
+# Fixed values, written out apart from the operator's own tables so that SQL and operator check each other.
+_illegal(
+    "illegal_transitions", state.JOB_TRANSITIONS, state.JOB_FALLBACK,
+    "Unknown>Starting Unknown>Terminated Starting>Started Starting>Stopping Starting>Stopped Started>Stopping Started>Stopped "
+    "Stopping>Stopped Stopping>Starting Stopping>Terminated Stopped>Stopping Stopped>Starting Stopped>Started "
+    "Starting>Unknown Started>Unknown Stopping>Unknown Stopped>Unknown Terminated>Unknown",
+)
+_illegal(
+    "illegal_transitions_drawn", state.JOB_TRANSITIONS_DRAWN, set(),
+    "Unknown>Starting Unknown>Terminated Starting>Started Starting>Stopping Starting>Stopped Started>Stopping "
+    "Stopping>Stopped Stopping>Starting Stopping>Terminated Stopped>Stopping Stopped>Starting Stopped>Started",
+)
+_illegal(
+    "illegal_cluster_transitions", state.CLUSTER_TRANSITIONS, set(),
+    "Unknown>Starting Unknown>Terminated Starting>Started Starting>Stopping Started>Stopping "
+    "Stopping>Stopped Stopping>Starting Stopping>Terminated Stopped>Stopping",
+)
+_illegal(
+    "illegal_cluster_transitions_drawn", state.CLUSTER_TRANSITIONS_DRAWN, set(),
+    "Unknown>Starting Unknown>Terminated Starting>Started Starting>Stopping Started>Stopping "
+    "Stopping>Stopped Stopping>Starting Stopping>Terminated Stopped>Starting Stopped>Stopping",
+)
 
 
 # ---- roll-ups -----------------------------------------------------------------------------------------------------------
 
 _SLOTS = (
-    "SELECT c.name, CAST(coalesce(sum(CASE WHEN j.supervisor_status IN ('Stopping', 'Starting', 'Started') "
+    "SELECT c.namespace, c.name, CAST(coalesce(sum(CASE WHEN j.supervisor_status IN ('Stopping', 'Starting', 'Started') "
     "THEN coalesce(j.parallelism, 0) ELSE 0 END), 0) AS BIGINT) AS required_slots, count(j.name) AS n_jobs "
-    "FROM fleet_clusters c LEFT JOIN fleet_jobs j ON starts_with(j.name, c.name || '-') GROUP BY c.name"
+    "FROM fleet_clusters c LEFT JOIN fleet_jobs j ON j.namespace = c.namespace AND starts_with(j.name, c.name || '-') "
+    "GROUP BY c.namespace, c.name"
 )
 
 
 @query("required_slots", with_views(_SLOTS, "fleet_jobs", "fleet_clusters"))
 def _required_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs, clusters = view(spark, sf_dir, "fleet_jobs"), view(spark, sf_dir, "fleet_clusters")
-    return rollups.required_slots(jobs, clusters.select("name")).select("name", "required_slots", "n_jobs")
+    return rollups.required_slots(jobs, clusters.select("namespace", "name")).select(
+        "namespace", "name", "required_slots", "n_jobs"
+    )
 
 
 def _clamped(value: str) -> str:
@@ -419,7 +443,7 @@ def _workers_sql(computed: str) -> str:
     return (
         f"WITH slots AS ({_SLOTS}), workers_ AS (SELECT c.*, s.required_slots, s.n_jobs, {_clamped('task_managers')} AS "
         f"declared_workers, CASE WHEN rescale_policy = 'None' OR n_jobs = 0 THEN {_clamped('task_managers')} "
-        f"ELSE {_clamped(computed)} END AS required_workers FROM fleet_clusters c JOIN slots s ON c.name = s.name)"
+        f"ELSE {_clamped(computed)} END AS required_workers FROM fleet_clusters c JOIN slots s ON c.namespace = s.namespace AND c.name = s.name)"
     )
 
 
@@ -434,34 +458,34 @@ def _with_workers(spark: SparkSession, sf_dir: str, rounding: str = "half_up") -
 
 def _workers_query(name: str, rounding: str, computed: str) -> None:
     sql = with_views(
-        f"{_workers_sql(computed)} SELECT name, declared_workers, required_workers FROM workers_", "fleet_jobs", "fleet_clusters"
+        f"{_workers_sql(computed)} SELECT namespace, name, declared_workers, required_workers FROM workers_", "fleet_jobs", "fleet_clusters"
     )
 
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _with_workers(spark, sf_dir, rounding).select("name", "declared_workers", "required_workers")
+        return _with_workers(spark, sf_dir, rounding).select("namespace", "name", "declared_workers", "required_workers")
 
 
 _workers_query("required_workers", "half_up", _HALF_UP)
 _workers_query("required_workers_ceil", "ceil", _CEIL)
 
 _REPLICAS = (
-    "SELECT c.name, c.task_slots, count(p.name) AS replicas FROM fleet_clusters c LEFT JOIN fleet_pods p "
-    "ON starts_with(p.name, 'taskmanager-' || c.name || '-') GROUP BY c.name, c.task_slots"
+    "SELECT c.namespace, c.name, c.task_slots, count(p.name) AS replicas FROM fleet_clusters c LEFT JOIN fleet_pods p "
+    "ON p.namespace = c.namespace AND starts_with(p.name, 'taskmanager-' || c.name || '-') GROUP BY ALL"
 )
 
 
 @query(
     "total_capacity",
     with_views(
-        f"WITH r AS ({_REPLICAS}) SELECT name, replicas, replicas * coalesce(task_slots, 1) AS total_slots FROM r",
+        f"WITH r AS ({_REPLICAS}) SELECT namespace, name, replicas, replicas * coalesce(task_slots, 1) AS total_slots FROM r",
         "fleet_pods",
         "fleet_clusters",
     ),
 )
 def _total_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = rollups.pod_counts(view(spark, sf_dir, "fleet_pods"), view(spark, sf_dir, "fleet_clusters"))
-    return rollups.total_capacity(counted).select("name", "replicas", "total_slots")
+    return rollups.total_capacity(counted).select("namespace", "name", "replicas", "total_slots")
 
 
 @query(
@@ -469,7 +493,7 @@ def _total_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_views(
         f"{_workers_sql(_HALF_UP)}, r AS ({_REPLICAS}), e AS (SELECT w.*, r.replicas, "
         "(epoch_ms(TIMESTAMP '2024-01-01 00:01:00') - coalesce(epoch_ms(rescale_ts), 0)) // 1000 AS since "
-        "FROM workers_ w JOIN r ON w.name = r.name) SELECT name, required_workers, replicas, "
+        "FROM workers_ w JOIN r ON w.namespace = r.namespace AND w.name = r.name) SELECT namespace, name, required_workers, replicas, "
         "CASE WHEN required_workers = replicas THEN 'NONE' WHEN required_workers > replicas THEN 'CREATE' "
         "WHEN since > coalesce(rescale_delay, 60) THEN 'REMOVE_IDLE' ELSE 'WAIT' END AS action, "
         "CAST(abs(required_workers - replicas) AS BIGINT) AS n FROM e",
@@ -482,7 +506,7 @@ def _rescale_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = rollups.pod_counts(view(spark, sf_dir, "fleet_pods"), _with_workers(spark, sf_dir))
     since = seconds_since(F.col("rescale_ts"), F.lit("2024-01-01 00:01:00"))
     planned = rollups.rescale_plan(counted, since, F.coalesce("rescale_delay", F.lit(60)))
-    return planned.select("name", "required_workers", "replicas", "action", "n")
+    return planned.select("namespace", "name", "required_workers", "replicas", "action", "n")
 
 
 @query(
@@ -498,6 +522,24 @@ def _status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.status_counts(view(spark, sf_dir, "fleet_jobs"), "supervisor_status")
 
 
+def _status_counts_within(name: str, rows: str) -> None:
+    sql = with_views(
+        "WITH d(status) AS (VALUES ('Unknown'), ('Starting'), ('Started'), ('Stopping'), ('Stopped'), ('Terminated')), "
+        f"ns AS (SELECT DISTINCT namespace FROM {rows}) SELECT ns.namespace, d.status, count(j.uid) AS n FROM ns CROSS JOIN d "
+        f"LEFT JOIN {rows} j ON j.namespace = ns.namespace AND coalesce(nullif(trim(j.supervisor_status), ''), 'Unknown') = d.status "
+        "GROUP BY ns.namespace, d.status",
+        rows,
+    )
+
+    @query(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rollups.status_counts(view(spark, sf_dir, rows), "supervisor_status", by=("namespace",))
+
+
+_status_counts_within("job_status_counts", "fleet_jobs")
+_status_counts_within("cluster_status_counts", "fleet_clusters")
+
+
 _METRICS = [
     rollups.Metric("views", "view", "double"),
     rollups.Metric("clicks", "click", "decimal(18,2)"),
@@ -526,14 +568,24 @@ def _metrics_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.metrics_wide(view(spark, sf_dir, "metric_log"), ["entity"], _METRICS)
 
 
+def _record_query(name: str, view_name: str, metrics: list[rollups.Metric]) -> None:
+    @query(name, with_views(f"SELECT entity, {', '.join(_metric_sql(m) for m in metrics)} FROM {view_name} GROUP BY entity", view_name))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rollups.metrics_wide(view(spark, sf_dir, view_name), ["entity"], metrics)
+
+
+_record_query("job_metrics", "job_metric_log", rollups.JOB_METRICS)
+_record_query("process_metrics", "process_metric_log", rollups.PROCESS_METRICS)
+
+
 @query(
     "group_readiness",
     with_views(
-        "SELECT c.name, coalesce(bool_and(coalesce(resource_status, '') = 'Updated' AND "
-        "coalesce(supervisor_status, '') NOT IN ('Starting', 'Stopping')) FILTER (WHERE j.uid IS NOT NULL), true) AS all_ready, "
-        "coalesce(bool_and(coalesce(supervisor_status, '') IN ('Stopped', 'Terminated')) FILTER (WHERE j.uid IS NOT NULL), true) "
+        "SELECT c.namespace, c.name, coalesce(bool_and(coalesce(resource_status, '') = 'Updated' AND "
+        "coalesce(j.supervisor_status, '') NOT IN ('Starting', 'Stopping')) FILTER (WHERE j.uid IS NOT NULL), true) AS all_ready, "
+        "coalesce(bool_and(coalesce(j.supervisor_status, '') IN ('Stopped', 'Terminated')) FILTER (WHERE j.uid IS NOT NULL), true) "
         "AS all_resting, coalesce(bool_or(held), false) AS any_finalizer FROM fleet_clusters c "
-        "LEFT JOIN fleet_jobs j ON starts_with(j.name, c.name || '-') GROUP BY c.name",
+        "LEFT JOIN fleet_jobs j ON j.namespace = c.namespace AND starts_with(j.name, c.name || '-') GROUP BY c.namespace, c.name",
         "fleet_jobs",
         "fleet_clusters",
     ),
@@ -541,8 +593,8 @@ def _metrics_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _group_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = view(spark, sf_dir, "fleet_jobs").withColumn("finalizers", F.when(F.col("held"), F.array(F.lit(FINALIZER))))
     by_name = joins.with_name_prefixes(jobs, "name", "cluster_name")
-    readiness = rollups.group_readiness(by_name, ["cluster_name"], FINALIZER).withColumnRenamed("cluster_name", "name")
-    return rollups.readiness_of(view(spark, sf_dir, "fleet_clusters").select("name"), readiness, ["name"])
+    readiness = rollups.group_readiness(by_name, ["namespace", "cluster_name"], FINALIZER).withColumnRenamed("cluster_name", "name")
+    return rollups.readiness_of(view(spark, sf_dir, "fleet_clusters").select("namespace", "name"), readiness, ["namespace", "name"])
 
 
 @query(
@@ -570,6 +622,21 @@ def _overdue_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return late.select("uid", seconds_since(F.col("status_ts"), now).alias("seconds"))
 
 
+@query(
+    "unhealthy_clusters",
+    with_views(
+        "SELECT uid FROM fleet_clusters WHERE coalesce(supervisor_status, '') NOT IN ('Stopping', 'Stopped') "
+        "AND NOT coalesce(healthy, false) "
+        "AND (epoch_ms(TIMESTAMP '2024-01-01 00:05:00') - coalesce(epoch_ms(rescale_ts), 0)) // 1000 > 180 + uid % 200",
+        "fleet_clusters",
+    ),
+)
+def _unhealthy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit = 180 + F.col("uid") % 200
+    ill = timing.unhealthy(F.col("healthy"), F.col("rescale_ts"), F.lit("2024-01-01 00:05:00"), limit, F.col("supervisor_status"))
+    return view(spark, sf_dir, "fleet_clusters").where(ill).select("uid")
+
+
 _YEAR = 365 * 86_400
 
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from winfleet.operators.rollups import JOB_METRICS, PROCESS_METRICS
 from winfleet.session import use_utc
 
 
@@ -31,19 +32,33 @@ def _name(k: str) -> str:
     )
 
 
-_JOB_NAME = f"{_name('(o_orderkey % 120)')} || '-j' || CAST(o_orderkey AS STRING)"
+# Two orders share a job name, in two namespaces; likewise suppliers share cluster names across namespaces.
+_HALF = "CAST((o_orderkey - o_orderkey % 2) / 2 AS BIGINT)"
+_JOB_NAME = f"{_name(f'({_HALF} % 120)')} || '-j' || CAST({_HALF} AS STRING)"
+_JOB_NAMESPACE = "'ns' || CAST(o_orderkey % 2 AS STRING)"
 _SUPERVISOR_STATUS = (
     "CASE o_orderpriority WHEN '1-URGENT' THEN 'Started' WHEN '2-HIGH' THEN 'Starting' WHEN '3-MEDIUM' THEN 'Stopped' "
     "WHEN '4-NOT SPECIFIED' THEN 'Stopping' ELSE NULL END"
 )
 
+
+def _metric_view(number: str, ids: list[str]) -> View:
+    """One metric per event; the last numbers name metrics that no record has."""
+    cases = " ".join(f"WHEN {i} THEN '{id}'" for i, id in enumerate(ids))
+    value = "CASE WHEN event_id % 97 = 0 THEN 'n/a' ELSE CAST(event_id % 100000 AS STRING) END"
+    return View("events", {"entity": "user_id", "id": f"CASE {number} {cases} ELSE 'other' END", "value": value, "seq": "event_id"})
+
+
 VIEWS = {
     "fleet_clusters": View(
         "supplier",
         {
             "uid": "s_suppkey",
-            "namespace": "'ns' || CAST(s_nationkey % 3 AS STRING)",
-            "name": _name("s_suppkey"),
+            "namespace": "'ns' || CAST(CAST((s_suppkey - s_suppkey % 60) / 60 AS BIGINT) AS STRING)",
+            "name": _name("(s_suppkey % 60)"),
+            "supervisor_status": "CASE s_suppkey % 5 WHEN 0 THEN 'Started' WHEN 1 THEN 'Stopping' WHEN 2 THEN 'Stopped' "
+            "WHEN 3 THEN ' ' ELSE NULL END",
+            "healthy": "CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey % 4 = 1 END",
             "task_slots": "CAST(1 + s_suppkey % 4 AS INT)",
             "task_managers": "CAST(s_suppkey % 5 AS INT)",
             "min_task_managers": "CAST(CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 1 END AS INT)",
@@ -58,6 +73,7 @@ VIEWS = {
         "orders",
         {
             "uid": "o_orderkey",
+            "namespace": _JOB_NAMESPACE,
             "name": _JOB_NAME,
             "supervisor_status": _SUPERVISOR_STATUS,
             "job_status": "CASE o_orderstatus WHEN 'F' THEN 'FINISHED' WHEN 'O' THEN 'RUNNING' ELSE 'FAILED' END",
@@ -71,7 +87,7 @@ VIEWS = {
     ),
     "fleet_pods": View(
         "customer",
-        {"uid": "c_custkey", "name": f"'taskmanager-' || {_name('(c_custkey % 120)')} || '-' || CAST(c_custkey AS STRING)"},
+        {"uid": "c_custkey", "namespace": "'ns' || CAST(c_nationkey % 3 AS STRING)", "name": f"'taskmanager-' || {_name('(c_custkey % 120)')} || '-' || CAST(c_custkey AS STRING)"},
     ),
     "resources": View(
         "orders",
@@ -84,8 +100,13 @@ VIEWS = {
     ),
     "bootstraps": View(
         "orders",
-        {"uid": "o_orderkey", "name": f"'bootstrap-' || {_JOB_NAME}", "created": "o_orderdate"},
-        "o_orderstatus <> 'F'",
+        {
+            "uid": "o_orderkey",
+            "namespace": _JOB_NAMESPACE,
+            "name": f"'bootstrap-' || {_JOB_NAME}",
+            "created": "o_orderdate",
+            "present": "o_orderstatus <> 'F'",
+        },
     ),
     "cluster_jobs": View(
         "orders",
@@ -95,7 +116,7 @@ VIEWS = {
             "WHEN '3-MEDIUM' THEN 'CANCELED' ELSE 'RUNNING' END",
         },
     ),
-    "managed_jobs": View("orders", {"job_id": "o_orderkey"}, "o_orderstatus = 'O'"),
+    "managed_jobs": View("orders", {"job_id": "o_orderkey", "present": "o_orderstatus = 'O'"}),
     "fleet_changes": View(
         "events",
         {
@@ -119,8 +140,7 @@ VIEWS = {
     ),
     "declared_specs": View(
         "part",
-        {"id": "p_partkey", "bootstrap": "p_brand", "savepoint": "p_type", "restart": "p_size"},
-        "p_partkey % 11 <> 0",
+        {"id": "p_partkey", "bootstrap": "p_brand", "savepoint": "p_type", "restart": "p_size", "present": "p_partkey % 11 <> 0"},
     ),
     "deployed_specs": View(
         "part",
@@ -129,8 +149,8 @@ VIEWS = {
             "bootstrap": "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END",
             "savepoint": "CASE WHEN p_partkey % 7 = 0 THEN 'CHANGED' ELSE p_type END",
             "restart": "p_size",
+            "present": "p_partkey % 13 <> 0",
         },
-        "p_partkey % 13 <> 0",
     ),
     "all_specs": View(
         "part",
@@ -179,6 +199,8 @@ VIEWS = {
             "seq": "event_id",
         },
     ),
+    "job_metric_log": _metric_view("event_id % 14", [metric.id for metric in JOB_METRICS]),
+    "process_metric_log": _metric_view("event_id % 27", [metric.id for metric in PROCESS_METRICS]),
     "artifacts": View("documents", {"name": "source", "id": "doc_id", "uploaded": "n_chars"}),
     "deployment_documents": View(
         "orders",
