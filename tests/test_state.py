@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from winfleet.operators import state
+from winfleet.plans import fleet_queries  # noqa: F401  (importing registers the queries)
+from winfleet.plans.registry import QUERIES
 
 START = datetime(2024, 1, 1)
 
@@ -122,6 +124,26 @@ def test_a_key_with_a_long_history_is_split_over_blocks(spark):
     assert "ReusedExchange" in plan and "_first" in plan
 
 
+@pytest.mark.parametrize("name", ["status_changes", "illegal_transitions", "illegal_cluster_transitions_drawn"])
+def test_registered_histories_scan_and_shuffle_the_log_once(spark, name):
+    from conftest import TESTDATA
+
+    changes = QUERIES[name](spark, f"{TESTDATA}/sf0.001")
+    changes.collect()
+    final = changes._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def test_scoped_resets_meet_one_row_per_key(spark, rows_of):
+    rows = [(1, "a", "x", "CHANGED"), (2, "a", None, "RESET"), (3, "b", "x", "CHANGED"), (4, "a", "y", "CHANGED"), (5, "b", "y", "CHANGED"),
+            (6, "b", "y", "DELETED"), (7, None, "x", "CHANGED")]
+    frame = spark.createDataFrame(rows, "seq int, kind string, name string, op string")
+    got = state.latest_state(frame, ["kind", "name"], scope=["kind"])
+    assert rows_of(got.select("seq", "kind", "name")) == sorted([(3, "b", "x"), (4, "a", "y"), (7, None, "x")], key=repr)
+    by_name = state.latest_state(frame, ["name"], scope=["kind"])
+    assert sorted(r.seq for r in by_name.collect()) == [7]
+
+
 def test_newest_per_name(spark, rows_of):
     rows = [("a", 1, 5), ("a", 2, 9), ("a", 3, 9), ("b", 4, 1)]
     frame = spark.createDataFrame(rows, "name string, id int, uploaded int")

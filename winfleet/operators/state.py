@@ -62,9 +62,14 @@ def latest_state(
     columns = [c for c in changes.columns if c not in key]
     resets = changes.where(F.col(op) == RESET)
     if scope:
+        # One row per key and scope is left before it meets its scope's last reset, so the log is never dealt by scope.
         last = resets.groupBy(*scope).agg(F.max(seq).alias("_reset"))
-        alive = changes.where(F.col(op) != RESET).join(last, scope, "left")
+        group = [*key, *[c for c in scope if c not in key]]
+        kept = [c for c in columns if c not in scope]
+        alive = latest_by(changes.where(F.col(op) != RESET), group, seq, kept).join(last, scope, "left")
         alive = alive.where(F.col("_reset").isNull() | (F.col(seq) > F.col("_reset"))).drop("_reset")
+        if len(group) == len(key):
+            return alive.where(F.col(op) != DELETED).select(*changes.columns)
     else:
         last = resets.select(F.coalesce(F.max(seq), F.lit(-(2**63))).alias("_reset"))
         alive = changes.where((F.col(op) != RESET) & (F.col(seq) > last.scalar()))
@@ -97,32 +102,36 @@ def newest_per_name(rows: DataFrame, name: str, uploaded: str, tie: str) -> Data
 
 
 def with_previous(
-    rows: DataFrame, key: str, time: str, seq: str, columns: list[str], block: str | None = "day"
+    rows: DataFrame, key: str, time: str, seq: str, columns: list[str], block: str | None = "hour"
 ) -> DataFrame:
     """Add ``previous``: a struct of ``columns`` of the key's row before this one in order of ``(time, seq)``, null at first.
 
     A plain lag would sort a key's whole history in one task. Here a key's history is cut at calendar units (``block``: hour,
     day, month, ...) and the lag runs per key and block, which leaves out the first row of each block. The row before that one
     is the last of the key's block before, so a second lag runs over the first and last rows of blocks alone: at most two per
-    key and unit of time, however many rows there are. Both parts start from the same shuffle, which Spark runs once.
+    key and unit of time, however many rows there are. Both parts start from the same scan and shuffle, which Spark runs once:
+    columns bear other names inside, because an alias that keeps a column's name is removed in one part and not in the other.
     ``block=None`` is the plain lag, for short histories. Keys are not null.
     """
-    order = [F.col(time), F.col(seq)]
-    whole = Window.partitionBy(key).orderBy(*order)
     if block is None:
+        whole = Window.partitionBy(key).orderBy(time, seq)
         return rows.select("*", F.lag(F.struct(*columns)).over(whole).alias("previous"))
     start = F.coalesce(F.unix_seconds(F.date_trunc(block, F.col(time))), F.lit(-(2**63)))
-    blocked = rows.withColumn("_block", start)
-    inside = Window.partitionBy(key, "_block").orderBy(*order)
+    blocked = rows.select(*[F.col(c).alias(f"_in_{c}") for c in rows.columns], start.alias("_block"))
+    order = [F.col(f"_in_{time}"), F.col(f"_in_{seq}")]
+    whole = Window.partitionBy(f"_in_{key}").orderBy(*order)
+    inside = Window.partitionBy(f"_in_{key}", "_block").orderBy(*order)
+    restored = [F.col(f"_in_{c}").alias(c) for c in rows.columns]
     first = F.lag(F.lit(False), 1, True).over(inside).alias("_first")
     last = F.lead(F.lit(False), 1, True).over(inside).alias("_last")
     # Lags of plain columns, put together afterwards: both parts then feed the same columns to their shuffle.
-    before = [F.lag(column).over(inside).alias(f"_before_{column}") for column in columns]
+    before = [F.lag(f"_in_{column}").over(inside).alias(f"_before_{column}") for column in columns]
     previous = F.struct(*[F.col(f"_before_{column}").alias(column) for column in columns])
-    inner = blocked.select("*", first, *before).where("NOT _first").select(*rows.columns, previous.alias("previous"))
+    inner = blocked.select("*", first, *before).where("NOT _first").select(*restored, previous.alias("previous"))
     edges = blocked.select("*", first, last).where("_first OR _last")
-    edges = edges.select("*", F.lag(F.struct(*columns)).over(whole).alias("previous")).where("_first")
-    return inner.unionAll(edges.select(*rows.columns, "previous"))
+    last_one = F.struct(*[F.col(f"_in_{column}").alias(column) for column in columns])
+    edges = edges.select("*", F.lag(last_one).over(whole).alias("previous")).where("_first")
+    return inner.unionAll(edges.select(*restored, "previous"))
 
 
 def status_changes(
@@ -132,7 +141,7 @@ def status_changes(
     seq: str = "seq",
     watched: tuple[str, ...] = ("status",),
     remembered: timedelta = REMEMBERED,
-    block: str | None = "day",
+    block: str | None = "hour",
 ) -> DataFrame:
     """Rows that tell something new: a key's first, one that differs from the key's previous row in a watched column, or one
     that follows it by more than ``remembered`` (every observation renews the memory)."""
@@ -152,7 +161,7 @@ def illegal_transitions(
     time: str = "ts",
     seq: str = "seq",
     status: str = "status",
-    block: str | None = "day",
+    block: str | None = "hour",
 ) -> DataFrame:
     """Changes of status that the table of allowed transitions does not have, with ``previous_status``.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,7 +80,8 @@ def start_status_changes(
     seq: str = "seq",
     watched: tuple[str, ...] = ("status",),
     remembered: timedelta = REMEMBERED,
-    block: str | None = "day",
+    lateness: timedelta = timedelta(hours=1),
+    block: str | None = "minute",
     interval: timedelta | None = None,
 ) -> StreamingQuery:
     """Write the status changes of a stream below ``path``, read with ``read_status_changes``.
@@ -89,7 +91,10 @@ def start_status_changes(
     takes those of the number before as rows that were seen already. It replaces its own folders, so a batch replayed after
     a failure changes nothing. Memory expires in event time, as in a table; when input arrives in order the stream's changes
     are the table's. A row older than its key's last one is compared with older rows of its own micro-batch only.
-    Folders of ``last`` before the newest are not read again.
+    A key is forgotten once its last row is older than the newest row of all by more than ``remembered`` and ``lateness``: while
+    no row comes later than that, its next row is a change in any case. So the state holds the keys of that span, not all keys
+    ever seen. Folders of ``last`` before the newest are not read again. Each micro-batch is computed once and kept while it is
+    written; ``block`` is short, because a micro-batch spans little time.
     """
     spark = rows.sparkSession
     known = list(dict.fromkeys([time, seq, *watched]))
@@ -100,10 +105,16 @@ def start_status_changes(
         if batch_id > 0:
             old = spark.read.schema(last_type).parquet(f"{path}/last/batch={batch_id - 1}")
             seen = seen.unionByName(old.withColumn("_old", F.lit(True)), allowMissingColumns=True)
-        changes = status_changes(seen, key, time, seq, watched, remembered, block).where("NOT _old").drop("_old")
-        changes.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
-        newest = seen.groupBy(key).agg(F.max(F.struct(*known)).alias("_last")).select(key, "_last.*")
-        newest.write.mode("overwrite").parquet(f"{path}/last/batch={batch_id}")
+        seen = seen.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            changes = status_changes(seen, key, time, seq, watched, remembered, block).where("NOT _old").drop("_old")
+            changes.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+            newest = seen.groupBy(key).agg(F.max(F.struct(*known)).alias("_last")).select(key, "_last.*")
+            oldest = seen.select(F.max(time) - F.lit(remembered + lateness)).scalar()
+            newest = newest.where(F.col(time).isNull() | (F.col(time) >= oldest))
+            newest.write.mode("overwrite").parquet(f"{path}/last/batch={batch_id}")
+        finally:
+            seen.unpersist()
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**every(interval)).start()
