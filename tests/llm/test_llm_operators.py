@@ -220,6 +220,36 @@ def test_near_documents(docs, nothing, texts):
     assert order_minhash.near_documents(nothing).collect() == []
 
 
+def test_near_documents_in_chains_and_large_groups(spark):
+    """Links between neighbours of a chain only, and many near copies of one text: tiles must not lose a link between blocks."""
+    rng = np.random.default_rng(21)
+    words = vocabulary(rng, 3000)
+    chain, copies = list(rng.choice(words, 150)), list(rng.choice(words, 150))
+    out = []
+    for k in range(30):
+        chain = chain.copy()
+        chain[(5 + 17 * k) % 150] = f"new{k}"
+        chain[(80 + 17 * k) % 150] = f"newer{k}"
+        out.append(" ".join(chain))
+    for k in range(30):
+        near = copies.copy()
+        near[5 + 4 * k] = f"own{k}"
+        near[149 - 4 * k] = f"other{k}"
+        out.append(" ".join(near))
+    order = rng.permutation(len(out)).tolist()
+    rows = [(i, out[k]) for i, k in enumerate(order)]
+    sets = []
+    for _, text in rows:
+        t = text.split()
+        sets.append({tuple(t[i : i + 5]) for i in range(len(t) - 4)})
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    root = united(len(rows), pairs)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = rows_of(order_minhash.near_documents(frame, block_docs=4).select("doc_id", "class_id"))
+    assert got == [(i, root[i]) for i in range(len(rows))]
+    assert 2 <= len(set(root)) < 20
+
+
 def test_rearranged_text_is_no_near_copy():
     rng = np.random.default_rng(8)
     names = rng.integers(0, 2**63, 200, dtype=np.uint64)

@@ -2,10 +2,11 @@
 
 The words of a text give five-word shingles, each labelled with its occurrence. A sketch takes, for one hash function, the few
 labelled shingles with the smallest hashes and keeps them in text order, so that it stays the same under small edits but not when
-the text is rearranged. Documents that share a sketch are candidates; candidates form clusters. Inside a cluster all pairs are
-compared in tiles of a bounded number of documents: one matrix product gives the shingles in common of all pairs of a tile, and
-pairs that reach the threshold are aligned in a band as wide as the threshold allows. Shingles count as common only where the
-alignment matches them. Equal texts are one document in all of this.
+the text is rearranged. Documents that share a sketch are candidates; candidates form clusters. A cluster is compared in tiles
+of a bounded number of documents: one matrix product gives the shingles in common of all pairs of a tile, and pairs that reach the
+threshold are aligned in a band as wide as the threshold allows. Shingles count as common only where the alignment matches them.
+Tiles hold a block of the cluster and its centre; only texts that are then still apart from the centre's class meet the other
+blocks, so a large group of near copies is not compared pair by pair. Equal texts are one document in all of this.
 """
 
 from __future__ import annotations
@@ -185,11 +186,30 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block_docs).alias("blocks"))
     placed = clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     placed = written(placed.join(texts.select("rep", "digest", "first_id"), "rep"), "omh-places")
-    own = keyed.where(likely_in(placed, "digest")("digest")).join(placed, "digest").where("doc_id <=> first_id").dropDuplicates(["rep"])
-    own = own.select("rep", "cluster", "block", "blocks", "text", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other"))
-    tiles = own.select("rep", "cluster", "block", "text", F.least("block", "other").alias("left_block"), F.greatest("block", "other").alias("right_block"))
-    links = tiles.groupBy("cluster", "left_block", "right_block").applyInPandas(_tile(threshold), "a long, b long")
-    classes = components(written(links, "omh-links"), "omh-classes").withColumnRenamed("node", "rep")
+
+    def linked(tiles: DataFrame, name: str) -> DataFrame:
+        return written(tiles.groupBy("cluster", "left_block", "right_block").applyInPandas(_tile(threshold), "a long, b long"), name)
+
+    def with_text(chosen: DataFrame) -> DataFrame:
+        return keyed.where(likely_in(chosen, "digest")("digest")).join(chosen, "digest").where("doc_id <=> first_id").dropDuplicates(["rep"])
+
+    # Each block by itself first, with the centre of its cluster: near copies of one text find each other without meeting in pairs.
+    everywhere = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
+    own = with_text(placed).select("rep", "cluster", "text", F.explode(F.when(F.col("rep") == F.col("cluster"), everywhere).otherwise(F.array("block"))).alias("block"))
+    links = linked(own.select("rep", "cluster", "text", "block", F.col("block").alias("left_block"), F.col("block").alias("right_block")), "omh-links")
+    classes = components(links, "omh-classes").withColumnRenamed("node", "rep")
+    # In a cluster of several blocks, texts apart from the centre's class then meet all others; texts inside it need not meet again.
+    apart = placed.where("blocks > 1").join(classes, "rep", "left").withColumn("apart", F.coalesce("component", "rep") != F.col("cluster"))
+    apart = written(apart.select("rep", "digest", "first_id", "cluster", "apart"), "omh-apart")
+    n_blocks = lambda of: F.ceil(F.sum(of.cast("long")) / block_docs).cast("int")
+    again = apart.groupBy("cluster").agg(n_blocks(F.col("apart")).alias("loose"), n_blocks(~F.col("apart")).alias("bound")).where("loose > 0")
+    again = apart.join(again, "cluster")
+    block = F.when(F.col("apart"), F.pmod(F.xxhash64("rep"), "loose")).otherwise(F.col("loose") + F.pmod(F.xxhash64("rep"), "bound")).cast("int")
+    again = written(again.withColumn("block", block).withColumn("others", F.when(F.col("apart"), F.col("loose") + F.col("bound")).otherwise(F.col("loose"))), "omh-again")
+    if not again.isEmpty():
+        met = with_text(again).select("rep", "cluster", "block", "text", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
+        met = met.select("rep", "cluster", "block", "text", F.least("block", "other").alias("left_block"), F.greatest("block", "other").alias("right_block"))
+        classes = components(links.union(linked(met, "omh-more-links")), "omh-all-classes").withColumnRenamed("node", "rep")
     named = texts.select("rep", "digest", "first_id").join(classes, "rep", "left").withColumn("class", F.coalesce("component", "rep"))
     named = written(named.select("digest", "class"), "omh-named")
     members = members.select("row", "doc_id", "digest").join(named, "digest")
