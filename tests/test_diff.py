@@ -18,6 +18,14 @@ def test_spec_diff(spark, rows_of):
     assert got == [("limit", "UPDATE"), ("new", "CREATE"), ("nulls", "NONE"), ("old", "DELETE"), ("same", "NONE"), ("spec", "UPDATE")]
 
 
+def test_order_of_map_entries_is_no_change(spark, rows_of):
+    make = lambda text: spark.sql(f"SELECT 1 AS id, named_struct('notes', {text}, 'list', array(named_struct('m', {text}))) AS spec")
+    left, right = make("map('a', 'x', 'b', 'y')"), make("map('b', 'y', 'a', 'x')")
+    assert rows_of(spec_diff(left, right, ["id"], ["spec"])) == [(1, "NONE")]
+    assert rows_of(spec_diff(left, make("map('a', 'y', 'b', 'x')"), ["id"], ["spec"])) == [(1, "UPDATE")]
+    assert rows_of(spec_diff(left, make("CAST(NULL AS map<string,string>)"), ["id"], ["spec"])) == [(1, "UPDATE")]
+
+
 def test_a_value_moving_between_columns_is_a_change(spark, rows_of):
     left = spark.createDataFrame([(1, "x", None)], "id int, a string, b string")
     right = spark.createDataFrame([(1, None, "x")], "id int, a string, b string")

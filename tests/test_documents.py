@@ -46,10 +46,13 @@ def test_text_is_parsed_once(spark):
     assert parsed._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
 
 
-def test_unreadable_number_reads_as_null(spark):
-    row = parse_documents(bodies(spark, {"jobParallelism": "many", "restart": {"restartDelay": 5}}), "job_spec").first()
-    assert not row.rejected
-    assert row.resource.jobParallelism is None and row.resource.restart.restartDelay == 5
+def test_unreadable_number_rejects_the_document(spark):
+    documents = [{"jobParallelism": "many"}, {"restart": {"restartDelay": "soon"}}, {"restart": {"restartDelay": 5}}, {"restart": None}]
+    rows = parse_documents(bodies(spark, *documents), "job_spec").orderBy("id").collect()
+    assert [r.rejected for r in rows] == [True, True, False, False]
+    assert rows[2].resource.restart.restartDelay == 5
+    jobs = [{"spec": {"jobs": [{"name": "a", "spec": {"jobParallelism": p}}]}} for p in ("2", "x")]
+    assert [r.rejected for r in parse_documents(bodies(spark, *jobs), "deployment").orderBy("id").collect()] == [False, True]
 
 
 def test_last_duplicate_of_a_job_counts(spark):

@@ -37,7 +37,8 @@ def spec_diff(
 
 def _fingerprint(rows: DataFrame, key: list[str], components: list[str], limits: list[str], alias: str) -> DataFrame:
     columns = [F.col(c).alias(f"c{i}") for i, c in enumerate([*components, *limits])]
-    return rows.select(*key, spec_digest(F.struct(*columns)).alias(alias))
+    spec = F.struct(*columns)
+    return rows.select(*key, spec_digest(spec, rows.select(spec.alias("spec")).schema["spec"].dataType).alias(alias))
 
 
 def component_changes(current: dict[str, Column], stored: dict[str, Column]) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +32,16 @@ def _has_numbers(kind: T.DataType) -> bool:
     return _textual(kind) != kind
 
 
+def _unreadable(value: Column, kind: T.DataType) -> Column:
+    """Whether a number inside the value, read as text, is no number of its type."""
+    if isinstance(kind, T.StructType):
+        numeric = [f for f in kind.fields if _has_numbers(f.dataType)]
+        return reduce(or_, [_unreadable(value[f.name], f.dataType) for f in numeric], F.lit(False))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.exists(value, lambda element: _unreadable(element, kind.elementType)), F.lit(False))
+    return value.isNotNull() & value.try_cast(kind).isNull()
+
+
 def _parsed(rows: DataFrame, body: str, schema: T.StructType) -> DataFrame:
     """Add ``_parsed``, the text read as the schema plus a field for text that does not fit.
 
@@ -42,12 +55,12 @@ def parse_documents(rows: DataFrame, kind: str, body: str = "body") -> DataFrame
     """Add ``resource`` (the typed document) and ``rejected`` (true for text that is not such a document).
 
     ``kind`` names an entry of ``schemas.DOCUMENTS``. Filter on ``rejected`` to split good rows from the side table; a
-    rejected row keeps its text, and the fields of its resource are null. A number that does not parse reads as null. Only
-    those top-level fields that a query uses are converted.
+    rejected row keeps its text, and the fields of its resource are null. A document with a number that does not parse is
+    rejected; numbers may be quoted. Only those top-level fields that a query uses are converted.
     """
     schema = DOCUMENTS[kind]
     parsed = _parsed(rows, body, _textual(schema))
-    rejected = F.col("_parsed").isNull() | F.col(f"_parsed.{_CORRUPT}").isNotNull()
+    rejected = F.col("_parsed").isNull() | F.col(f"_parsed.{_CORRUPT}").isNotNull() | _unreadable(F.col("_parsed"), schema)
     fields = []
     for field in schema.fields:
         value = F.col(f"_parsed.{field.name}")

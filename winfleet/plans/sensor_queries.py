@@ -16,7 +16,7 @@ from winfleet.operators.windows import average_temperature, maximum_temperature
 from winfleet.plans.registry import query
 from winfleet.plans.views import table
 from winfleet.session import shared_dir
-from winfleet.sources.sensor import sensor_rows, table_stream
+from winfleet.sources.sensor import event_stream, sensor_rows, table_stream
 from winfleet.streaming.jobs import job_output, start_average_job, start_maximum_job
 from winfleet.streaming.sinks import bucket_counts, read_buckets, sensor_lines, window_lines, write_buckets
 
@@ -204,6 +204,41 @@ def _stream_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_job(spark, sf_dir, start_average_job, "average")
 
 
+# Early rows arrive first; a tenth of the earlier half of time comes late, after a restart, together with the later half.
+_LATE_SQL = f"""
+WITH base AS (
+    SELECT user_id, ts, CAST(value AS DECIMAL(18,2)) AS v, time_bucket(INTERVAL 300 SECOND, ts, TIMESTAMP '1970-01-01') AS b,
+        epoch_us(ts) < (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 FROM events) AND event_id % 10 <> 0 AS early
+    FROM events
+), spread AS (SELECT *, unnest(generate_series(b - INTERVAL 3300 SECOND, b, INTERVAL 300 SECOND)) AS ws FROM base),
+windows AS (
+    SELECT user_id, ws, {HALF_DOWN} AS temperature FROM spread
+    WHERE ts < ws + INTERVAL 60 MINUTE
+      AND (early OR ws + INTERVAL 60 MINUTE > (SELECT max(ts) FROM base WHERE early) - INTERVAL 5 SECOND)
+      AND ws + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 5 SECOND
+    GROUP BY user_id, ws
+)
+SELECT {_BUCKET.format('ws')} AS bucket, {_TIME.format('ws')} || ',' || user_id || ',' || CAST(temperature AS VARCHAR) AS value FROM windows
+"""
+
+
+@query("stream_late_rows_after_restart", _LATE_SQL)
+def _stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job that ends, and goes on from its checkpoints when more files have come: late rows count in open windows only."""
+    events = table(spark, sf_dir, "events")
+    folder, output, checkpoints = shared_dir(spark, "arrivals"), shared_dir(spark, "out"), shared_dir(spark, "progress")
+    settings = {"lateness": DEMO_LATENESS, "interval": None, "tasks_per_bucket": int(spark.conf.get("spark.sql.shuffle.partitions"))}
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    middle = events.select(F.expr("(unix_micros(min(cast(ts AS timestamp))) + unix_micros(max(cast(ts AS timestamp)))) div 2")).scalar()
+    early = F.coalesce((micros < middle) & (F.col("event_id") % 10 != 0), F.lit(False))
+    for arrived in (early, ~early):
+        events.where(arrived).write.mode("append").parquet(folder)
+        rows = sensor_rows(event_stream(spark, folder, events.schema), kind=TWO_DECIMALS)
+        for running in start_average_job(rows, output, checkpoints, **settings):
+            running.awaitTermination()
+    return read_buckets(spark, job_output(output, "run", "average")).select("bucket", "value")
+
+
 @query("stream_max_temperature", _closed_sql(MAXIMUM))
 def _stream_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_job(spark, sf_dir, start_maximum_job, "maximum")

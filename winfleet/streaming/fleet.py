@@ -87,14 +87,14 @@ def start_status_changes(
     """Write the status changes of a stream below ``path``, read with ``read_status_changes``.
 
     A micro-batch is a table, so the batch operator does the work, with its protection against keys that hold most of the
-    rows. What it needs from the past is each key's last row: every micro-batch leaves these in a folder of its number and
-    takes those of the number before as rows that were seen already. It replaces its own folders, so a batch replayed after
-    a failure changes nothing. Memory expires in event time, as in a table; when input arrives in order the stream's changes
+    rows. What it needs from the past is each key's last row: micro-batches leave these in two folders in turn, and take
+    those of the number before as rows that were seen already. A batch replaces its own folders and reads the other one, so
+    replayed after a failure it changes nothing. Memory expires in event time, as in a table; when input arrives in order the stream's changes
     are the table's. A row older than its key's last one is compared with older rows of its own micro-batch only.
     A key is forgotten once its last row is older than the newest row of all by more than ``remembered`` and ``lateness``: while
     no row comes later than that, its next row is a change in any case. So the state holds the keys of that span, not all keys
-    ever seen. Folders of ``last`` before the newest are not read again. Each micro-batch is computed once and kept while it is
-    written; ``block`` is short, because a micro-batch spans little time.
+    ever seen. Each micro-batch is computed once and kept while it is written; ``block`` is short, because a micro-batch spans
+    little time.
     """
     spark = rows.sparkSession
     known = list(dict.fromkeys([time, seq, *watched]))
@@ -103,7 +103,7 @@ def start_status_changes(
     def write(batch: DataFrame, batch_id: int) -> None:
         seen = batch.withColumn("_old", F.lit(False))
         if batch_id > 0:
-            old = spark.read.schema(last_type).parquet(f"{path}/last/batch={batch_id - 1}")
+            old = spark.read.schema(last_type).parquet(f"{path}/last/slot={(batch_id - 1) % 2}")
             seen = seen.unionByName(old.withColumn("_old", F.lit(True)), allowMissingColumns=True)
         seen = seen.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -112,7 +112,7 @@ def start_status_changes(
             newest = seen.groupBy(key).agg(F.max(F.struct(*known)).alias("_last")).select(key, "_last.*")
             oldest = seen.select(F.max(time) - F.lit(remembered + lateness)).scalar()
             newest = newest.where(F.col(time).isNull() | (F.col(time) >= oldest))
-            newest.write.mode("overwrite").parquet(f"{path}/last/batch={batch_id}")
+            newest.write.mode("overwrite").parquet(f"{path}/last/slot={batch_id % 2}")
         finally:
             seen.unpersist()
 

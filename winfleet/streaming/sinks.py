@@ -34,9 +34,10 @@ def window_lines(windows: DataFrame) -> DataFrame:
     return windows.select(window_line(*columns).alias("value"), hour_bucket(F.col("window_start")).alias("bucket"))
 
 
-def write_buckets(lines: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+def write_buckets(lines: DataFrame, path: str, rows_per_file: int = 0) -> None:
     """Write a table of lines. The rebalance hint brings a bucket's rows together, so that not every task writes to every
-    folder, and lets AQE split a bucket that is too large for one task."""
+    folder, and lets AQE split a bucket that is too large for one task. Files are as large as AQE's partitions
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``) unless ``rows_per_file`` is above 0."""
     balanced = lines.hint("rebalance", "bucket")
     balanced.write.partitionBy("bucket").option("maxRecordsPerFile", rows_per_file).text(path)
 
