@@ -279,6 +279,27 @@ def test_archives(spark):
     assert {r.record_type for r in short} == {"response"}
 
 
+@pytest.mark.parametrize("place", [0, 30])
+def test_archives_with_long_headers(spark, place):
+    """Headers over 64 KB at the start of a file and in a later stretch; a payload full of record starts stays a payload."""
+    urls = [f"http://x/{i}" for i in range(40)]
+    urls[place] = "data:text/plain," + "a" * 200_000
+    pages = spark.createDataFrame([(i, u, "WARC/1.1\r\n" * 3000 + str(i)) for i, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    files = warc.write_archives(pages)
+    got = {r.page_id: (r.url, r.payload_bytes) for r in warc.read_archives(spark, files, stretch_bytes=100_000).collect()}
+    assert got == {i: (u, 30_000 + len(str(i))) for i, u in enumerate(urls)}
+
+
+@pytest.mark.parametrize("cut", [5, 200, 41_000])
+def test_broken_archive_fails(spark, tmp_path, cut):
+    whole = b"".join(warc.record(i, "http://x/", b"p" * 2000 * i, None) for i in range(1, 9)) + warc.record(9, "u", b"", warc.record_id(1))
+    path = tmp_path / "broken.warc"
+    path.write_bytes(whole[:-cut])
+    files = spark.createDataFrame([(f"file://{path}", len(whole) - cut)], "path string, n_bytes long")
+    with pytest.raises(ValueError, match="do not lead to its end"):
+        warc.read_archives(spark, files, stretch_bytes=10_000).collect()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=x>Menu<li><a href=y>More</a></ul></nav><div class="cookie-notice">We use cookies.</div>
 {main}<div class="comments"><p>First! I disagree with all of it and say so at some length here.</p></div><form><p>Name <input></p></form>

@@ -101,28 +101,40 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return written(rows.mapInArrow(write, "path string, n_bytes long"), "warc-files")
 
 
-def _candidates(path: str, low: int, high: int, end: int) -> tuple[bytes, dict[int, int]]:
-    """The stretch (with a header's length more) and, for each candidate that starts in it, where the next record would start.
+def _candidates(path: str, low: int, high: int, end: int) -> tuple[bytes, dict[int, tuple[int, int]]]:
+    """The stretch (with what its last header has more) and, for each candidate that starts in it, where its header ends and where
+    the next record would start.
 
-    A candidate whose header or length cannot be read leads nowhere and is left out.
+    Headers are read to their blank line, whatever their length. A candidate without one or without a length leads nowhere and is
+    left out. Places only move on from candidate to candidate, so many of them in one payload are still searched once.
     """
     system, inner = fs.FileSystem.from_uri(path)
     with system.open_input_file(inner) as stream:
         data = stream.read_at(min(high + HEAD_BYTES, end) - low, low)
+        starts = [m.start() for m in re.finditer(re.escape(MAGIC), data) if m.start() < high - low]
+        size = HEAD_BYTES
+        while starts and low + len(data) < end and data.find(b"\r\n\r\n", starts[-1]) < 0:
+            size *= 2
+            data += stream.read_at(min(size, end - low - len(data)), low + len(data))
     found = {}
-    for match in re.finditer(re.escape(MAGIC), data):
-        at = match.start()
-        if at >= high - low:
-            break
-        stop = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
-        length = _LENGTH.search(data, at, stop + 2) if stop >= 0 else None
-        if length:
-            found[low + at] = low + stop + 4 + int(length[1]) + 4
+    stop, length = -1, None
+    for k, at in enumerate(starts):
+        if stop < at:
+            stop = data.find(b"\r\n\r\n", at)
+            if stop < 0:
+                break
+        if k == 0 or length is not None and length.start() < at:
+            length = _LENGTH.search(data, at)
+        if length is not None and length.end() <= stop + 2:
+            found[low + at] = (low + stop, low + stop + 4 + int(length[1]) + 4)
     return data, found
 
 
 def entries(stretches: DataFrame) -> DataFrame:
-    """path, at: the first true record of every stretch that has one, from candidate links by pointer jumping."""
+    """path, at: the first true record of every stretch that has one, from candidate links by pointer jumping.
+
+    A file whose chain of records does not end exactly where the file does fails the job.
+    """
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -130,7 +142,7 @@ def entries(stretches: DataFrame) -> DataFrame:
                 _, follows = _candidates(row.path, row.low, row.high, row.n_bytes)
                 exits: dict[int, int] = {}
                 for at in sorted(follows, reverse=True):  # a link leads forward, so its end is known already
-                    exits[at] = exits.get(follows[at], follows[at] if follows[at] >= row.high else -1)
+                    exits[at] = exits.get(follows[at][1], follows[at][1] if follows[at][1] >= row.high else -1)
                 good = [(at, to) for at, to in exits.items() if to >= 0]
                 yield pd.DataFrame({"path": row.path, "at": [g[0] for g in good], "to": [g[1] for g in good]})
 
@@ -145,9 +157,14 @@ def entries(stretches: DataFrame) -> DataFrame:
         reached = written(reached.union(ahead).distinct(), "warc-reached")
         before, count = count, reached.count()
         if count == before:
-            return reached
+            break
         twice = jumps.alias("a").join(jumps.alias("b"), F.expr("a.path = b.path AND a.to = b.at"), "left")
         jumps = written(twice.select("a.path", "a.at", F.coalesce("b.to", "a.to").alias("to")), "warc-jumps")
+    ends = stretches.where("n_bytes > 0").select("path", F.col("n_bytes").alias("at")).distinct()
+    broken = ends.join(reached, ["path", "at"], "left_anti").first()
+    if broken is not None:
+        raise ValueError(f"the records of {broken['path']} do not lead to its end at {broken['at']}")
+    return reached
 
 
 RECORD = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("payload", T.BinaryType())])
@@ -157,7 +174,7 @@ def read_archives(spark: SparkSession, files: DataFrame, stretch_bytes: int = 16
     """The records of archives written above: RECORD's columns. A revisit has its payload's size and digest, and no payload.
 
     ``files`` has path and n_bytes. Files are read in stretches by many tasks. The digest of a response is checked against its
-    payload; a record that breaks off or has another digest fails the job. Empty ``files`` give an empty result.
+    payload; a record that breaks off or has another digest fails the job, and so does a file that its records do not fill. Empty ``files`` give an empty result.
     """
     stretches = files.select("path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_bytes - 1) div {stretch_bytes}"))).alias("k"))
     stretches = stretches.select("path", "n_bytes", (F.col("k") * stretch_bytes).alias("low"), F.least(F.col("n_bytes"), (F.col("k") + 1) * stretch_bytes).alias("high"))
@@ -175,9 +192,9 @@ def read_archives(spark: SparkSession, files: DataFrame, stretch_bytes: int = 16
                 system, inner = fs.FileSystem.from_uri(path)
                 rows: list[dict] = []
                 while at < high:
-                    head_end = data.find(b"\r\n\r\n", at - low) + low
+                    head_end, following = follows[at]
                     head = dict(line.split(": ", 1) for line in data[at - low + len(MAGIC) : head_end - low].decode().split("\r\n"))
-                    start, end = head_end + 4, follows[at] - 4
+                    start, end = head_end + 4, following - 4
                     if end - low <= len(data):
                         block = data[start - low : end - low]
                     else:
@@ -194,7 +211,7 @@ def read_archives(spark: SparkSession, files: DataFrame, stretch_bytes: int = 16
                     if len(rows) >= 1000:
                         yield pa.RecordBatch.from_pylist(rows, ARROW if with_payload else pa.schema(list(ARROW)[:-1]))
                         rows = []
-                    at = follows[at]
+                    at = following
                 yield pa.RecordBatch.from_pylist(rows, ARROW if with_payload else pa.schema(list(ARROW)[:-1]))
 
     return true.select("path", "low", "n_bytes", "high", "at").mapInArrow(read, schema)
