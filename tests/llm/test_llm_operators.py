@@ -359,6 +359,21 @@ def test_languages(spark, nothing):
     assert language_id.language_of(nothing).collect() == []
 
 
+def test_languages_of_one_script_outside_latin(spark):
+    """Letters six code points apart: one language is the other's texts with each letter moved on."""
+    rng = np.random.default_rng(14)
+    vowel, rest = [chr(0x430 + k) for k in (0, 5)], [chr(0x430 + k) for k in (1, 2, 3, 4, 7, 8, 9)]
+    words = ["".join(rng.choice(x) for x in (rest, vowel, rest, vowel)) for _ in range(40)]
+    rows = []
+    for i in range(120):
+        text = " ".join(rng.choice(words, 12))
+        rows.append((i, text if i % 2 else "".join(chr(ord(c) + 6) if c != " " else c for c in text), ("ru", "uk")[i % 2]))
+    got = rows_of(language_id.language_of(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert [r[2] for r in got] == [lang for _, _, lang in rows]
+    marks = [language_id.trigrams_of(t).tolist() for t in ("\u0915\u093f\u0924", "\u0915\u0940\u0924", "\u0915 \u0924")]  # vowel signs of Devanagari
+    assert marks[0] != marks[1] and marks[0] != marks[2] and len(language_id.trigrams_of("\u0301\u093f")) == 0
+
+
 def targets_by_hand(sizes, weights=(5, 2, 1), cap=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
