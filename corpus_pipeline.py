@@ -11,15 +11,15 @@ from winfleet.llm import language_id, mixing, order_minhash, packing, recompress
 from winfleet.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document is rejected whose likeness to every language is not above this: it is no closer to any of them than to what they share.
-#: Prose is mostly at 0.5 or more, clean texts of a few words can be as low as 0.04.
-MIN_SCORE = 0.0
+#: A document is rejected that is surely less than half as like its language as the language's own documents are on average.
+#: Documents of a learned language are mostly at 0.8 to 1.2, those of an unlearned one at 0.2 to 0.4, random letters below 0.1.
+MIN_FIT = 0.5
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language. Null and letterless texts go, and what is like no language."""
+    """Documents in a known language. Null and letterless texts go, and what is surely not in any learned one; short texts stay."""
     model = language_id.learn(docs.where(~language_id.held_out()).select("lang", "text"))
-    return language_id.predicted(docs.select(COLUMNS), model).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") > MIN_SCORE)).select(COLUMNS)
+    return language_id.predicted(docs.select(COLUMNS), model).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("fit") >= MIN_FIT)).select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

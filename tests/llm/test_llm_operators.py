@@ -374,6 +374,27 @@ def test_languages_of_one_script_outside_latin(spark):
     assert marks[0] != marks[1] and marks[0] != marks[2] and len(language_id.trigrams_of("\u0301\u093f")) == 0
 
 
+def test_language_stage_rejects_gibberish_and_unlearned_languages(spark):
+    import corpus_pipeline
+    from conftest import TESTDATA
+
+    rng = np.random.default_rng(15)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    prose = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet").select(corpus_pipeline.COLUMNS)
+    noise = ["".join(rng.choice(letters + [" "] * 4, 400)) for _ in range(10)] + ["".join(rng.choice(list("asdfghjkl"), 300)) for _ in range(10)]
+    noise += [base64.b64encode(rng.bytes(600)).decode() for _ in range(10)] + ["\u0442\u0435\u043a\u0441\u0442 \u043d\u0430 \u044f\u0437\u044b\u043a\u0435 " * 20]
+    short = [" ".join(r.text.split()[:3]) for r in prose.where("lang = 'en' AND n_chars > 500").orderBy("doc_id").limit(40).collect()]
+    more = [(10**6 + i, t, None, "x", len(t)) for i, t in enumerate(noise)] + [(2 * 10**6 + i, t, None, "x", len(t)) for i, t in enumerate(short)]
+    more = spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long")
+    unlearned = prose.where("lang = 'de'").withColumn("doc_id", F.col("doc_id") + 3 * 10**6).withColumn("lang", F.lit(None).cast("string"))
+    learned = prose.where("lang <> 'de'")
+    kept = {r.doc_id for r in corpus_pipeline.keep_languages(spark, learned.union(more).union(unlearned), "").select("doc_id").collect()}
+    assert kept >= {r.doc_id for r in learned.select("doc_id").collect()} | {2 * 10**6 + i for i in range(len(short))}
+    assert not any(10**6 <= d < 2 * 10**6 for d in kept)
+    long = {r.doc_id for r in unlearned.where("n_chars > 400").collect()}
+    assert len(long) > 50 and len(long & kept) <= 0.05 * len(long)
+
+
 def targets_by_hand(sizes, weights=(5, 2, 1), cap=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
