@@ -250,6 +250,18 @@ def test_near_documents_in_chains_and_large_groups(spark):
     assert 2 <= len(set(root)) < 20
 
 
+def test_near_copies_of_few_words(spark):
+    """Texts of 8 to 15 words and the same with one word more: 4 against 5 shingles and up, all 0.8 similar or more."""
+    words = vocabulary(np.random.default_rng(31), 2000)
+    rows, want = [], []
+    for k in range(400):
+        text = [words[(17 * k + 7 * j) % 2000] + str(k) for j in range(8 + k % 8)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text + ["more"]))]
+        want += [(2 * k, 2 * k), (2 * k + 1, 2 * k)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(order_minhash.near_documents(frame).select("doc_id", "class_id")) == want
+
+
 def test_rearranged_text_is_no_near_copy():
     rng = np.random.default_rng(8)
     names = rng.integers(0, 2**63, 200, dtype=np.uint64)

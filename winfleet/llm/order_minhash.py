@@ -2,7 +2,8 @@
 
 The words of a text give five-word shingles, each labelled with its occurrence. A sketch takes, for one hash function, the few
 labelled shingles with the smallest hashes and keeps them in text order, so that it stays the same under small edits but not when
-the text is rearranged. Documents that share a sketch are candidates; candidates form clusters. A cluster is compared in tiles
+the text is rearranged. Texts of few shingles
+share one of their rarest shingles for certain. Documents that share a sketch or such a shingle are candidates; candidates form clusters. A cluster is compared in tiles
 of a bounded number of documents: one matrix product gives the shingles in common of all pairs of a tile, and pairs that reach the
 threshold are aligned in a band as wide as the threshold allows. Shingles count as common only where the alignment matches them.
 Tiles hold a block of the cluster and its centre; only texts that are then still apart from the centre's class meet the other
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winfleet.llm.common import components, digest, likely_in, text_slices, written
@@ -26,7 +27,8 @@ from winfleet.llm.words import mix, shingles, split_words
 SHINGLE = 5
 THRESHOLD = 0.8
 SKETCHES = 40
-TAKEN = 6  # shingles per sketch; at similarity 0.8 two texts miss each other in all 40 sketches about once in 100,000
+TAKEN = 6  # shingles per sketch; at similarity 0.8 texts of 40 shingles miss each other in all 40 sketches once in 60,000, long ones once in 200,000
+FEW = 40  # below so many distinct shingles, candidates are found exactly
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
 
 
@@ -125,6 +127,17 @@ def similar_pairs(sets: list[np.ndarray], threshold: float, split: int | None =
     return i[on], j[on]
 
 
+def rare_keys(texts: DataFrame, threshold: float) -> DataFrame:
+    """rep, place, sketch: keys of which texts of few shingles (rep, few) share one if their Jaccard similarity reaches the threshold.
+
+    Of n shingles the n - ceil(threshold n) + 1 rarest; shingles that many texts hold come last and are seldom keys.
+    """
+    held = texts.where("few IS NOT NULL").select("rep", F.size("few").alias("size"), F.explode("few").alias("sketch"))
+    ranked = held.join(held.groupBy("sketch").agg(F.count("*").alias("n")), "sketch")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy("n", "sketch")))
+    return ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select("rep", F.lit(-1).alias("place"), "sketch")
+
+
 def _tile(threshold: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         split_at = group["block"].to_numpy() == group["left_block"].to_numpy()
@@ -169,17 +182,23 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for part in text_slices(batch, "text", 1_000_000):
                 words = split_words(part["text"])
-                found = []
+                found, few = [], []
                 for a, b in zip(words.offsets[:-1], words.offsets[1:]):
-                    names = labelled(shingles(words.hashes[a:b], SHINGLE))
-                    found.append(sketch(names).view(np.int64) if len(names) else None)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["digest"], pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "digest", "sketches"])
-
-    members = keyed.where("text IS NOT NULL").mapInArrow(sketched, "doc_id long, digest binary, sketches array<long>")
+                    names = shingles(words.hashes[a:b], SHINGLE)
+                    told = labelled(names)
+                    own = [sketch(told)] if len(names) else []
+                    firsts = names[told == names]
+                    found.append(np.concatenate(own).view(np.int64) if own else None)
+                    few.append(firsts.view(np.int64) if 0 < len(firsts) <= FEW / threshold else None)
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, few)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["digest"], *lists], names=["doc_id", "digest", "sketches", "few"])
+
+    members = keyed.where("text IS NOT NULL").mapInArrow(sketched, "doc_id long, digest binary, sketches array<long>, few array<long>")
     members = written(members.withColumn("row", F.monotonically_increasing_id()), "omh-sketches")
-    texts = members.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("sketches").alias("sketches"))
+    texts = members.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("sketches").alias("sketches"), F.first("few").alias("few"))
     texts = written(texts.withColumn("rep", F.monotonically_increasing_id()), "omh-texts")
-    sketches = texts.where("sketches IS NOT NULL").select("rep", F.posexplode("sketches").alias("place", "sketch"))
+    sketches = texts.where("sketches IS NOT NULL").select("rep", F.posexplode("sketches").alias("place", "sketch")).withColumn("place", F.col("place") % SKETCHES)
+    sketches = sketches.union(written(rare_keys(texts, threshold), "omh-rare"))
     shared = sketches.groupBy("place", "sketch").agg(F.count("*").alias("n"), F.min("rep").alias("center")).where("n > 1")
     candidates = sketches.join(shared, ["place", "sketch"]).where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     clusters = written(components(candidates, "omh-clusters").withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster"), "omh-members")
