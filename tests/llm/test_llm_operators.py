@@ -262,6 +262,16 @@ def test_near_copies_of_few_words(spark):
     assert rows_of(order_minhash.near_documents(frame).select("doc_id", "class_id")) == want
 
 
+def test_texts_that_differ_in_repeats_only(spark):
+    words = vocabulary(np.random.default_rng(32), 3000)
+    rows, want = [], []
+    for k in range(10):
+        text = [w + str(k) for w in words[200 * k : 200 * k + 204]]
+        rows += [(2 * k, " ".join(text * 5)), (2 * k + 1, " ".join(text))]
+        want += [(2 * k, 2 * k), (2 * k + 1, 2 * k)]
+    assert rows_of(order_minhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id")) == want
+
+
 def test_rearranged_text_is_no_near_copy():
     rng = np.random.default_rng(8)
     names = rng.integers(0, 2**63, 200, dtype=np.uint64)

@@ -2,7 +2,7 @@
 
 The words of a text give five-word shingles, each labelled with its occurrence. A sketch takes, for one hash function, the few
 labelled shingles with the smallest hashes and keeps them in text order, so that it stays the same under small edits but not when
-the text is rearranged. Texts of few shingles
+the text is rearranged. Texts that repeat shingles have further sketches over first occurrences only, and texts of few shingles
 share one of their rarest shingles for certain. Documents that share a sketch or such a shingle are candidates; candidates form clusters. A cluster is compared in tiles
 of a bounded number of documents: one matrix product gives the shingles in common of all pairs of a tile, and pairs that reach the
 threshold are aligned in a band as wide as the threshold allows. Shingles count as common only where the alignment matches them.
@@ -188,6 +188,8 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     told = labelled(names)
                     own = [sketch(told)] if len(names) else []
                     firsts = names[told == names]
+                    if len(firsts) < len(names):  # also without repeats, which the similarity does not count
+                        own.append(sketch(firsts))
                     found.append(np.concatenate(own).view(np.int64) if own else None)
                     few.append(firsts.view(np.int64) if 0 < len(firsts) <= FEW / threshold else None)
                 lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, few)]
