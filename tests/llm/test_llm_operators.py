@@ -343,6 +343,15 @@ def test_article_of_any_length_is_kept_whole():
         assert html_density.extract(PAGE.format(main=f"<article><p>{text}</p></article>")) == text.strip()
 
 
+@pytest.mark.parametrize("name", ["category-football", "navy", "footage", "post-footnotes", "menu"])
+def test_names_that_only_look_like_noise_keep_their_text(name):
+    text = "Words of the story that stand in a named element and make up nearly all of this page. " * 8
+    page = f"<html><body><div class='navbar'>Menu</div><div class='{name}'><p>{text}</p></div><div id=footer>Us</div></body></html>"
+    assert html_density.extract(page) == text.strip()
+    page = f"<article><p>{text}</p><div class='footnotes'><p>1. A note.</p></div><div class='footer'>Us</div></article>"
+    assert html_density.extract(page) == text.strip() + "\n1. A note."
+
+
 def test_repeats(docs, nothing):
     rows = sorted((r.doc_id, WORD.findall(r.text or "")) for r in docs.collect())
     first = {}

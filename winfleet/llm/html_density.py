@@ -6,7 +6,7 @@ hold much of the text; a node's sum is over its children's densities. The node w
 least density on its path up to the body is the threshold, and of the subtrees that reach it, the one with the largest sum is kept.
 
 Elements that never hold main text (scripts, styles, navigation, headers, footers, asides, forms) and those that classes, ids or
-roles name as adverts, notices, sidebars, menus or comments are cut before densities are taken.
+roles name as adverts, notices, sidebars, menus or comments are cut before densities are taken, unless they hold most of the page.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ CLOSES_P = frozenset(
 FORMATTING = frozenset("a b big code em font i nobr s small span strike strong sub sup tt u".split())
 _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|social|share|sharing|related|recommend\w*"
-    r"|side-?bar|menu|nav\w*|breadcrumbs?|foot\w*|comments?|disqus|replies|respond|skip|toolbar|pagination|pager)(?:$|[\s_-])"
+    r"|side-?bar|menu|nav|navs|navbars?|navigation|navigations|navmenu|breadcrumbs?|foot|footer|footers|comments?|disqus|replies|respond|skip|toolbar|pagination|pager)(?:$|[\s_-])"
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.DOTALL)
@@ -128,9 +128,34 @@ def parse(page: str) -> Node:
             place = end.end() if end else size
         elif tag not in VOID and not match["rest"].endswith("/"):
             stack.append(node)
+    _spare_most(root)
     return root
 
 
+def _spare_most(root: Node) -> None:
+    """Keep what a class, id or role alone marks as noise if it holds more than half of the body's characters outside links.
+
+    What is inside it may be noise in turn and is judged by the same measure. Elements that never hold main text stay cut, and
+    nothing is kept where an article or main outside of noise marks the text.
+    """
+    if any(n.tag in ("article", "main") for n in _walk(root)):
+        return
+    order, stack = [], [(root, False)]
+    while stack:
+        node, linked = stack.pop()
+        linked = linked or node.tag == "a"
+        order.append((node, linked))
+        stack.extend((p, linked) for p in node.parts if type(p) is Node and p.tag not in NEVER_MAIN)
+    plain: dict[int, int] = {}
+    for node, linked in reversed(order):
+        own = 0 if linked else sum(len(p.strip()) for p in node.parts if type(p) is str)
+        plain[id(node)] = own + sum(plain.get(id(p), 0) for p in node.parts if type(p) is Node)
+    body = next((n for n, _ in order if n.tag == "body"), root)
+    for node, _ in order:
+        if node.noise and plain[id(node)] * 2 > plain[id(body)]:
+            node.noise = False
+
+
 def _walk(root: Node) -> list[Node]:
     """Nodes that may hold main text, parents before children."""
     order, stack = [], [root]
