@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from winfleet.llm import embedding_dedup, fingerprints, html_density, language_id, mixing, order_minhash, packing, recompression, token_output, warc
+from winfleet.llm import embedding_dedup, fingerprints, html_density, language_id, licences, merkle, mixing, order_minhash, packing, periodic, recompression, token_output, warc
 from winfleet.llm.common import table
 
 END_ID = 2
@@ -55,11 +57,51 @@ def op10_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _looped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace the words of the chosen texts (h divisible by 10) from word a on by the p words from there, over and over."""
+    for batch in batches:
+        texts = batch["text"].to_pylist()
+        for i, h in enumerate(batch["h"].to_pylist()):
+            if h is not None and h % 10 == 0 and (words := (texts[i] or "").encode("utf-8", "replace").split()):
+                n, g = len(words), h // 10
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                loop = words[a : a + p]
+                texts[i] = b" ".join([*words[:a], *(loop * (1 + (n - a) // p))[: n - a]]).decode("utf-8")
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    runs = periodic.periodic_runs(docs.mapInArrow(_looped, "doc_id long, text string"), with_text=False)
+    return runs.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+MANIFEST_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = {c: F.col(c) for c in MANIFEST_COLUMNS}
+    cut = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    shown = F.when(cut, merkle.leaf_digest(list((kept | {"text": F.replace("text", F.lit("\n"), F.lit(""))}).values()))).otherwise(F.col("leaf"))
+    leaves = docs.select(*MANIFEST_COLUMNS, merkle.leaf_digest(list(kept.values())).alias("leaf")).select("source", "doc_id", "leaf", F.unhex(shown).alias("shown"))
+    built = merkle.manifest(leaves, carry=["doc_id", "shown"])
+    rows = merkle.paths(built).withColumn("root", F.lit(built.root).cast("string"))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest("path").alias("proof_sha256"), merkle.folded("path", F.lower(F.hex("shown"))).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents")).drop("expressions")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_tiled_pca_dedup, op2_ranked_token_files, op3_variable_best_fit, op4_iblt_fingerprints, op5_order_minhash,
         op6_warc_boundary_chain, op7_composite_text_density, op8_recompression_dedup, op9_hyperdimensional_language, op10_entropy_balancing,
+        op11_periodic_runs, op12_merkle_manifest, op13_license_scan,
     )
 }
 
@@ -104,4 +146,53 @@ kept AS (
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(words, ' ')) AS kept_sha256 FROM kept
 """
 
-ORACLES: dict[str, str] = {"op1_tiled_pca_dedup": _OP1, "op6_warc_boundary_chain": _OP6, "op8_recompression_dedup": _OP8}
+# crc32 of a number's decimal digits: bytes into the reflected polynomial, bit by bit.
+_CRC = """(xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)
+), 4294967295))"""
+
+_OP12 = f"""
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS row_id, *, CASE WHEN {_CRC.format("doc_id")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS shown FROM documents
+), parts AS (
+    SELECT row_id, doc_id, source, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id::VARCHAR, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+        || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars::VARCHAR, '-') AS head,
+        coalesce(octet_length(encode(text)) || ':' || text, '-') AS body, coalesce(octet_length(encode(shown)) || ':' || shown, '-') AS cut
+    FROM d
+), leaves AS (
+    SELECT row_id, doc_id, source, sha256(head || body) AS leaf, sha256(head || cut) AS shown FROM parts
+), nodes(height, source, rank, n, digest) AS (
+    SELECT 0, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, row_id) - 1, count(*) OVER (PARTITION BY source), leaf FROM leaves
+    UNION ALL
+    SELECT height + 1, source, rank // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY rank)) FROM nodes WHERE n > 1 GROUP BY height, source, rank // 3, n
+), subroots AS (
+    SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1
+), over_(height, rank, n, digest) AS (
+    SELECT 0, place, n, subroot FROM subroots
+    UNION ALL
+    SELECT height + 1, rank // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY rank)) FROM over_ WHERE n > 1 GROUP BY height, rank // 3, n
+), beside AS (
+    SELECT a.height, a.source, a.rank, string_agg(b.digest, '' ORDER BY b.rank) FILTER (WHERE b.rank < a.rank) AS l, string_agg(b.digest, '' ORDER BY b.rank) FILTER (WHERE b.rank > a.rank) AS r
+    FROM nodes a JOIN nodes b ON a.height = b.height AND a.source IS NOT DISTINCT FROM b.source AND a.rank // 3 = b.rank // 3 WHERE a.n > 1 GROUP BY ALL
+), beside_over AS (
+    SELECT a.height, a.rank, string_agg(b.digest, '' ORDER BY b.rank) FILTER (WHERE b.rank < a.rank) AS l, string_agg(b.digest, '' ORDER BY b.rank) FILTER (WHERE b.rank > a.rank) AS r
+    FROM over_ a JOIN over_ b ON a.height = b.height AND a.rank // 3 = b.rank // 3 WHERE a.n > 1 GROUP BY ALL
+), fold(row_id, source, height, rank, node, proof) AS (
+    SELECT l.row_id, l.source, 0, row_number() OVER (PARTITION BY l.source ORDER BY l.doc_id NULLS FIRST, l.leaf, l.row_id) - 1, shown, '' FROM leaves l
+    UNION ALL
+    SELECT f.row_id, f.source, f.height + 1, f.rank // 3, sha256(coalesce(l, '') || node || coalesce(r, '')), proof || coalesce(l, '') || coalesce(r, '')
+    FROM fold f JOIN beside b ON b.height = f.height AND b.source IS NOT DISTINCT FROM f.source AND b.rank = f.rank
+), in_source AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY height DESC) = 1),
+fold_over(row_id, height, rank, node, proof) AS (
+    SELECT row_id, 0, place, node, proof FROM in_source i JOIN subroots s ON s.source IS NOT DISTINCT FROM i.source
+    UNION ALL
+    SELECT f.row_id, f.height + 1, f.rank // 3, sha256(coalesce(l, '') || node || coalesce(r, '')), proof || coalesce(l, '') || coalesce(r, '')
+    FROM fold_over f JOIN beside_over b ON b.height = f.height AND b.rank = f.rank
+), ends AS (SELECT * FROM fold_over QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY height DESC) = 1),
+root AS (SELECT digest AS root FROM over_ WHERE n = 1)
+SELECT l.doc_id, l.leaf, s.subroot, root.root, sha256(e.proof) AS proof_sha256, e.node AS folded_root, e.node = root.root AS verified
+FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source JOIN ends e USING (row_id), root
+"""
+
+ORACLES: dict[str, str] = {"op1_tiled_pca_dedup": _OP1, "op6_warc_boundary_chain": _OP6, "op8_recompression_dedup": _OP8, "op12_merkle_manifest": _OP12}
