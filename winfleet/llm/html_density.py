@@ -1,9 +1,10 @@
 """Main text of web pages by composite text density.
 
-The page becomes a tree of its tags, with the tags that HTML leaves open closed as a browser would. Every node has its characters,
-those inside links, its tags and its link tags below it. The composite density is characters per tag, scaled down where links
-hold much of the text; a node's sum is over its children's densities. The node with the largest sum is the heart of the page; the
-least density on its path up to the body is the threshold, and of the subtrees that reach it, the one with the largest sum is kept.
+The page becomes a tree of its tags, with the tags that HTML leaves open closed as a browser would, in time linear in its length.
+Every node has its characters, those inside links, its tags and its link tags below it. The composite density is characters per tag,
+scaled down where links hold much of the text; a node's sum is over the densities of its children, as far as they are blocks:
+formatting is part of its block. The node with the largest sum is the heart of the page; the least density on its path up to the
+body is the threshold, and of the subtrees that reach it, the one with the largest sum is kept.
 
 Elements that never hold main text (scripts, styles, navigation, headers, footers, asides, forms) and those that classes, ids or
 roles name as adverts, notices, sidebars, menus or comments are cut before densities are taken, unless they hold most of the page.
@@ -14,6 +15,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,6 +30,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+CONTAINERS = BLOCKS - VOID
 NEVER_MAIN = frozenset(
     "script style noscript template head title meta link nav header footer aside form button select textarea input iframe object embed svg canvas audio video menu dialog noembed noframes xmp".split()
 )
@@ -44,12 +48,17 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
 FORMATTING = frozenset("a b big code em font i nobr s small span strike strong sub sup tt u".split())
+# Names of what is never main text: notices, sidebars, menus, footers and comments.
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|social|share|sharing|related|recommend\w*"
-    r"|side-?bar|menu|nav|navs|navbars?|navigation|navigations|navmenu|breadcrumbs?|foot|footer|footers|comments?|disqus|replies|respond|skip|toolbar|pagination|pager)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:notices?|newsletter|subscribe|side-?bar|menu|nav|navs|navbars?|navigation|navigations|navmenu|breadcrumbs?|foot|footer|footers|comments?|disqus|replies|respond|pagination|pager)(?:$|[\s_-])"
 )
+# Names of what is mostly links around the text; such an element is cut only if links hold at least half of it.
+_AROUND = re.compile(r"(?:^|[\s_-])(?:related|recommend\w*|social|share|sharing|skip|toolbar)(?:$|[\s_-])")
+# Names that mark adverts and consent notices only: what bears them stays cut, however long it is.
+_ADVERT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal)(?:$|[\s_-])")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.DOTALL)
+_NAME = re.compile(r"[a-zA-Z][^\s/<>]*")
+_EVENT = re.compile("[>\"']")
 _NAMING = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 
@@ -57,7 +66,7 @@ _SPACE = re.compile(r"\s+")
 @dataclass(slots=True)
 class Node:
     tag: str
-    noise: bool = False
+    noise: int = 0  # 1 if a name alone says so, 2 for sure, 3 if links hold much of it
     parts: list = field(default_factory=list)  # text and nodes, in page order
     chars: int = 0
     link_chars: int = 0
@@ -67,67 +76,137 @@ class Node:
     total: float = 0.0
 
 
-def _is_noise(tag: str, rest: str) -> bool:
+def _noise(tag: str, rest: str) -> int:
     if tag in NEVER_MAIN:
-        return True
+        return 2
     if not rest or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    noise = 0
     for name, value in _NAMING.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name in ("class", "id") and _NOISE.search(value):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name in ("class", "id") and _ADVERT.search(value):
+            return 2
+        if name == "role" and value in _ROLES or name in ("class", "id") and _NOISE.search(value):
+            noise = 1
+        elif name in ("class", "id") and not noise and _AROUND.search(value):
+            noise = 3
+    return noise
+
+
+class Ends:
+    """Where tags end: the first ``>`` outside of quotes, from any place of a page on. All ends are found in one pass from the right."""
+
+    def __init__(self, page: str):
+        self.places, self.ends = array("q"), array("q")
+        after = {">": -1, '"': -1, "'": -1}  # from the place after the nearest one of each to the right: where a tag ends that is there outside of quotes
+        end = -1
+        for event in reversed([*_EVENT.finditer(page)]):
+            sign = event[0]
+            end, after[sign] = event.end() if sign == ">" else after[sign], end
+            self.places.append(event.start())
+            self.ends.append(end)
+        self.places.reverse()
+        self.ends.reverse()
+
+    def of(self, place: int) -> int:
+        """The place after the tag's end; -1 if there is none, as when a quote is never closed."""
+        k = bisect_left(self.places, place)
+        return self.ends[k] if k < len(self.ends) else -1
+
+
+class Open:
+    """The elements that are open, with the places of each name among them, so that no tag searches for its partner."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.at: dict[str, list[int]] = {}
+        self.plain = [0]  # places of elements that are not formatting
+
+    def place_of(self, *tags: str) -> int:
+        """The innermost open element of these names; 0 if there is none."""
+        return max((places[-1] for tag in tags if (places := self.at.get(tag))), default=0)
+
+    def push(self, node: Node) -> None:
+        if node.tag not in FORMATTING:
+            self.plain.append(len(self.stack))
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.stack) > place > 0:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag not in FORMATTING:
+                self.plain.pop()
 
 
 def parse(page: str) -> Node:
-    """The tree of a page. Unknown end tags are passed over; what is open at the end is closed there."""
+    """The tree of a page, in time linear in its length. What is open at the end is closed there.
+
+    End tags without a partner are passed over; an end tag of formatting closes nothing beyond its block. A ``<`` that starts no
+    tag, or a tag that never ends, is text; a comment that never ends reaches to the end of the page.
+    """
     root = Node("#page")
-    stack = [root]
-    place, size = 0, len(page)
-    while place < size:
-        match = _TOKEN.search(page, place)
-        if match is None:
-            stack[-1].parts.append(page[place:])
-            break
-        if match.start() > place:
-            stack[-1].parts.append(page[place : match.start()])
-        place = match.end()
-        tag = match["tag"]
-        if tag is None:
+    open_, ends = Open(root), Ends(page)
+    place, size = 0, len(page)  # the page is done up to here
+    seen = 0  # text from place up to here has no tag
+
+    def text_until(stop: int) -> None:
+        if stop > place:
+            open_.stack[-1].parts.append(page[place:stop])
+
+    while (start := page.find("<", seen)) >= 0:
+        sign = page[start + 1 : start + 2]
+        closing = sign == "/"
+        name = _NAME.match(page, start + 1 + closing)
+        if name is None:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                end = end + 3 if end >= 0 else size
+            elif sign and sign in "!?/":
+                end = page.find(">", start) + 1
+            else:
+                end = 0
+            if not end:
+                if sign and sign in "!?/":
+                    break  # no tag ends from here on
+                seen = start + 1
+                continue
+            text_until(start)
+            place = seen = end
             continue
-        tag = tag.lower()
-        if match["close"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag in FORMATTING and stack[k].tag not in FORMATTING:
-                    break  # an end tag of formatting closes nothing beyond its block
+        end = ends.of(name.end())
+        if end < 0:
+            seen = start + 1
+            continue
+        text_until(start)
+        place = seen = end
+        tag, rest = name[0].lower(), page[name.end() : end - 1]
+        if closing:
+            where = open_.place_of(tag)
+            if tag not in FORMATTING or where > open_.plain[-1]:
+                open_.close(where)
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag not in FORMATTING:
-                    break
+            if open_.stack[open_.plain[-1]].tag == "p":
+                open_.close(open_.plain[-1])
         elif tag in CLOSES:
-            ends, bounds = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    del stack[k:]
-                    break
-                if stack[k].tag in bounds:
-                    break
-        node = Node(tag, _is_noise(tag, match["rest"]))
-        stack[-1].parts.append(node)
+            inner, bounds = CLOSES[tag]
+            where = open_.place_of(*inner)
+            if where > open_.place_of(*bounds):
+                open_.close(where)
+        node = Node(tag, _noise(tag, rest))
+        open_.stack[-1].parts.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, place)
+            last = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, place)
+            end = page.find(">", last.end()) + 1 if last else 0
             if not node.noise:
-                node.parts.append(page[place : end.start() if end else size])
-            place = end.end() if end else size
-        elif tag not in VOID and not match["rest"].endswith("/"):
-            stack.append(node)
+                node.parts.append(page[place : last.start() if end else size])
+            place = seen = end or size
+        elif tag not in VOID and not rest.endswith("/"):
+            open_.push(node)
+    text_until(size)
     _spare_most(root)
     return root
 
@@ -135,11 +214,10 @@ def parse(page: str) -> Node:
 def _spare_most(root: Node) -> None:
     """Keep what a class, id or role alone marks as noise if it holds more than half of the body's characters outside links.
 
-    What is inside it may be noise in turn and is judged by the same measure. Elements that never hold main text stay cut, and
-    nothing is kept where an article or main outside of noise marks the text.
+    What is inside it may be noise in turn and is judged by the same measure. Elements that never hold main text stay cut, as do
+    adverts, and nothing is spared where an article or main outside of noise has text. Names that stand for links around the
+    text cut an element only if links hold half of it or more.
     """
-    if any(n.tag in ("article", "main") for n in _walk(root)):
-        return
     order, stack = [], [(root, False)]
     while stack:
         node, linked = stack.pop()
@@ -147,13 +225,21 @@ def _spare_most(root: Node) -> None:
         order.append((node, linked))
         stack.extend((p, linked) for p in node.parts if type(p) is Node and p.tag not in NEVER_MAIN)
     plain: dict[int, int] = {}
+    every: dict[int, int] = {}
     for node, linked in reversed(order):
-        own = 0 if linked else sum(len(p.strip()) for p in node.parts if type(p) is str)
-        plain[id(node)] = own + sum(plain.get(id(p), 0) for p in node.parts if type(p) is Node)
+        own = sum(len(p.strip()) for p in node.parts if type(p) is str)
+        below = [id(p) for p in node.parts if type(p) is Node]
+        every[id(node)] = own + sum(every.get(p, 0) for p in below)
+        plain[id(node)] = (0 if linked else own) + sum(plain.get(p, 0) for p in below)
     body = next((n for n, _ in order if n.tag == "body"), root)
     for node, _ in order:
-        if node.noise and plain[id(node)] * 2 > plain[id(body)]:
-            node.noise = False
+        if node.noise == 3 and plain[id(node)] * 2 > every[id(node)]:
+            node.noise = 0
+    if any(n.tag in ("article", "main") and every[id(n)] for n in _walk(root)):
+        return
+    for node, _ in order:
+        if node.noise == 1 and plain[id(node)] * 2 > plain[id(body)]:
+            node.noise = 0
 
 
 def _walk(root: Node) -> list[Node]:
@@ -186,7 +272,7 @@ def _weigh(order: list[Node], body: Node) -> None:
             inner = node.chars / max(node.link_chars, 1) * max(node.tags, 1) / max(node.link_tags, 1)
             node.density = node.chars / max(node.tags, 1) * math.log(max(inner, 1.0)) / base
     for node in order:
-        node.total = sum(p.density for p in node.parts if type(p) is Node and not p.noise)
+        node.total = sum(p.density for p in node.parts if type(p) is Node and not p.noise and p.tag in CONTAINERS)
 
 
 def main_nodes(root: Node) -> list[Node]:
@@ -201,9 +287,6 @@ def main_nodes(root: Node) -> list[Node]:
     path = [heart]
     while path[-1] is not body and id(path[-1]) in parents:
         path.append(parents[id(path[-1])])
-    whole = [n for n in path if n.tag == "article"] or [n for n in path if n.tag == "main"]
-    if whole:  # the page itself says how far its text reaches
-        return whole[-1:]
     threshold = min(n.density for n in path)
     best = {}  # of each node: the node at or below it with the largest sum
     for node in reversed(order):
