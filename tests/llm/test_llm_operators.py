@@ -3,11 +3,16 @@
 import base64
 import collections
 import hashlib
+import math
+import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from conftest import TESTDATA
 from pyspark.sql import functions as F
 
 from winfleet.llm import embedding_dedup, fingerprints, html_density, language_id, mixing, order_minhash, packing, recompression, token_output, warc
@@ -116,8 +121,7 @@ def test_token_files(spark, docs, nothing):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    odd = ["<|endoftext|> a", "a  b", " a", "a\n\nb", "don't 's\n12 34$%", "a\x85 b", "x\x1cy z", "it's a\n'tis\nend "]
+    odd = ["<|endoftext|> a", "a <|endoftext|> b", "a<|endoftext|>b c\nd", "<|endoftext|", "a  b", " a", "a\n\nb", "don't 's\n12 34$%", "a\x85 b", "x\x1cy z", "it's a\n'tis\nend "]
     more = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(odd)] + [(None, "no id"), (30, "twice"), (30, "twice")], "doc_id long, text string")
     both = docs.select("doc_id", "text").union(more)
     blocks, folder = token_output.write_ids(both, path, 2, block_tokens=500)
@@ -125,6 +129,7 @@ def test_token_files(spark, docs, nothing):
     wanted = collections.Counter((r.doc_id, np.array(tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2], dtype="<u4").tobytes()) for r in both.collect())
     assert collections.Counter((r.doc_id, bytes(r.ids)) for r in got) == wanted
     assert all(r.ids_crc32 == zlib.crc32(bytes(r.ids)) and r.n_tokens == len(r.ids) // 4 for r in got)
+    assert token_output.PieceCache(path).encode(["a <|endoftext|> b"]) == [np.array([64, 220, 50256, 275], dtype="<u4").tobytes()]
     place = 0
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == place
@@ -352,6 +357,86 @@ def test_names_that_only_look_like_noise_keep_their_text(name):
     assert html_density.extract(page) == text.strip() + "\n1. A note."
 
 
+def test_every_article_and_section_of_the_text_stays():
+    text = "Words enough to count as a paragraph of a story that goes on for a while. " * 4
+    page = f"<body><nav><a href=x>Menu</a></nav><article><h1>One</h1><p>{text}</p></article><article><h1>Two</h1><p>{text}</p></article></body>"
+    assert html_density.extract(page) == "\n".join(["One", text.strip(), "Two", text.strip()])
+    links = "<a href=x>More of this</a> <a href=y>More of that</a>"
+    for name in ("related-work", "share", "social-history"):
+        page = f"<body><article><h1>One</h1><p>{text}</p><div class='{name}'><p>{text}</p></div></article></body>"
+        assert html_density.extract(page) == "\n".join(["One", text.strip(), text.strip()])
+        assert html_density.extract(f"<body><article><p>{text}</p><div class='{name}'>{links}</div></article></body>") == text.strip()
+
+
+def test_the_article_tag_decides_nothing():
+    for row in pq.read_table(f"{TESTDATA}/sf0.01/pages.parquet").to_pylist():
+        renamed = re.sub(r"(</?)article\b", r"\1div", row["html"])
+        assert html_density.extract(renamed) == html_density.extract(row["html"])
+
+
+def plain_main_nodes(root):
+    """The density rule with every sum taken anew over the whole subtree."""
+    shown = lambda n: [p for p in n.parts if not isinstance(p, str) and not p.noise]
+    under = lambda n: [d for p in shown(n) for d in (p, *under(p))]
+    every = [root, *under(root)]
+    chars = lambda n: sum(len(p.strip()) for m in (n, *under(n)) for p in m.parts if isinstance(p, str))
+
+    def link_chars(n):
+        return chars(n) if n.tag == "a" else sum(map(link_chars, shown(n)))
+
+    body = next((n for n in every if n.tag == "body"), root)
+    ratio = link_chars(body) / chars(body) if chars(body) else 0.0
+
+    def density(n):
+        c, lc, t, lt = chars(n), link_chars(n), len(under(n)), sum(m.tag == "a" for m in under(n))
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
+        return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / base
+
+    total = lambda n: sum(density(p) for p in shown(n) if p.tag in html_density.CONTAINERS)
+    full = [n for n in every if chars(n)]
+    if not full:
+        return []
+    heart = max(full, key=total)
+    path = [n for n in every if n is heart or any(m is heart for m in under(n))]
+    path = path[path.index(body) :] if body in path else path
+    least = min(map(density, path))
+    best = lambda n: max([n, *(best(p) for p in shown(n) if chars(p))], key=total)
+    marked = {id(best(n)) for n in full if density(n) >= least and n is not body}
+
+    def top(n):
+        return [n] if id(n) in marked else [m for p in shown(n) for m in top(p)]
+
+    return top(body) or [heart]
+
+
+def test_density_rule_equals_its_plain_version():
+    rng = random.Random(8)
+
+    def piece(depth):
+        tag = rng.choice(["div", "p", "section", "ul", "span", "b", "a", "article", "div class=menu", "div class=share", "li"])
+        inside = "".join(piece(depth - 1) if depth and rng.random() < 0.6 else "word " * rng.randrange(12) for _ in range(rng.randrange(4)))
+        return f"<{tag}>{inside}</{tag.split()[0]}>"
+
+    for _ in range(150):
+        page = "<body>" + "".join(piece(3) for _ in range(rng.randrange(1, 4))) + "</body>"
+        tree = html_density.parse(page)
+        wanted = [id(n) for n in plain_main_nodes(tree)]
+        assert [id(n) for n in html_density.main_nodes(tree)] == wanted
+
+
+@pytest.mark.parametrize(
+    "page",
+    ['<a b="' * 170_000, "<a b='\"" * 120_000, "<div>" * 30_000 + "</x>" * 200_000, "<b><div>" + "<i>" * 50_000 + "</b>" * 150_000, "<ul>" + "<div>" * 50_000 + "<li></li>" * 30_000, "<i>" * 50_000 + "<hr>" * 50_000, "<a" * 500_000, "<!" * 500_000, "<!--" * 250_000, "<script>" + "</script " * 100_000],
+    ids=range(10),
+)
+def test_odd_markup_takes_linear_time(page):
+    start = time.process_time()
+    html_density.extract(page)
+    assert time.process_time() - start < 5
+
+
 def test_repeats(docs, nothing):
     rows = sorted((r.doc_id, WORD.findall(r.text or "")) for r in docs.collect())
     first = {}

@@ -58,9 +58,7 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarra
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> Tokenizer:
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class PieceCache:
@@ -68,13 +66,14 @@ class PieceCache:
 
     A byte-level vocabulary of this kind starts a new token at a space that has no white space beside it, and takes a lone line
     feed by itself. So texts whose only white space is of these two sorts may be put together from the ids of their words;
-    others are encoded whole. Entries are kept in two generations of ``limit`` words, which bounds the memory.
+    others are encoded whole, as are texts that hold the string of a token added to the vocabulary. Entries are kept in two generations of ``limit`` words, which bounds the memory.
     """
 
     def __init__(self, path: str, limit: int = 450_000):
         self.tokenizer, self.limit = _tokenizer(path), limit
         self.young: dict[str, bytes] = {}  # words after a space, by the word
         self.old: dict[str, bytes] = {}
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.starts[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how the vocabulary writes a space
@@ -113,7 +112,7 @@ class PieceCache:
         get = self.young.get
         for i, text in enumerate(texts):
             lines = [line.split(" ") for line in text.split("\n")]
-            if [w for words in lines for w in words] != text.split():
+            if any(token in text for token in self.added) or [w for words in lines for w in words] != text.split():
                 out[i] = self.whole(text)
                 continue
             found = [list(map(get, words[1:])) for words in lines]
@@ -232,7 +231,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, block_tokens: i
 
         for batch in batches:
             for row in zip(*(batch[c].to_pylist() for c in ("doc_id", "ids", "shard", "seq"))):
-                if held and (row[2] != held[0][2] or size + len(row[1]) // 4 > block_tokens):
+                if held and (row[2] != held[0][2] or row[3] != held[-1][3] + 1 or size + len(row[1]) // 4 > block_tokens):
                     flush()
                 held.append(row)
                 size += len(row[1]) // 4
