@@ -1,13 +1,13 @@
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
-from decimal import ROUND_HALF_DOWN, Decimal
+from decimal import ROUND_HALF_DOWN, Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winfleet.functions.decimals import half_down_mean
+from winfleet.functions.decimals import BASE, limb_count, with_mean
 from winfleet.operators.windows import average_temperature, maximum_temperature
 
 EPOCH = datetime(1970, 1, 1)
@@ -39,19 +39,38 @@ def as_dict(frame):
     return {(r.location_id, r.window_start): r.temperature for r in frame.collect()}
 
 
-@pytest.mark.parametrize("wide", [False, True])
-@pytest.mark.parametrize("scale", [2, 3, 5])
-def test_half_down_mean_agrees_with_decimal(spark, wide, scale):
+@pytest.mark.parametrize("precision", [18, 38])
+@pytest.mark.parametrize("scale", [0, 1, 2, 3, 5, 12])
+def test_mean_of_limbs_agrees_with_decimal(spark, precision, scale):
     source = random.Random(scale)
-    cases = [(3, 2), (5, 2), (151, 1), (0, 3), (-3, 2), (-5, 2), (15, 10), (25, 10), (251, 100), (-15, 10), (-25, 10)]
-    cases += [(source.randint(-(10**7), 10**7), source.choice([1, 2, 3, 4, 7, 8, 20, 1000])) for _ in range(2000)]
-    frame = spark.createDataFrame(cases, "total bigint, n bigint")
-    if wide:
-        frame = frame.withColumn("total", F.col("total").cast("decimal(38,0)"))
-    got = frame.select("total", "n", half_down_mean("total", "n", scale, wide).alias("mean")).collect()
+    cases = [(3, 2), (5, 2), (151, 1), (0, 3), (-3, 2), (-5, 2), (15, 10), (25, 10), (251, 100), (-15, 10), (-25, 10), (5 * 10**9, 10**10 // 2)]
+    cases += [(source.randint(-(10**7), 10**7), source.choice([1, 2, 3, 4, 7, 8, 20, 1000])) for _ in range(1000)]
+    cases += [(source.randint(-(10**17), 10**17), source.choice([1, 2, 3, 9_000_000_000])) for _ in range(200)]
+    kind = T.DecimalType(precision, scale)
+    names = [f"s{k}" for k in range(limb_count(kind))]
+    # Sums of limbs need not be limbs: some of what a higher one could hold stays in the lowest.
+    spread = [([total - (total // 7 // BASE) * BASE, total // 7 // BASE] + [0] * len(names))[: len(names)] for total, _ in cases]
+    frame = spark.createDataFrame([(*limb, n, str(total)) for limb, (total, n) in zip(spread, cases)], [*names, "n", "total"])
+    got = with_mean(frame, names, "n", kind, "mean").collect()
+    assert len(got) == len(cases)
     for row in got:
-        exact = Decimal(int(row.total)) / 10**scale / row.n
-        assert row["mean"] == exact.quantize(Decimal("0.01"), ROUND_HALF_DOWN), (row, scale)
+        with localcontext(prec=60):
+            exact = Decimal(int(row.total)) / 10**scale / row.n
+            assert row["mean"] == exact.quantize(Decimal("0.01"), ROUND_HALF_DOWN), (row, scale)
+
+
+@pytest.mark.parametrize("kind", [(1, 0), (9, 9), (10, 9), (18, 0), (18, 18), (19, 0), (19, 19), (27, 5), (28, 10), (36, 0), (37, 2), (38, 2), (38, 6), (38, 20), (38, 37), (38, 38)])
+def test_averages_of_any_decimal_type(spark, kind):
+    source = random.Random(sum(kind))
+    precision, scale = kind
+    whole = 10 ** min(precision, 36 + scale - 2)
+    with localcontext(prec=100):
+        values = [Decimal(source.choice([1, -1]) * source.randrange(whole if source.random() < 0.5 else min(whole, 10 ** source.randint(1, 38)))).scaleb(-scale) for _ in range(60)]
+        frame = spark.createDataFrame([(str(i), EPOCH, f"k{i % 7}", v) for i, v in enumerate(values)], f"event_id string, event_time timestamp_ntz, location_id string, temperature decimal({precision},{scale})")
+        got = {r.location_id: r.temperature for r in average_temperature(frame, SECOND, SECOND).collect()}
+        for k in range(7):
+            own = values[k::7]
+            assert got[f"k{k}"] == (sum(own) / len(own)).quantize(Decimal("0.01"), ROUND_HALF_DOWN)
 
 
 def test_named_rounding_cases(spark):
@@ -91,6 +110,9 @@ def test_large_decimals_do_not_overflow(spark):
     rows = [("a", 0, "9999999999999999.99")] * 50
     frame = average_temperature(sensor_frame(spark, rows, "decimal(18,2)"), 60 * SECOND, 10 * SECOND)
     assert {r.temperature for r in frame.collect()} == {Decimal("9999999999999999.99")}
+    rows = [("a", 0, "30000000000000000.01"), ("a", 1, "30000000000000000.02")]
+    frame = average_temperature(sensor_frame(spark, rows, "decimal(38,2)"), 60 * SECOND, 10 * SECOND)
+    assert {r.temperature for r in frame.collect()} == {Decimal("30000000000000000.01")}
 
 
 def test_windows_are_half_open(spark):

@@ -19,14 +19,13 @@ Plans
 from __future__ import annotations
 
 from datetime import timedelta
-from decimal import Decimal
 from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winfleet.functions.decimals import half_down_mean
+from winfleet.functions.decimals import limb_count, limbs, with_mean
 from winfleet.functions.times import interval_text, micros
 
 DEFAULT_SIZE = timedelta(minutes=60)
@@ -38,28 +37,26 @@ BLOCK_SIZES = 24
 def average_temperature(
     rows: DataFrame, size: timedelta = DEFAULT_SIZE, slide: timedelta = DEFAULT_SLIDE, panes: bool | None = None
 ) -> DataFrame:
-    """Average per key and window with two decimals, ties toward zero.
+    """Average per key and window with two decimals, ties toward zero, for decimals of any precision.
 
-    Sums are decimals of 38 digits in units of the input's last place, so they do not wrap. Precision plus scale of the input
-    may be up to 36 digits; beyond that, and for averages of 10^16 or more, ANSI rules (Spark's default) make the query fail.
-    ``panes=None`` picks the plan as described above."""
+    Sums are exact: digits are summed in limbs of 64 bits. The result has eighteen digits, or as many as the whole part of the
+    input needs; averages of 10^36 or more do not fit and fail. ``panes=None`` picks the plan as described above."""
     kind = rows.schema["temperature"].dataType
     if not isinstance(kind, T.DecimalType):
         raise TypeError(f"temperature must be a decimal, not {kind.simpleString()}")
-    scale = max(kind.scale, 2)
-    units = (F.col("temperature") * F.lit(Decimal(10**scale))).cast(f"decimal({_digits(kind, scale)},0)")
-    readings = rows.where("temperature IS NOT NULL").select("location_id", "event_time", units.alias("units"))
+    names = [f"limb{k}" for k in range(limb_count(kind))]
+    digits = [limb.alias(name) for name, limb in zip(names, limbs(F.col("temperature"), kind))]
+    readings = rows.where("temperature IS NOT NULL").select("location_id", "event_time", *digits)
+    sums = [F.sum(name).alias(name) for name in names]
     totals = _aggregate(
         readings,
         size,
         slide,
         panes,
-        partial=[F.sum("units").alias("total"), F.count("*").alias("n")],
-        merge=[F.sum("total").alias("total"), F.sum("n").alias("n")],
-    )
-    return totals.select(
-        "location_id", "window_start", half_down_mean("total", "n", scale, wide=True).alias("temperature")
+        partial=[*sums, F.count("*").alias("n")],
+        merge=[*sums, F.sum("n").alias("n")],
     )
+    return with_mean(totals, names, "n", kind, "temperature").select("location_id", "window_start", "temperature")
 
 
 def maximum_temperature(
@@ -73,10 +70,6 @@ def maximum_temperature(
     )
 
 
-def _digits(kind: T.DecimalType, scale: int) -> int:
-    return min(38, kind.precision + scale - kind.scale)
-
-
 def _aggregate(
     rows: DataFrame,
     size: timedelta,
