@@ -17,6 +17,7 @@ from winfleet.streaming.fleet import (
     start_status_changes,
 )
 from winfleet.streaming.jobs import JobSettings, job_output, start_average_job, start_maximum_job
+from winfleet.streaming.rolling import read_rolled
 from winfleet.streaming.sinks import bucket_counts, every, read_buckets, sensor_lines, window_lines, write_buckets
 
 START = datetime(2024, 1, 1)
@@ -55,7 +56,7 @@ def finish(queries):
 
 
 def lines(spark, path):
-    return sorted(r.value for r in read_buckets(spark, path).collect())
+    return sorted(r.value for r in read_rolled(spark, path).collect())
 
 
 def starts_of(spark, path):
@@ -75,7 +76,7 @@ def test_late_rows_reach_their_open_windows_only(spark, tmp_path):
     assert values["00:00:20"] == "20.000000"
     first = [s for s in values if s < "00:00:20"] + [f"23:59:{s}" for s in (10, 20, 30, 40, 50) if f"23:59:{s}" in values]
     assert all(values[s] == "20.000000" for s in first)
-    assert len(read_buckets(spark, job_output(str(tmp_path / "out"), "run", "sensor")).collect()) == 4
+    assert len(read_rolled(spark, job_output(str(tmp_path / "out"), "run", "sensor")).collect()) == 4
 
 
 def test_stream_equals_closed_windows_of_the_table(spark, tmp_path):

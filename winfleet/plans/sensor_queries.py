@@ -17,7 +17,8 @@ from winfleet.plans.registry import query
 from winfleet.plans.views import table
 from winfleet.session import shared_dir
 from winfleet.sources.sensor import event_stream, sensor_rows, table_stream
-from winfleet.streaming.jobs import job_output, start_average_job, start_maximum_job
+from winfleet.streaming.jobs import fork_job, job_batches, job_output, start_average_job, start_maximum_job
+from winfleet.streaming.rolling import read_rolled
 from winfleet.streaming.sinks import bucket_counts, read_buckets, sensor_lines, window_lines, write_buckets
 
 HOUR = timedelta(minutes=60)
@@ -193,10 +194,10 @@ def _closed_sql(aggregate: str) -> str:
 
 def _run_job(spark: SparkSession, sf_dir: str, start: Callable[..., list], part: str) -> DataFrame:
     output, checkpoints = shared_dir(spark, "out"), shared_dir(spark, "progress")
-    settings = {"lateness": DEMO_LATENESS, "interval": None, "tasks_per_bucket": int(spark.conf.get("spark.sql.shuffle.partitions"))}
+    settings = {"lateness": DEMO_LATENESS, "interval": None}
     for running in start(_stream(spark, sf_dir), output, checkpoints, **settings):
         running.awaitTermination()
-    return read_buckets(spark, job_output(output, "run", part)).select("bucket", "value")
+    return read_rolled(spark, job_output(output, "run", part))
 
 
 @query("stream_avg_temperature", _closed_sql(HALF_DOWN))
@@ -227,7 +228,7 @@ def _stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job that ends, and goes on from its checkpoints when more files have come: late rows count in open windows only."""
     events = table(spark, sf_dir, "events")
     folder, output, checkpoints = shared_dir(spark, "arrivals"), shared_dir(spark, "out"), shared_dir(spark, "progress")
-    settings = {"lateness": DEMO_LATENESS, "interval": None, "tasks_per_bucket": int(spark.conf.get("spark.sql.shuffle.partitions"))}
+    settings = {"lateness": DEMO_LATENESS, "interval": None}
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     middle = events.select(F.expr("(unix_micros(min(cast(ts AS timestamp))) + unix_micros(max(cast(ts AS timestamp)))) div 2")).scalar()
     early = F.coalesce((micros < middle) & (F.col("event_id") % 10 != 0), F.lit(False))
@@ -236,9 +237,51 @@ def _stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = sensor_rows(event_stream(spark, folder, events.schema), kind=TWO_DECIMALS)
         for running in start_average_job(rows, output, checkpoints, **settings):
             running.awaitTermination()
-    return read_buckets(spark, job_output(output, "run", "average")).select("bucket", "value")
+    return read_rolled(spark, job_output(output, "run", "average"))
 
 
 @query("stream_max_temperature", _closed_sql(MAXIMUM))
 def _stream_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_job(spark, sf_dir, start_maximum_job, "maximum")
+
+
+# Time in thirds. A run takes all of them, in turn; a fork of it after the second third goes on with readings doubled.
+_FORK_SQL = f"""
+WITH bounds AS (SELECT epoch_us(min(ts)) AS low, epoch_us(max(ts)) AS high FROM events), base AS (
+    SELECT user_id, ts, CAST(CASE WHEN epoch_us(ts) < (SELECT low + 2 * ((high - low) // 3) FROM bounds) THEN value ELSE 2 * value END AS DECIMAL(18,2)) AS v,
+        time_bucket(INTERVAL 300 SECOND, ts, TIMESTAMP '1970-01-01') AS b
+    FROM events
+), spread AS (SELECT *, unnest(generate_series(b - INTERVAL 3300 SECOND, b, INTERVAL 300 SECOND)) AS ws FROM base),
+windows AS (
+    SELECT user_id, ws, {HALF_DOWN} AS temperature FROM spread
+    WHERE ts < ws + INTERVAL 60 MINUTE AND ws + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 5 SECOND
+    GROUP BY user_id, ws
+)
+SELECT {_BUCKET.format('ws')} AS bucket, {_TIME.format('ws')} || ',' || user_id || ',' || CAST(temperature AS VARCHAR) AS value FROM windows
+"""
+
+
+@query("stream_fork_of_saved_state", _FORK_SQL)
+def _stream_fork(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over three thirds of time, and a fork of its state after the second one that takes another last third."""
+    events = table(spark, sf_dir, "events")
+    arrivals, others = shared_dir(spark, "arrivals"), shared_dir(spark, "other-arrivals")
+    output, checkpoints = shared_dir(spark, "out"), shared_dir(spark, "progress")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(micros), F.max(micros)).first()
+    third = F.floor((micros - F.lit(low)) / F.lit(max(1, (high - low) // 3)))
+
+    def run(folder: str, name: str) -> None:
+        rows = sensor_rows(event_stream(spark, f"{folder}/*.parquet", events.schema), kind=TWO_DECIMALS)
+        for running in start_average_job(rows, output, checkpoints, name, lateness=DEMO_LATENESS, interval=None):
+            running.awaitTermination()
+
+    saved = {}
+    for part in (third == 0, third == 1, third > 1):
+        saved = {query: batches[-1] for query, batches in job_batches(checkpoints, "first", "average").items() if batches}
+        events.where(part).write.mode("append").parquet(arrivals)
+        run(arrivals, "first")
+    fork_job(spark, output, checkpoints, "first", "fork", "average", saved)
+    events.where(third > 1).withColumn("value", F.col("value") * 2).write.parquet(others)
+    run(others, "fork")
+    return read_rolled(spark, job_output(output, "fork", "average"))

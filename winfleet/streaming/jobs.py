@@ -2,7 +2,7 @@
 
 A job runs one query per sink over the same source, each with its own checkpoint, so one can be stopped, lost or
 restarted without the other. Restarting with the same ``run`` continues from its checkpoints; a new ``run`` ignores them
-and starts anew beside them (a file sink remembers which batches it has, so a fresh start needs fresh folders).
+and starts anew beside them, in folders of its own. ``fork_job`` makes a new run out of a saved state of another one.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from winfleet.operators.windows import DEFAULT_SIZE, DEFAULT_SLIDE, average_temperature, maximum_temperature
 from winfleet.sources.sensor import with_watermark
-from winfleet.streaming.sinks import every, sensor_lines, stream_buckets, stream_console, window_lines
+from winfleet.streaming.rolling import Rolling, fork_rolled, start_rolled
+from winfleet.streaming.savepoints import fork_checkpoint, saved_batches
+from winfleet.streaming.sinks import every, sensor_lines, stream_console, window_lines
 
 _LATE_FILTER = "spark.sql.streaming.statefulOperator.allowMultiple"
 
@@ -25,15 +27,14 @@ _LATE_FILTER = "spark.sql.streaming.statefulOperator.allowMultiple"
 @dataclass(frozen=True)
 class JobSettings:
     """Settings of a job with their usual values. ``interval`` is both the time between micro-batches, hence between
-    watermark steps, and the checkpoint interval; None processes what is there and ends. ``tasks_per_bucket`` bounds the files
-    that a micro-batch of windows writes per bucket (rows arrive in few buckets anyway)."""
+    watermark steps, and the checkpoint interval; None processes what is there and ends. ``rolling`` says when files close."""
 
     size: timedelta = DEFAULT_SIZE
     slide: timedelta = DEFAULT_SLIDE
     lateness: timedelta = timedelta(minutes=1)
     interval: timedelta | None = timedelta(seconds=30)
     console_verbosity: int = 0
-    tasks_per_bucket: int | None = None
+    rolling: Rolling = Rolling()
 
 
 @contextmanager
@@ -69,6 +70,28 @@ def job_output(output: str, run: str, part: str) -> str:
     return f"{output}/{run}/{part}-temperature"
 
 
+def job_batches(checkpoints: str, run: str, part: str) -> dict[str, list[int]]:
+    """Micro-batches of a job's two queries (``rows``, ``windows``) from which a fork can go on; ``part`` is ``average`` or ``maximum``."""
+    return {query: saved_batches(f"{checkpoints}/{run}/{part}/{query}") for query in ("rows", "windows")}
+
+
+def fork_job(spark: SparkSession, output: str, checkpoints: str, run: str, new_run: str, part: str, batches: dict[str, int]) -> None:
+    """Make ``new_run`` out of ``run`` as it stood after the given micro-batch of each of its queries.
+
+    The new run starts with the output of the old one up to there, and goes on when it is started with any later input. If that
+    is in another folder, name the folder's files by a pattern (``folder/*.parquet``), as Spark looks up the last batch's files
+    once more when a query starts, and a plain folder has to hold them. The old run is left as it is. Raises ValueError if a batch is not among ``job_batches``.
+    """
+    for query, batch in batches.items():
+        known = saved_batches(f"{checkpoints}/{run}/{part}/{query}")
+        if batch not in known:
+            raise ValueError(f"no saved state of {query} after batch {batch}; there are {known}")
+    for query, batch in batches.items():
+        folder = "sensor" if query == "rows" else part
+        fork_rolled(spark, job_output(output, run, folder), job_output(output, new_run, folder), batch)
+        fork_checkpoint(spark, f"{checkpoints}/{run}/{part}/{query}", f"{checkpoints}/{new_run}/{part}/{query}", batch)
+
+
 def _start(
     rows: DataFrame,
     output: str,
@@ -79,13 +102,12 @@ def _start(
     settings: JobSettings,
 ) -> list[StreamingQuery]:
     trigger = every(settings.interval)
-    spread = {"tasks_per_bucket": settings.tasks_per_bucket}
     base = f"{checkpoints}/{run}/{part}"
     with immediate_late_filter(rows.sparkSession):
         windows = windows_of(rows, settings, aggregate)
         queries = [
-            stream_buckets(sensor_lines(rows), job_output(output, run, "sensor"), f"{base}/rows", trigger),
-            stream_buckets(window_lines(windows), job_output(output, run, part), f"{base}/windows", trigger, **spread),
+            start_rolled(sensor_lines(rows), job_output(output, run, "sensor"), f"{base}/rows", trigger, settings.rolling),
+            start_rolled(window_lines(windows), job_output(output, run, part), f"{base}/windows", trigger, settings.rolling),
         ]
         if settings.console_verbosity > 1:
             queries.append(stream_console(rows, f"{base}/console-rows", trigger))

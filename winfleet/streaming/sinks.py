@@ -1,7 +1,6 @@
-"""Text files in hour buckets, as tables and as streams, and the console.
+"""Lines in hour buckets, text files of tables of them, the console, and triggers. Folders are named ``bucket=yyyy-MM-dd--HH``.
 
-Folders are named ``bucket=yyyy-MM-dd--HH``. Spark's file sink commits each micro-batch exactly once. Files are closed by
-every trigger instead of by age or idleness; ``rows_per_file`` bounds their size, in rows rather than bytes.
+Files of streams are in ``rolling``.
 """
 
 from __future__ import annotations
@@ -18,10 +17,6 @@ from winfleet.functions.times import hour_bucket
 
 BUCKETED = T.StructType([T.StructField("value", T.StringType()), T.StructField("bucket", T.StringType())])
 
-# About one megabyte of lines, the size at which the files of the original jobs roll.
-ROWS_PER_FILE = 12_000
-
-
 def sensor_lines(rows: DataFrame) -> DataFrame:
     """``value, bucket`` of sensor rows; the bucket is the hour of the event."""
     columns: list[Column] = [F.col(c) for c in ("event_time", "event_id", "location_id", "temperature")]
@@ -51,25 +46,6 @@ def bucket_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-def stream_buckets(
-    lines: DataFrame,
-    path: str,
-    checkpoint: str,
-    trigger: dict[str, object],
-    name: str | None = None,
-    rows_per_file: int = ROWS_PER_FILE,
-    tasks_per_bucket: int | None = None,
-) -> StreamingQuery:
-    """Write a stream of lines. By default every task writes the buckets it happens to have; ``tasks_per_bucket`` bounds the
-    files per bucket and micro-batch by sending a bucket's lines to that many tasks."""
-    if tasks_per_bucket is not None:
-        lines = lines.repartition("bucket", F.pmod(F.hash("value"), F.lit(tasks_per_bucket)))
-    writer = lines.writeStream.format("text").partitionBy("bucket").outputMode("append")
-    writer = writer.option("path", path).option("checkpointLocation", checkpoint)
-    writer = writer.option("maxRecordsPerFile", rows_per_file).trigger(**trigger)
-    return (writer.queryName(name) if name else writer).start()
-
-
 def stream_console(rows: DataFrame, checkpoint: str, trigger: dict[str, object], update: bool = False) -> StreamingQuery:
     writer = rows.writeStream.format("console").outputMode("update" if update else "append").option("truncate", "false")
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
