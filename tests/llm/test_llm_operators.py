@@ -545,6 +545,41 @@ def test_mixing(docs, nothing):
     assert mixing.mixed(nothing).collect() == []
 
 
+def test_multipliers_solve_the_dual_over_documents(spark, docs):
+    """Bisection on each source's sum of size * min(cap, exp(multiplier * size)) over its documents."""
+    got = mixing.mixed(docs, group_rows=8).collect()
+    own = collections.defaultdict(list)
+    for r in got:
+        own[r.source].append(r.size)
+    want = targets_by_hand({s: sum(v) for s, v in own.items()})
+    rates = {}
+    for source, sizes in own.items():
+        x = np.array([s for s in sizes if s], dtype=float)
+        low, high = -50.0 / x.min(), 2.0 / x.min()
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if (x * np.minimum(3, np.exp(np.minimum(middle * x, 50)))).sum() < want[source] else (low, middle)
+        rates[source] = low
+    assert len({r.rate for r in got if r.source == "hot"}) > 5  # documents of one source differ
+    for r in got:
+        wanted = min(3.0, np.exp(rates[r.source] * r.size)) if r.size else 0.0
+        assert r.rate == pytest.approx(wanted, rel=1e-4)
+    for source in own:
+        assert sum(r.rate * r.size for r in got if r.source == source) == pytest.approx(want[source], rel=1e-6)
+
+
+def test_rows_that_repeat_are_mixed_as_one_and_spelled_out_again(spark):
+    rows = [(7, "one two three", "hot")] * 5000 + [(None, "four five", None)] * 700 + [(i, "word " * (1 + i % 50), "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mixed(docs, group_rows=100).collect()
+    assert collections.Counter((r.doc_id, r.source) for r in got) == collections.Counter((d, s) for d, _, s in rows)
+    for source in ("hot", None, "b"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 50 * 4
+        assert max(r.taken - 3 * r.size for r in own) <= 0
+    assert len({r.copies for r in got if r.source == "hot"}) <= 2
+
+
 def test_rounding_follows_the_rate():
     sizes = np.sort(np.random.default_rng(0).integers(1, 5000, 2000))[::-1].astype(float)
     for rate in (0.0, 0.3, 1.0, 1.7, 3.0):
