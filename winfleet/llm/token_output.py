@@ -10,7 +10,9 @@ All numbers are little-endian. The ranks are a table of the vocabulary's size, k
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -56,6 +58,12 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarra
     return out
 
 
+# A byte-level vocabulary writes bytes that are no visible Latin-1 letters or signs as the letters from U+0100 on, in order.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LETTERS = dict(zip((b for b in range(256) if b not in _VISIBLE), range(0x100, 0x200)))
+LETTERS_AND_SIGNS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
@@ -78,15 +86,38 @@ class PieceCache:
         self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.starts[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how the vocabulary writes a space
         self.first: dict[str, bytes] = {}  # words at the start of a line
+        self.tails: dict[str, bytes] = {}  # signs after a word
+        self.space = "\u0120"
         self.line_feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
+    def letters(self, word: str) -> bytes:
+        """Ids of a space and letters, which are one piece to the model; letters beyond ASCII are written as their bytes are."""
+        if not word.isascii():
+            word = word.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [token.id for token in self.tokenizer.model.tokenize(self.space + word)]).tobytes()
+
     def add(self, words: list[str]) -> None:
-        """Learn words after a space: encoded in one string, and cut where a token starts with the space."""
-        for k in range(0, len(words), 2048):
-            part = words[k : k + 2048]
+        """Learn words after a space: letters, and signs after letters, by the model alone. Others are encoded in one string, and cut
+        where a token starts with the space."""
+        others = []
+        for word in words:
+            if word.isalpha():
+                self.young[word] = self.letters(word)
+            elif (parts := LETTERS_AND_SIGNS.fullmatch(word)) and parts[1].isalpha():
+                tail = self.tails.get(parts[2])
+                if tail is None:
+                    if len(self.tails) > self.limit // 4:
+                        self.tails.clear()
+                    tail = self.tails[parts[2]] = self.whole(parts[2])
+                core = self.young.get(parts[1]) or self.old.get(parts[1]) or self.letters(parts[1])
+                self.young[word] = core + tail
+            else:
+                others.append(word)
+        for k in range(0, len(others), 2048):
+            part = others[k : k + 2048]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             at = np.flatnonzero(self.starts[ids])
             if len(at) != len(part):
@@ -111,10 +142,10 @@ class PieceCache:
         missing: set[str] = set()
         get = self.young.get
         for i, text in enumerate(texts):
-            lines = [line.split(" ") for line in text.split("\n")]
-            if any(token in text for token in self.added) or [w for words in lines for w in words] != text.split():
+            if " ".join(text.split()) != text.replace("\n", " ") or any(token in text for token in self.added):
                 out[i] = self.whole(text)
                 continue
+            lines = [line.split(" ") for line in text.split("\n")]
             found = [list(map(get, words[1:])) for words in lines]
             unknown = [w for words, values in zip(lines, found) if None in values for w, v in zip(words[1:], values) if v is None]
             if unknown:
