@@ -1,3 +1,4 @@
+import random
 import time
 from collections import Counter
 from datetime import datetime, timedelta
@@ -11,8 +12,10 @@ from winfleet.operators.windows import average_temperature
 from winfleet.sources.sensor import event_stream, generate_stream, generate_table, sensor_rows, with_watermark
 from winfleet.streaming.fleet import (
     compact_latest_state,
+    drop_old_runs,
     read_latest_state,
     read_status_changes,
+    runs_after,
     start_latest_state,
     start_status_changes,
 )
@@ -203,6 +206,57 @@ def test_replayed_batch_replaces_itself(spark, tmp_path, rows_of):
     assert spark.read.parquet(path).count() == 2
 
 
+def plain_state(log):
+    live = {}
+    for seq, name, op, payload in sorted(log):
+        if op == "RESET":
+            live.clear()
+        elif op == "DELETED":
+            live.pop(name, None)
+        else:
+            live[name] = (seq, name, op, payload)
+    return sorted(live.values(), key=repr)
+
+
+@pytest.mark.parametrize("in_order,n", [(False, 40), (True, 15)])
+def test_streamed_state_stays_compact(spark, tmp_path, rows_of, in_order, n):
+    """Many micro-batches over forty names: rows stay within a small factor of the names, every list of runs gives its batch's state."""
+    rng = random.Random(3)
+    folder = Folder(spark, tmp_path, CHANGES)
+    log, ends = [], []
+    for _ in range(n):
+        rows = [(len(log) + i, f"n{rng.randrange(40)}", rng.choice(["CHANGED"] * 5 + ["DELETED"]), i) for i in range(rng.randrange(1, 12))]
+        if rng.random() < 0.05:
+            rows[0] = (rows[0][0], "", "RESET", 0)
+        rng.shuffle(rows)
+        log += rows
+        ends.append(len(log))
+        folder.add(rows)
+    path, schema = str(tmp_path / "state"), folder.frame([]).schema
+    start_latest_state(folder.stream(), path, str(tmp_path / "cp"), ["name"], in_order=in_order).awaitTermination()
+    for batch in (0, 1, 7, n // 2, n - 1):
+        assert rows_of(read_latest_state(spark, path, schema, ["name"], batch=batch)) == plain_state(log[: ends[batch]])
+    sizes = [runs_after(path, batch)[1] for batch in range(n)]
+    assert max(sum(rows for _, rows in runs) for runs in sizes) <= 2 * 41
+    assert max(map(len, sizes)) <= 6 and sizes[-1][0][0] > 0
+    reader = read_latest_state(spark, path, schema, ["name"])
+    gone = drop_old_runs(path, keep=1)
+    assert gone and rows_of(reader) == plain_state(log)
+    assert {int(f.name.removeprefix("batch=")) for f in (tmp_path / "state").glob("batch=*")} == {run for run, _ in sizes[-1]}
+    folder.add([(10**6, "n1", "CHANGED", 7)])
+    start_latest_state(folder.stream(), path, str(tmp_path / "cp"), ["name"], in_order=in_order).awaitTermination()
+    assert rows_of(read_latest_state(spark, path, schema, ["name"])) == plain_state([*log, (10**6, "n1", "CHANGED", 7)])
+
+
+def test_rows_that_come_after_later_ones_change_nothing(spark, tmp_path, rows_of):
+    folder = Folder(spark, tmp_path, CHANGES)
+    for rows in ([(9, "a", "DELETED", 0)], [(5, "a", "CHANGED", 1), (6, "b", "CHANGED", 2)], [(7, "", "RESET", 0)], [(3, "c", "CHANGED", 3), (8, "d", "CHANGED", 4)]):
+        folder.add(rows)
+    path = str(tmp_path / "state")
+    start_latest_state(folder.stream(), path, str(tmp_path / "cp"), ["name"]).awaitTermination()
+    assert rows_of(read_latest_state(spark, path, folder.frame([]).schema, ["name"])) == [(8, "d", "CHANGED", 4)]
+
+
 STATUS = "seq bigint, ts timestamp_ntz, key string, status string"
 
 
