@@ -44,7 +44,6 @@ CLUSTER_TRANSITIONS_DRAWN = {
 }
 # A job whose cluster is missing falls back from any status.
 JOB_FALLBACK = {"Unknown"}
-JOB_FALLBACK_WHEN_DELETED = {"Unknown", "Terminated"}
 
 # How long a status is remembered without being observed again.
 REMEMBERED = timedelta(seconds=300)

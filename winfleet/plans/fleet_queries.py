@@ -356,6 +356,17 @@ def _stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_latest_state(spark, path, changes.schema, ["name"])
 
 
+@query("stream_latest_state_batches", _LATEST)
+def _stream_latest_state_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over several micro-batches, a file each, so that runs of the table are merged on the way."""
+    events = table(spark, sf_dir, "events")
+    folder, path = shared_dir(spark, "arrivals"), shared_dir(spark, "latest-state")
+    events.repartitionByRange(6, "event_id").write.parquet(folder)
+    changes = view_of(event_stream(spark, folder, events.schema, files_per_trigger=1), "fleet_changes")
+    start_latest_state(changes, path, shared_dir(spark, "progress"), ["name"]).awaitTermination()
+    return read_latest_state(spark, path, changes.schema, ["name"])
+
+
 _CHANGES = with_views(
     "WITH p AS (SELECT *, lag(status) OVER w AS ps, lag(ts) OVER w AS pt FROM status_log "
     "WINDOW w AS (PARTITION BY user_id ORDER BY ts, seq)) SELECT seq, ts, user_id, status FROM p "

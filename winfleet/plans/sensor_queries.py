@@ -42,12 +42,15 @@ HALF_DOWN = (
 MAXIMUM = "CAST(max(v) AS DECIMAL(18,2))"
 
 
-def windows_sql(aggregate: str, size: timedelta, slide: timedelta) -> str:
+NATIVE_HALF_DOWN = HALF_DOWN.replace("* 100 AS", "* 1000000 AS").replace("+ count(*) - 1", "+ 10000 * count(*) - 1").replace("(2 * count(*))", "(20000 * count(*))")
+
+
+def windows_sql(aggregate: str, size: timedelta, slide: timedelta, kind: str = "DECIMAL(18,2)") -> str:
     """Window rows ``location_id, window_start, temperature``, straight from the definition of a window."""
     size_s, slide_s = _seconds(size), _seconds(slide)
     back = (-(-size_s // slide_s) - 1) * slide_s
     return (
-        f"WITH base AS (SELECT user_id, ts, CAST(value AS DECIMAL(18,2)) AS v, "
+        f"WITH base AS (SELECT user_id, ts, CAST(value AS {kind}) AS v, "
         f"time_bucket(INTERVAL {slide_s} SECOND, ts, TIMESTAMP '1970-01-01') AS b FROM events), "
         f"spread AS (SELECT user_id, ts, v, unnest(generate_series(b - INTERVAL {back} SECOND, b, INTERVAL {slide_s} SECOND)) "
         f"AS ws FROM base) "
@@ -78,6 +81,14 @@ _window_query("tumbling_max_temperature", *_MAX, HOUR, HOUR)
 _window_query("gapped_window_avg", *_AVG, timedelta(minutes=5), timedelta(minutes=10))
 _window_query("gapped_window_max", *_MAX, timedelta(minutes=5), timedelta(minutes=10))
 
+
+@query("sliding_avg_temperature_native", windows_sql(NATIVE_HALF_DOWN, HOUR, timedelta(minutes=5), "DECIMAL(24,6)"))
+def _sliding_avg_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages of the values as they come, with all six decimals that sensor rows keep."""
+    windows = average_temperature(sensor_rows(table(spark, sf_dir, "events")))
+    return windows.withColumn("temperature", F.col("temperature").cast("decimal(18,2)"))
+
+
 _TIME = "strftime({}, '%Y-%m-%dT%H:%M:%S.%gZ')"
 _ROW_TIME = _TIME.format("ts")
 _ROW_VALUE = "CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR)"

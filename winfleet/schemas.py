@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# One sensor reading. A reading needs few digits; up to ten of them are summed as 64-bit integers (see operators.windows).
+# One sensor reading: eighteen digits and six decimals.
 TEMPERATURE = T.DecimalType(24, 6)
 
 SENSOR = T.StructType(
