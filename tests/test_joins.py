@@ -69,6 +69,19 @@ def test_longest_prefix_sorts_no_rows_to_aggregate(spark):
     assert "SortAggregate" not in longest._jdf.queryExecution().executedPlan().toString()
 
 
+def test_names_of_many_dashes_give_few_rows(spark, rows_of):
+    long = "-".join("abcdefghijklmnopqrstuvwxyz" * 4)
+    jobs = spark.createDataFrame([(long, 1), ("a-b", 2), ("a-b", 3), ("x", 4), (None, 5), ("-", 6), ("a--b", 7)], "name string, size int")
+    clusters = names(spark, ["a", "a-b-c", "zz", "", "a-"])
+    exploded = joins.with_name_prefixes(jobs, "name", "prefix", clusters)
+    assert exploded.where("size = 1").count() == 3  # as many dashes as names of clusters have: 0, 1 and 2
+    wanted = [(n, s, c) for n, s in [(r.name, r.size) for r in jobs.collect()] for c in ["a", "a-b-c", "zz", "", "a-"] if n and n.startswith(f"{c}-")]
+    joined = joins.prefix_join(jobs, clusters, within=())
+    assert rows_of(joined.select("name", "size", "cluster_name")) == sorted(wanted, key=repr)
+    generated = [line for line in joined._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode" in line]
+    assert generated and not any("size#" in line for line in generated)
+
+
 def test_resources_of_a_cluster(spark):
     everything = ["c", "c-a", "cc-a", "jobmanager-c", "jobmanager-c-1", "taskmanager-c-x", "bootstrap-c-a", "supervisor-c",
                   "supervisor-c-0", "taskmanager-cc-x"]

@@ -75,15 +75,24 @@ def resources_by_kind(resources: DataFrame, kinds: tuple[str, ...], namespace: s
     return resources.where((F.col("namespace") == namespace) & fits).withColumn("kind", F.explode(matching))
 
 
-def with_name_prefixes(rows: DataFrame, name: str, alias: str) -> DataFrame:
+def _dashes(name: str) -> Column:
+    return F.length(name) - F.length(F.replace(F.col(name), F.lit("-"), F.lit("")))
+
+
+def with_name_prefixes(rows: DataFrame, name: str, alias: str, of: DataFrame | None = None, of_name: str = "name") -> DataFrame:
     """One row per proper prefix of the name that ends before a '-'.
 
     ``a-b-c`` gives ``a`` and ``a-b``: exactly the texts x for which the name starts with ``x-``. Equality with one of them
-    replaces the startswith condition, which Spark could only run as a nested loop over all pairs.
+    replaces the startswith condition, which Spark could only run as a nested loop over all pairs. With ``of``, only prefixes
+    with as many dashes as some name there come out: a name of many dashes then gives few rows. How many dashes names have is a
+    short list, found before the rows are read.
     """
-    dashes = F.length(name) - F.length(F.replace(F.col(name), F.lit("-"), F.lit("")))
-    numbered = rows.withColumn("_dashes", dashes).where("_dashes > 0")
-    numbered = numbered.withColumn("_nth", F.explode(F.sequence(F.lit(1), "_dashes")))
+    numbered = rows.withColumn("_dashes", _dashes(name)).where("_dashes > 0")
+    places = F.sequence(F.lit(1), "_dashes")
+    if of is not None:
+        wanted = of.select(F.collect_set(_dashes(of_name) + 1).alias("_wanted"))
+        places = F.array_intersect(places, wanted.scalar())
+    numbered = numbered.withColumn("_nth", F.explode(places))
     return numbered.withColumn(alias, F.expr(f"substring_index({name}, '-', _nth)")).drop("_dashes", "_nth")
 
 
@@ -99,15 +108,16 @@ def prefix_join(
     if match not in ("all", "longest"):
         raise ValueError(f"match must be 'all' or 'longest', not {match!r}")
     renamed = clusters.select([F.col(c).alias(f"cluster_{c}") for c in clusters.columns])
+    # Names alone are exploded and matched; a job's other columns move once, for the names that have a cluster.
+    prefixes = with_name_prefixes(jobs.select(key, *within), key, "_prefix", clusters, key)
+    parents = clusters.select(F.col(key).alias("_prefix"), *within)
+    owned = prefixes.join(parents, ["_prefix", *within], "left_semi")
     if match == "longest":
-        prefixes = with_name_prefixes(jobs.select(key, *within), key, "_prefix")
-        parents = clusters.select(F.col(key).alias("_prefix"), *within)
-        owned = prefixes.join(parents, ["_prefix", *within], "left_semi")
         longest = owned.groupBy(key, *within).agg(F.max(F.length("_prefix")).alias("_length"))
         named = jobs.join(longest, [key, *within]).withColumn("_prefix", F.substring(key, F.lit(1), F.col("_length"))).drop("_length")
         named = named.select(*jobs.columns, "_prefix")
     else:
-        named = with_name_prefixes(jobs, key, "_prefix")
+        named = jobs.join(owned.distinct(), [key, *within]).select(*jobs.columns, "_prefix")
     condition = F.col("_prefix") == F.col(f"cluster_{key}")
     for column in within:
         condition = condition & (named[column] == F.col(f"cluster_{column}"))
@@ -117,7 +127,7 @@ def prefix_join(
 def orphans(jobs: DataFrame, clusters: DataFrame, within: tuple[str, ...] = WITHIN, key: str = "name") -> DataFrame:
     """Jobs without any cluster whose name they start with. Job names are unique (within those columns)."""
     parents = clusters.select(F.col(key).alias("_prefix"), *within)
-    exploded = with_name_prefixes(jobs.select(key, *within), key, "_prefix")
+    exploded = with_name_prefixes(jobs.select(key, *within), key, "_prefix", clusters, key)
     owned = exploded.join(parents, ["_prefix", *within], "left_semi").select(key, *within)
     return jobs.join(owned, [key, *within], "left_anti")
 
