@@ -12,7 +12,7 @@ from winfleet.operators.state import status_changes
 from winfleet.operators.windows import average_temperature
 from winfleet.sources.sensor import sensor_rows
 from winfleet.streaming.jobs import fork_job, job_batches, job_output, start_average_job
-from winfleet.streaming.keyed import keyed_status_changes, start_keyed_status_changes
+from winfleet.streaming.keyed import keyed_silences, keyed_status_changes, start_keyed
 from winfleet.streaming.rolling import Rolling, files_of, fork_rolled, read_rolled, write_rolled
 from winfleet.streaming.savepoints import fork_checkpoint, saved_batches, state_at
 from winfleet.streaming.sinks import window_lines
@@ -169,7 +169,7 @@ def test_keyed_changes_equal_the_table_s_in_any_order_within_lateness(spark, tmp
     for k in range(0, 900, 225):  # four runs: the state outlives each
         folder.add(rows[k : k + 225])
         changes = keyed_status_changes(folder.stream(), "key", remembered=remembered, lateness=lateness)
-        start_keyed_status_changes(changes, path, checkpoint).awaitTermination()
+        start_keyed(changes, path, checkpoint).awaitTermination()
         seen = max(r[1] for r in rows[: k + 225]) - lateness
         wanted = status_changes(folder.frame(rows[: k + 225]), "key", remembered=remembered).where(F.col("ts") <= F.lit(seen - timedelta(milliseconds=1)))
         got = spark.read.schema(changes.schema).parquet(path)
@@ -185,9 +185,29 @@ def test_keyed_state_forgets_silent_keys_and_drops_late_rows(spark, tmp_path):
     for rows in ([(1, at(0), "a", "x"), (2, at(1), "b", "x")], [(3, at(100), "c", "x")], [(4, at(50), "a", "y"), (5, at(2000), "c", "x")], [(6, at(2100), "b", "x"), (7, datetime(2024, 1, 2), "c", "x")]):
         folder.add(rows)
         changes = keyed_status_changes(folder.stream(), "key", remembered=timedelta(seconds=500), lateness=timedelta(seconds=10))
-        start_keyed_status_changes(changes, path, checkpoint).awaitTermination()
+        start_keyed(changes, path, checkpoint).awaitTermination()
         batch = saved_batches(checkpoint)[-1]
         last = spark.read.format("statestore").option("stateVarName", "last").option("batchId", batch).load(checkpoint)
         sizes.append(last.count())
     assert sorted(r.seq for r in spark.read.schema(changes.schema).parquet(path).collect()) == [1, 2, 3, 5, 6]  # 4 was too late, 7 is still held
-    assert sizes == [0, 2, 1, 1]  # c has a row to come
+    assert sizes == [0, 2, 0, 0]
+
+
+def test_silences_are_told_once_whether_or_not_a_row_follows(spark, tmp_path):
+    rng = random.Random(6)
+    limit, lateness = timedelta(seconds=90), timedelta(seconds=300)
+    rows = sorted(status_rows(rng, 500), key=lambda r: r[1] + timedelta(seconds=rng.randrange(0, 250)))
+    rows.append((500, START + timedelta(seconds=9000), "k1", "x"))  # time goes on, and all keys are silent
+    folder = Folder(spark, tmp_path, STATUS)
+    path, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    for upto, first in ((200, 0), (350, 200), (501, 350)):
+        folder.add(rows[first:upto])
+        alerts = keyed_silences(folder.stream(), "key", limit, lateness=lateness)
+        start_keyed(alerts, path, checkpoint).awaitTermination()
+        now = max(r[1] for r in rows[:upto]) - lateness
+        wanted = []
+        for key in {r[2] for r in rows[:upto]}:
+            own = sorted((r for r in rows[:upto] if r[2] == key), key=lambda r: (r[1], r[0]))
+            wanted += [a for a, b in zip(own, [*own[1:], None]) if (b is None or b[1] > a[1] + limit) and a[1] + limit <= now]
+        assert sorted(map(tuple, spark.read.schema(alerts.schema).parquet(path).collect())) == sorted(wanted)
+    assert len(wanted) > 40

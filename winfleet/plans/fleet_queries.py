@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from winfleet.streaming.fleet import (
     start_latest_state,
     start_status_changes,
 )
-from winfleet.streaming.keyed import keyed_status_changes, start_keyed_status_changes
+from winfleet.streaming.keyed import keyed_silences, keyed_status_changes, start_keyed
 
 FINALIZER = "supervisor"
 
@@ -393,20 +396,37 @@ def _stream_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PASSED = " AND epoch_us(ts) <= ((SELECT max(epoch_ms(ts)) FROM status_log) - 3600000) * 1000"
 
 
-@query("stream_status_changes_keyed", _CHANGES + _PASSED)
-def _stream_status_changes_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _late_and_restarted(spark: SparkSession, sf_dir: str, keyed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    folder, path, checkpoint = shared_dir(spark, "arrivals"), shared_dir(spark, "status-changes"), shared_dir(spark, "progress")
+    folder, path, checkpoint = shared_dir(spark, "arrivals"), shared_dir(spark, "keyed"), shared_dir(spark, "progress")
     arrival = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(3_000_000_000))
     low, high = events.agg(F.min(arrival), F.max(arrival)).first()
     early = F.coalesce(arrival < F.lit(((low or 0) + (high or 0)) // 2), F.lit(False))
     for arrived in (early, ~early):
         events.where(arrived).write.mode("append").parquet(folder)
         log = view_of(event_stream(spark, folder, events.schema), "status_log")
-        start_keyed_status_changes(keyed_status_changes(log, "user_id"), path, checkpoint).awaitTermination()
+        start_keyed(keyed(log), path, checkpoint).awaitTermination()
     return spark.read.schema(log.schema).parquet(path)
 
 
+@query("stream_status_changes_keyed", _CHANGES + _PASSED)
+def _stream_status_changes_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _late_and_restarted(spark, sf_dir, lambda log: keyed_status_changes(log, "user_id"))
+
+
+_SILENCES = with_views(
+    "WITH p AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, seq) AS nt FROM status_log) SELECT seq, ts, user_id, status FROM p "
+    "WHERE (nt IS NULL OR nt > ts + INTERVAL 6 HOUR) AND epoch_us(ts + INTERVAL 6 HOUR) <= ((SELECT max(epoch_ms(ts)) FROM status_log) - 3600000) * 1000",
+    "status_log",
+)
+
+
+@query("stream_overdue_alerts", _SILENCES)
+def _stream_overdue_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last sign of each key before it was silent for six hours, raised by timers."""
+    return _late_and_restarted(spark, sf_dir, lambda log: keyed_silences(log, "user_id", timedelta(hours=6)))
+
+
 def _illegal_sql(pairs: str) -> str:
     values = ", ".join("('{}', '{}')".format(*pair.split(">")) for pair in pairs.split())
     return with_views(

@@ -1,14 +1,14 @@
-"""Status changes of a stream with state per key and timers in event time.
+"""Status changes and silences of a stream with state per key and timers in event time.
 
 Each key holds the rows that the watermark has not passed and the last row it was judged by. A timer at the earliest held row fires
 once the watermark has passed it; the rows up to there are then taken in order of (time, seq), so rows may arrive in any
-order within ``lateness``. A later timer forgets a key that has been silent for longer than ``remembered``: its next row is a
-change in any case. A micro-batch touches only the keys that it has rows of and those whose timers fire.
+order within ``lateness``. A later timer fires when a key has been silent for its limit: status changes then forget the key, as its
+next row is a change in any case, and alerts are raised. A micro-batch touches only the keys that it has rows of and those whose timers fire.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import timedelta
 
@@ -37,15 +37,26 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_PROVIDER, before)
 
 
-class StatusChanges(StatefulProcessor):
-    """Rows hold ``_at`` (microseconds since the epoch) and all columns of the result."""
+class InOrder(StatefulProcessor):
+    """Takes each key's rows in order of (time, seq) once the watermark has passed them, and wakes when a key has been silent.
 
-    def __init__(self, schema: T.StructType, seq: str, watched: tuple[str, ...], remembered: timedelta):
+    Rows hold ``_at`` (microseconds since the epoch) and all columns of the result. Of a key it keeps the rows to come, the last
+    row taken, and the time of its timer.
+    """
+
+    def __init__(self, schema: T.StructType, seq: str, limit: timedelta):
         self.schema = schema
         self.names = schema.names
         self.at, self.seq = self.names.index("_at"), self.names.index(seq)
-        self.watched = [self.names.index(c) for c in watched]
-        self.remembered = remembered // timedelta(microseconds=1)
+        self.limit = limit // timedelta(microseconds=1)
+
+    def taken(self, last: tuple | None, row: tuple) -> Iterator[tuple]:
+        """What a row gives after the last one; that is None at first and after a silence."""
+        raise NotImplementedError
+
+    def silent(self, last: tuple) -> Iterator[tuple]:
+        """What it gives that no row has come within the limit after the last one."""
+        return iter(())
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -60,6 +71,9 @@ class StatusChanges(StatefulProcessor):
             self.handle.registerTimer(millis)
             self.due.update((millis,))
 
+    def _row(self, values: tuple) -> Row:
+        return Row(**dict(zip(self.names, values)))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         fresh = [tuple(row[c] for c in self.names) for row in rows]
         self.held.appendList(fresh)
@@ -76,26 +90,59 @@ class StatusChanges(StatefulProcessor):
         waiting = [row for row in held if row[self.at] > now]
         last = tuple(self.last.get()) if self.last.exists() else None
         for row in ready:
-            if last is None or row[self.at] > last[self.at] + self.remembered or any(row[i] != last[i] for i in self.watched):
-                yield Row(**dict(zip(self.names, row)))
+            if last is not None and row[self.at] > last[self.at] + self.limit:
+                yield from map(self._row, self.silent(last))
+                last = None
+            yield from map(self._row, self.taken(last, row))
             last = row
+        if last is not None and last[self.at] + self.limit <= now:
+            yield from map(self._row, self.silent(last))
+            last = None
         if waiting:
             self.held.put(waiting)
             self._wake(min(row[self.at] for row in waiting))
         elif held:
             self.held.clear()
-        if last is not None and not waiting:
-            if last[self.at] + self.remembered <= now:
-                self.last.clear()
-                return
-            self._wake(last[self.at] + self.remembered)
-        if ready:
+        if last is None:
+            self.last.clear()
+        else:
             self.last.update(last)
+            self._wake(last[self.at] + self.limit)
 
     def close(self) -> None:
         pass
 
 
+class StatusChanges(InOrder):
+    """A key's first row, one that differs in a watched column, and one after a silence."""
+
+    def __init__(self, schema: T.StructType, seq: str, limit: timedelta, watched: tuple[str, ...]):
+        super().__init__(schema, seq, limit)
+        self.watched = [self.names.index(c) for c in watched]
+
+    def taken(self, last: tuple | None, row: tuple) -> Iterator[tuple]:
+        if last is None or any(row[i] != last[i] for i in self.watched):
+            yield row
+
+
+class Silences(InOrder):
+    """The last row before each silence, once."""
+
+    def taken(self, last: tuple | None, row: tuple) -> Iterator[tuple]:
+        return iter(())
+
+    def silent(self, last: tuple) -> Iterator[tuple]:
+        yield last
+
+
+def _in_order(rows: DataFrame, key: str, time: str, lateness: timedelta, processor: Callable[[T.StructType], InOrder]) -> DataFrame:
+    importable(rows.sparkSession)
+    zoned = rows.where(F.col(time).isNotNull()).withColumn("_mark", F.col(time).cast("timestamp")).withColumn("_at", F.unix_micros("_mark"))
+    marked = zoned.withWatermark("_mark", f"{lateness // _MILLI} milliseconds")
+    kept = T.StructType([*rows.schema.fields, T.StructField("_at", T.LongType())])
+    return marked.groupBy(key).transformWithState(processor(kept), kept, "append", "EventTime").drop("_at")
+
+
 def keyed_status_changes(
     rows: DataFrame,
     key: str,
@@ -111,16 +158,23 @@ def keyed_status_changes(
     dropped, as are rows without a time. A key's rows are held by one task, ``lateness`` worth of them at a time. ``seq`` is
     not null and unique within a key and time.
     """
-    importable(rows.sparkSession)
-    zoned = rows.where(F.col(time).isNotNull()).withColumn("_mark", F.col(time).cast("timestamp")).withColumn("_at", F.unix_micros("_mark"))
-    marked = zoned.withWatermark("_mark", f"{lateness // _MILLI} milliseconds")
-    kept = T.StructType([*rows.schema.fields, T.StructField("_at", T.LongType())])
-    processor = StatusChanges(kept, seq, watched, remembered)
-    return marked.groupBy(key).transformWithState(processor, kept, "append", "EventTime").drop("_at")
+    return _in_order(rows, key, time, lateness, lambda kept: StatusChanges(kept, seq, remembered, watched))
+
+
+def keyed_silences(
+    rows: DataFrame, key: str, limit: timedelta, time: str = "ts", seq: str = "seq", lateness: timedelta = timedelta(hours=1)
+) -> DataFrame:
+    """The last row of a key before each silence of a stream: no row of the key within ``limit`` after it.
+
+    A silence is told once, when the watermark has passed its limit, whether or not another row comes; a timer does so, for which
+    no event is needed. Rows may come in any order within ``lateness``. Overdue jobs and due periodic actions are such silences:
+    they begin at the row's time plus ``limit``.
+    """
+    return _in_order(rows, key, time, lateness, lambda kept: Silences(kept, seq, limit))
 
 
-def start_keyed_status_changes(changes: DataFrame, path: str, checkpoint: str, interval: timedelta | None = None) -> StreamingQuery:
-    """Write what ``keyed_status_changes`` gives as Parquet files below ``path``, each row once."""
+def start_keyed(changes: DataFrame, path: str, checkpoint: str, interval: timedelta | None = None) -> StreamingQuery:
+    """Write what ``keyed_status_changes`` or ``keyed_silences`` gives as Parquet files below ``path``, each row once."""
     with rocksdb_state(changes.sparkSession):
         writer = changes.writeStream.format("parquet").outputMode("append").option("path", path)
         return writer.option("checkpointLocation", checkpoint).trigger(**every(interval)).start()
