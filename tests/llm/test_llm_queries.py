@@ -20,6 +20,8 @@ COLUMNS = {
     "op7_composite_text_density": ["page_id", "url", "text", "n_chars"],
     "op9_hyperdimensional_language": ["doc_id", "held_out", "lang_pred", "score"],
     "op10_entropy_balancing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op11_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op13_license_scan": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
 }
 
 
