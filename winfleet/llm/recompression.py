@@ -7,7 +7,8 @@ all of them are inside a window of words, any other occurrence of that window ha
 
 Each window of words is given to the highest such symbol inside it (ties by hash), together with the words it looked at: its
 anchor. Equal windows have equal anchors. Spark counts anchors over the corpus; only windows whose anchor occurs in several texts
-can repeat, and only those are compared by names of their own, 128 bits long. Equal texts are one text in this.
+can repeat, and only those are compared by names of their own: two hashes of the 64-bit names of their words. Equal texts are one
+text in this.
 """
 
 from __future__ import annotations
