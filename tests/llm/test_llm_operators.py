@@ -162,6 +162,41 @@ def test_packing(docs, nothing):
     assert packing.best_fit(nothing).collect() == []
 
 
+def test_packing_follows_from_the_rows(spark, docs, rows_of):
+    """Not from their partitions, and repeated rows are spread over groups."""
+    rows = docs.select("doc_id", "text").union(spark.range(500).selectExpr("7L AS doc_id", "'one row many times over' AS text"))
+    first = rows_of(packing.best_fit(rows, lengths=(64, 128), group_pieces=40))
+    again = rows_of(packing.best_fit(rows.repartition(7, "text").union(rows.limit(0)), lengths=(64, 128), group_pieces=40))
+    assert first == again
+    copies = [r for r in first if r[0] == 7 and r[3] == 5]
+    assert len(copies) >= 500 and len({r[4].split("-")[0] for r in copies}) > 5
+
+
+def plain_pack(sizes, lengths, overhead):
+    """Best fit by looking at every open bin."""
+    bins, out = [], []
+    for i, size in enumerate(sizes):
+        open_bins = [(room, -born, b) for b, (room, born, _) in enumerate(bins) if room >= size and room]
+        if open_bins:
+            b = min(open_bins)[2]
+        else:
+            rest = sum(sizes[i:])
+            cost = {c: (overhead + c) / min(c, rest) for c in lengths if c >= size}
+            b = len(bins)
+            bins.append([min(cost, key=lambda c: (cost[c], c)), 0, 0])
+        out.append((b, bins[b][2]))
+        bins[b] = [bins[b][0] - size, i, bins[b][2] + size]
+    return [(b, place, min(c for c in lengths if c >= bins[b][2])) for b, place in out]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_packing_agrees_with_a_plain_version(seed):
+    source = np.random.default_rng(seed)
+    sizes = sorted(source.integers(1, 257, 300).tolist(), reverse=True)
+    bins, places, final = packing.pack(np.array(sizes), (64, 128, 256), 16.0)
+    assert list(zip(bins.tolist(), places.tolist(), final.tolist())) == plain_pack(sizes, (64, 128, 256), 16.0)
+
+
 def test_packing_opens_the_cheapest_bin():
     bins, places, final = packing.pack(np.array([100, 60, 56, 40]), (128, 256), overhead=64)  # (64 + 256) / 256 beats (64 + 128) / 128
     assert bins.tolist() == [0, 0, 0, 0] and places.tolist() == [0, 100, 160, 216] and set(final) == {256}

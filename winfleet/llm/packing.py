@@ -13,8 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winfleet.llm.common import written
+
 LENGTHS = (512, 1024, 2048, 4096)
 WORD = r"[^\x20\x09-\x0D]+"
+# Equal rows that one task numbers at a time.
+LOT = 10_000
 
 
 def word_count(text: str) -> Column:
@@ -63,18 +67,23 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     ``piece_start`` and ``piece_words`` count words of the document, ``bin_start`` is the piece's place in its bin. bin_id is text:
     group and number. Documents without words (null or empty) have no piece. Repeated rows are packed once per row. The number of
     groups follows the number of pieces, so a group holds about ``group_pieces`` of them; a larger group fills its bins better.
+    The result follows from the rows alone, however they are partitioned.
     """
     top = max(lengths)
     sizes = docs.select(F.col(id_col).alias("id"), word_count(text_col).alias("words"), F.xxhash64(id_col, text_col).alias("deal")).where("words > 0")
-    pieces = sizes.select("id", "words", "deal", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(words - 1) div {top}"))).alias("piece"))
-    pieces = pieces.select("id", "deal", "piece", (F.col("piece") * top).alias("piece_start"), F.least(F.lit(top), F.col("words") - F.col("piece") * top).cast("long").alias("piece_words"))
-    n = pieces.agg(F.count("*")).first()[0]
+    # Rows that repeat exactly are counted and then numbered, so that each goes to a group of its own: first in lots, then
+    # within lots, which are dealt to tasks in between.
+    lots = sizes.groupBy("id", "words", "deal").agg(F.count("*").alias("rows"))
+    lots = written(lots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {LOT}"))).alias("lot")), "pack-sizes")
+    n = lots.agg(F.sum(F.least(F.lit(LOT), F.col("rows") - F.col("lot") * LOT) * F.expr(f"(words - 1) div {top} + 1"))).first()[0] or 0
     groups = max(1, -(-n // group_pieces))
-    # The row number inside the scan spreads rows that repeat exactly.
-    pieces = pieces.withColumn("bin_group", F.pmod(F.xxhash64("deal", "piece", F.monotonically_increasing_id()), F.lit(groups)))
+    copies = lots.repartition("deal", "lot").select("id", "words", "deal", F.explode(F.sequence(F.col("lot") * LOT, F.least(F.col("rows"), F.col("lot") * LOT + LOT) - 1)).alias("copy"))
+    pieces = copies.select("id", "words", "deal", "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(words - 1) div {top}"))).alias("piece"))
+    pieces = pieces.select("id", "deal", "copy", "piece", (F.col("piece") * top).alias("piece_start"), F.least(F.lit(top), F.col("words") - F.col("piece") * top).cast("long").alias("piece_words"))
+    pieces = pieces.withColumn("bin_group", F.pmod(F.xxhash64("deal", "piece", "copy"), F.lit(groups)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["piece_words", "deal", "piece"], ascending=[False, True, True], ignore_index=True)
+        group = group.sort_values(["piece_words", "deal", "piece", "copy"], ascending=[False, True, True, True], ignore_index=True)
         bins, places, final = pack(group["piece_words"].to_numpy(), lengths, overhead)
         group["bin_id"] = group["bin_group"].astype(str) + "-" + pd.Series(bins).astype(str)
         group["bin_start"], group["bin_length"] = places, final
