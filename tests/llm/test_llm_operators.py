@@ -10,6 +10,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from conftest import TESTDATA
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from winfleet.llm import embedding_dedup, fingerprints, html_density, language_id, mixing, order_minhash, packing, recompression, token_output, warc
 from winfleet.llm.common import components
+from winfleet.llm.words import split_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, mark int, digest int"
@@ -490,6 +492,20 @@ def test_repeats(docs, nothing):
     assert recompression.without_repeats(nothing).collect() == []
 
 
+def test_hot_passages_are_dealt_to_many_tasks(docs, monkeypatch):
+    columns = ("doc_id", "n_removed", "kept_sha256")
+    wanted = rows_of(recompression.without_repeats(docs).select(*columns))
+    monkeypatch.setattr(recompression, "HOT", 2)
+    assert rows_of(recompression.without_repeats(docs).select(*columns)) == wanted
+
+
+def test_words_have_two_independent_names():
+    words = split_words(pa.array(["a b a", None, "", "b c"]), twice=True)
+    assert words.hashes[0] == words.hashes[2] and words.seconds[0] == words.seconds[2] and words.seconds[1] == words.seconds[3]
+    assert len(set(words.hashes.tolist()) | set(words.seconds.tolist())) == 6
+    assert len(split_words(pa.array([None, " "], pa.string()), twice=True).seconds) == 0
+
+
 def test_rows_without_id_neither_give_nor_lose_words(spark):
     text = " ".join(f"w{i}" for i in range(20))
     got = recompression.without_repeats(spark.createDataFrame([(None, text), (2, text), (2, text), (3, text + " more")], "doc_id long, text string"))

@@ -7,8 +7,8 @@ all of them are inside a window of words, any other occurrence of that window ha
 
 Each window of words is given to the highest such symbol inside it (ties by hash), together with the words it looked at: its
 anchor. Equal windows have equal anchors. Spark counts anchors over the corpus; only windows whose anchor occurs in several texts
-can repeat, and only those are compared by names of their own: two hashes of the 64-bit names of their words. Equal texts are one
-text in this.
+can repeat, and only those are compared by names of their own, of 128 bits: a hash of the names of their words, and another one
+of other names of their words, so that words that share a name by chance do not share the other. Equal texts are one text in this.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winfleet.llm.common import digest, text_slices, written
+from winfleet.llm.common import digest, likely_in, text_slices, written
 from winfleet.llm.words import Words, mix, runs_of, split_words
 
 WINDOW = 13
 ROUNDS = 2
+# A window in this many places or more is hot, and dealt to this many tasks.
+HOT, SALTS = 1000, 32
 _RUN, _PAIR, _SECOND = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FAR = 1 << 40
@@ -103,10 +105,6 @@ def anchors(words: Words, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[n
     return best, has_window
 
 
-def _window_names(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    return runs_of(hashes, window).view(np.int64), runs_of(hashes, window, _SECOND).view(np.int64)
-
-
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, digest, marks: for every text that loses words, the first words (0-based) of the windows that go; null: all of it.
 
@@ -136,14 +134,14 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text", 1_000_000):
-                words = split_words(part["text"])
+                words = split_words(part["text"], twice=True)
                 best, has_window = anchors(words, window)
                 best = best.view(np.int64)
                 texts, places, names, seconds = [], [], [], []
                 for k, shared_here in enumerate(part["shared"]):
                     a, b = words.offsets[k], words.offsets[k + 1]
                     at = np.flatnonzero(has_window[a:b] & np.isin(best[a:b], shared_here.values.to_numpy()))
-                    one, two = _window_names(words.hashes[a:b], window)
+                    one, two = runs_of(words.hashes[a:b], window).view(np.int64), runs_of(words.seconds[a:b], window, _SECOND).view(np.int64)
                     texts.append(np.full(len(at), k))
                     places.append(at)
                     names.append(one[at])
@@ -153,8 +151,14 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     texts = keyed.join(asked, ["doc_id", "digest"])
     named = written(texts.select("doc_id", "digest", "text", "shared").mapInArrow(windows, T.StructType(fields)), "repeat-windows")
-    earliest = named.groupBy("name", "second").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name", "second", "low")
-    gone = named.join(earliest, ["name", "second"]).where("low < doc_id").groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("at")).alias("marks"))
+    earliest = named.groupBy("name", "second").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
+    earliest = written(earliest.select("name", "second", "low", "n"), "repeat-earliest")
+    # A passage in very many texts: its windows are dealt by place, and its earliest text goes to all of those tasks.
+    hot = likely_in(earliest.where(F.col("n") >= HOT), "name")
+    dealt = named.withColumn("salt", F.when(hot("name"), F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS))).otherwise(0))
+    salts = F.when(hot("name"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    spread = earliest.select("name", "second", "low", F.explode(salts).alias("salt"))
+    gone = dealt.join(spread, ["name", "second", "salt"]).where("low < doc_id").groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("at")).alias("marks"))
     copies = listed.select("doc_id", "digest").join(copied, "digest").where("doc_id > first_id").select("doc_id", "digest", F.lit(None).cast("array<long>").alias("marks")).distinct()
     return written(gone.union(copies), "repeat-marks")
 

@@ -17,6 +17,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _random = np.random.default_rng(20240901)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_OTHER_BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER_STEP = np.uint64(0xD1342543DE82EF95)
 _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -36,17 +38,18 @@ class Words:
     ends: np.ndarray
     offsets: np.ndarray  # the words of text i are offsets[i] to offsets[i + 1]
     data: np.ndarray  # the bytes of all texts
+    seconds: np.ndarray | None = None  # another 64-bit name for each word, independent of the first
 
 
-def split_words(texts: pa.Array) -> Words:
-    """Words of a string array; a null text has none."""
+def split_words(texts: pa.Array, twice: bool = False) -> Words:
+    """Words of a string array; a null text has none. With ``twice``, words get two independent names."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[bounds[0] : bounds[-1]]
     bounds = bounds - bounds[0]
     if len(data) == 0:
         empty = np.zeros(0, dtype=np.int64)
-        return Words(empty.astype(np.uint64), empty, empty, np.zeros(len(texts) + 1, dtype=np.int64), data)
+        return Words(empty.astype(np.uint64), empty, empty, np.zeros(len(texts) + 1, dtype=np.int64), data, empty.astype(np.uint64))
     inside = ~SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -57,15 +60,19 @@ def split_words(texts: pa.Array) -> Words:
     last[:-1] = inside[:-1] & (~inside[1:] | first[1:])
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     lengths = ends - starts
-    if len(starts) == 0:
-        hashes = np.zeros(0, dtype=np.uint64)
-    else:
+    hashes = seconds = np.zeros(0, dtype=np.uint64)
+    if len(starts):
         chosen = data[inside]
         at = np.cumsum(lengths) - lengths
         place = np.arange(len(chosen)) - np.repeat(at, lengths)
-        powers = np.multiply.accumulate(np.full(int(lengths.max()), _STEP))
-        hashes = mix(np.add.reduceat(_BYTE[chosen] * powers[place], at) ^ mix(lengths.astype(np.uint64)))
-    return Words(hashes, starts, ends, np.searchsorted(starts, bounds), data)
+
+        def names(table: np.ndarray, step: np.uint64) -> np.ndarray:
+            powers = np.multiply.accumulate(np.full(int(lengths.max()), step))
+            return mix(np.add.reduceat(table[chosen] * powers[place], at) ^ mix(lengths.astype(np.uint64)))
+
+        hashes = names(_BYTE, _STEP)
+        seconds = names(_OTHER_BYTE, _OTHER_STEP) if twice else None
+    return Words(hashes, starts, ends, np.searchsorted(starts, bounds), data, seconds)
 
 
 def runs_of(hashes: np.ndarray, size: int, factor: np.uint64 = _SHINGLE) -> np.ndarray:
