@@ -9,19 +9,20 @@ Plans
 * stream, tumbling or gapped (slide >= size): one aggregation on (key, window); a row belongs to at most one window, or the
   state store needs the rows expanded.
 * sliding window over a table: a row belongs to size/slide windows, and expanding the rows would send that many copies
-  through the shuffle. Instead rows are first reduced to panes (the gcd of size and slide) with map-side partial
-  aggregation, so a hot key collapses to one row per pane before it is moved, and its panes spread over all tasks. Pane rows
-  are then moved once, by key and time block, and expanded to windows inside the block: the aggregation on
-  (key, block, window) finds its rows already together, so the expanded rows never cross the network. A pane near a block
-  edge goes to every block that holds one of its windows, usually one.
+  through the shuffle. Instead rows that share all their windows are first reduced to one *pane* (one per slide, or two where
+  slide does not divide size) with map-side partial aggregation, so a hot key collapses before it is moved, and its panes
+  spread over all tasks. Panes are then moved once, by key and time block; a pane near a block edge goes to every block that
+  holds one of its windows, usually one.
+* sums inside a block: a pane is added where its first window starts and taken away behind its last one. The running sum of
+  these two changes per pane is every window's sum, so work follows panes and results, not their number of windows.
+* maxima inside a block cannot be taken away again; panes are expanded to windows there and never cross the network.
 """
 
 from __future__ import annotations
 
 from datetime import timedelta
-from math import gcd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,22 +42,38 @@ def average_temperature(
 
     Sums are exact: digits are summed in limbs of 64 bits. The result has eighteen digits, or as many as the whole part of the
     input needs; averages of 10^36 or more do not fit and fail. ``panes=None`` picks the plan as described above."""
+    kind = _decimal(rows)
+    names = _limb_names(kind)
+    totals = _aggregate(average_readings(rows), size, slide, panes, *average_sums(kind), sums=[*names, "n"])
+    return average_of(totals, kind)
+
+
+def average_readings(rows: DataFrame) -> DataFrame:
+    """Rows with the limbs of their temperature."""
+    kind = _decimal(rows)
+    digits = [limb.alias(name) for name, limb in zip(_limb_names(kind), limbs(F.col("temperature"), kind))]
+    return rows.where("temperature IS NOT NULL").select("location_id", "event_time", *digits)
+
+
+def average_sums(kind: T.DecimalType) -> tuple[list[Column], list[Column]]:
+    """Aggregates of readings, and aggregates of those."""
+    sums = [F.sum(name).alias(name) for name in _limb_names(kind)]
+    return [*sums, F.count("*").alias("n")], [*sums, F.sum("n").alias("n")]
+
+
+def average_of(totals: DataFrame, kind: T.DecimalType) -> DataFrame:
+    return with_mean(totals, _limb_names(kind), "n", kind, "temperature").select("location_id", "window_start", "temperature")
+
+
+def _limb_names(kind: T.DecimalType) -> list[str]:
+    return [f"limb{k}" for k in range(limb_count(kind))]
+
+
+def _decimal(rows: DataFrame) -> T.DecimalType:
     kind = rows.schema["temperature"].dataType
     if not isinstance(kind, T.DecimalType):
         raise TypeError(f"temperature must be a decimal, not {kind.simpleString()}")
-    names = [f"limb{k}" for k in range(limb_count(kind))]
-    digits = [limb.alias(name) for name, limb in zip(names, limbs(F.col("temperature"), kind))]
-    readings = rows.where("temperature IS NOT NULL").select("location_id", "event_time", *digits)
-    sums = [F.sum(name).alias(name) for name in names]
-    totals = _aggregate(
-        readings,
-        size,
-        slide,
-        panes,
-        partial=[*sums, F.count("*").alias("n")],
-        merge=[*sums, F.sum("n").alias("n")],
-    )
-    return with_mean(totals, names, "n", kind, "temperature").select("location_id", "window_start", "temperature")
+    return kind
 
 
 def maximum_temperature(
@@ -77,13 +94,15 @@ def _aggregate(
     panes: bool | None,
     partial: list[Column],
     merge: list[Column],
+    sums: list[str] | None = None,
 ) -> DataFrame:
+    """``sums`` names the aggregates if all of them are sums of integers and the last one counts rows."""
     if size <= timedelta(0) or slide <= timedelta(0):
         raise ValueError("size and slide must be positive")
     if panes is None:
         panes = not rows.isStreaming
     if panes and slide < size:
-        return _by_panes(rows, size, slide, partial, merge)
+        return windows_of_panes(with_spans(rows, size, slide).groupBy("location_id", "first", "last").agg(*partial), size, slide, merge, sums)
     if slide > size:
         # F.window rejects gaps between windows; the tumbling window of length slide starts where the gapped one does.
         slots = rows.withColumn("window", F.window("event_time", interval_text(slide)))
@@ -94,30 +113,34 @@ def _aggregate(
     return grouped.agg(*partial).withColumn("window_start", F.col("window.start"))
 
 
-def _by_panes(
-    rows: DataFrame, size: timedelta, slide: timedelta, partial: list[Column], merge: list[Column]
-) -> DataFrame:
-    pane = timedelta(microseconds=gcd(micros(size), micros(slide)))
-    block = slide * (BLOCK_SIZES * -(-size // slide))
-    panes = rows.groupBy("location_id", F.window("event_time", interval_text(pane)).alias("pane")).agg(*partial)
-    panes = panes.withColumn("pane", F.col("pane.start"))
-
-    # A pane's windows start at the multiples of slide in (pane - size, pane]. Every step is a select of its own because
-    # a select takes a single window expression.
-    spans = panes.withColumn("last", _floor("pane", slide) if pane != slide else F.col("pane"))
-    spans = spans.withColumn("first", F.col("last") - F.lit(slide * (-(-size // slide) - 1)))
-    spans = spans.withColumn("low", _floor("first", block))
-    spans = spans.withColumn("high", _floor("last", block))
-    copies = spans.withColumn("block", F.explode(F.sequence("low", "high", F.lit(block))))
-    moved = copies.repartition("location_id", "block")
-    starts = F.sequence(
-        F.greatest("first", "block"), F.least(F.col("last"), F.col("block") + F.lit(block - slide)), F.lit(slide)
-    )
-    expanded = moved.withColumn("window_start", F.explode(starts))
+def with_spans(rows: DataFrame, size: timedelta, slide: timedelta) -> DataFrame:
+    """Add ``first`` and ``last``, the starts of the first and the last window that holds a row; rows of no window go."""
+    spans = rows.withColumn("last", _floor(F.col("event_time"), slide))
     if micros(size) % micros(slide):
-        expanded = expanded.where(F.col("window_start") + F.lit(size) > F.col("pane"))
-    return expanded.groupBy("location_id", "block", "window_start").agg(*merge)
+        return spans.withColumn("first", _floor(F.col("event_time") - F.lit(size), slide)).withColumn("first", F.col("first") + F.lit(slide)).where("first <= last")
+    return spans.withColumn("first", F.col("last") - F.lit(size - slide))
 
 
-def _floor(column: str, length: timedelta) -> Column:
+def windows_of_panes(panes: DataFrame, size: timedelta, slide: timedelta, merge: list[Column], sums: list[str] | None = None) -> DataFrame:
+    """Windows of panes: rows of aggregates with their ``location_id`` and the ``first`` and ``last`` window they belong to."""
+    block = slide * (BLOCK_SIZES * -(-size // slide))
+    # Every step is a select of its own because a select takes a single window expression.
+    spans = panes.withColumn("low", _floor(F.col("first"), block))
+    spans = spans.withColumn("high", _floor(F.col("last"), block))
+    copies = spans.withColumn("block", F.explode(F.sequence("low", "high", F.lit(block))))
+    moved = copies.repartition("location_id", "block").withColumn("first", F.greatest("first", "block"))
+    if sums is None:
+        starts = F.sequence(F.col("first"), F.least(F.col("last"), F.col("block") + F.lit(block - slide)), F.lit(slide))
+        return moved.withColumn("window_start", F.explode(starts)).groupBy("location_id", "block", "window_start").agg(*merge)
+    comes = F.struct(F.col("first").alias("at"), *sums)
+    goes = F.struct((F.col("last") + F.lit(slide)).alias("at"), *[(-F.col(name)).alias(name) for name in sums])
+    changes = moved.select("location_id", "block", F.explode(F.array(comes, goes)).alias("change")).select("location_id", "block", "change.*")
+    changes = changes.where(F.col("at") < F.col("block") + F.lit(block)).groupBy("location_id", "block", "at").agg(*merge)
+    in_order = Window.partitionBy("location_id", "block").orderBy("at")
+    running = changes.select("location_id", "block", "at", F.lead("at").over(in_order).alias("until"), *[F.sum(name).over(in_order).alias(name) for name in sums])
+    until = F.coalesce("until", F.col("block") + F.lit(block)) - F.lit(slide)
+    return running.where(F.col(sums[-1]) > 0).withColumn("window_start", F.explode(F.sequence(F.col("at"), until, F.lit(slide))))
+
+
+def _floor(column: Column, length: timedelta) -> Column:
     return F.window(column, interval_text(length)).getField("start")
