@@ -17,6 +17,7 @@ from winfleet.plans.registry import query
 from winfleet.plans.views import table
 from winfleet.session import shared_dir
 from winfleet.sources.sensor import event_stream, sensor_rows, table_stream
+from winfleet.streaming.fanout import start_fanout_job
 from winfleet.streaming.jobs import fork_job, job_batches, job_output, start_average_job, start_maximum_job
 from winfleet.streaming.rolling import read_rolled
 from winfleet.streaming.sinks import bucket_counts, read_buckets, sensor_lines, window_lines, write_buckets
@@ -296,3 +297,33 @@ def _stream_fork(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.where(third > 1).withColumn("value", F.col("value") * 2).write.parquet(others)
     run(others, "fork")
     return read_rolled(spark, job_output(output, "fork", "average"))
+
+
+def _fan_out(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    """Rows and windows of one query that reads each of three arrivals once, restarted between them."""
+    events = table(spark, sf_dir, "events")
+    folder, output, checkpoints = shared_dir(spark, "arrivals"), shared_dir(spark, "out"), shared_dir(spark, "progress")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(micros), F.max(micros)).first()
+    third = F.coalesce(F.least(F.floor((micros - F.lit(low)) / F.lit(max(1, ((high or 0) - (low or 0)) // 3))), F.lit(2)), F.lit(2))
+    for k in range(3):
+        events.where(third == k).write.mode("append").parquet(folder)
+        rows = sensor_rows(event_stream(spark, folder, events.schema), kind=TWO_DECIMALS)
+        start_fanout_job(rows, output, checkpoints, part=part, lateness=DEMO_LATENESS, interval=None).awaitTermination()
+    sinks = [read_rolled(spark, job_output(output, "run", sink)).withColumn("sink", F.lit(sink)) for sink in ("sensor", part)]
+    return sinks[0].unionByName(sinks[1])
+
+
+def _fan_out_sql(aggregate: str, part: str) -> str:
+    rows = f"SELECT {_BUCKET.format('ts')} AS bucket, {_ROW_TIME} || ',' || event_id || ',' || user_id || ',' || {_ROW_VALUE} AS value, 'sensor' AS sink FROM events"
+    return f"{rows} UNION ALL SELECT bucket, value, '{part}' AS sink FROM ({_closed_sql(aggregate)})"
+
+
+@query("stream_fan_out_average", _fan_out_sql(HALF_DOWN, "average"))
+def _stream_fan_out_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fan_out(spark, sf_dir, "average")
+
+
+@query("stream_fan_out_maximum", _fan_out_sql(MAXIMUM, "maximum"))
+def _stream_fan_out_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fan_out(spark, sf_dir, "maximum")
