@@ -211,3 +211,25 @@ def test_silences_are_told_once_whether_or_not_a_row_follows(spark, tmp_path):
             wanted += [a for a, b in zip(own, [*own[1:], None]) if (b is None or b[1] > a[1] + limit) and a[1] + limit <= now]
         assert sorted(map(tuple, spark.read.schema(alerts.schema).parquet(path).collect())) == sorted(wanted)
     assert len(wanted) > 40
+
+
+def test_lines_are_not_broadcast_when_spark_takes_them_for_few(spark, tmp_path, monkeypatch):
+    """As in a micro-batch that reads no rows and closes windows; such plans are not adaptive."""
+    rows, plans, kind = [(f"b{i % 7}", "x" * 50) for i in range(100)], [], type(spark.range(1))
+    apply = kind.mapInArrow
+
+    def noted(frame, function, schema, *more, **others):
+        plans.append((frame.columns, frame._jdf.queryExecution().executedPlan().toString()))
+        return apply(frame, function, schema, *more, **others)
+
+    monkeypatch.setattr(kind, "mapInArrow", noted)
+    monkeypatch.setattr("winfleet.streaming.rolling.FILES_PER_TASK", 1)
+    lines = spark.createDataFrame(rows, LINES)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        write_rolled(lines, str(tmp_path / "a"), 0, Rolling(size=100))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    (dealt,) = [plan for columns, plan in plans if "part" in columns]
+    assert "BroadcastHashJoin" in dealt and "BuildLeft" not in dealt.split("InMemoryRelation")[0]
+    assert held(spark, str(tmp_path / "a")) == Counter(rows)

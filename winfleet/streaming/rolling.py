@@ -161,8 +161,10 @@ def write_rolled(lines: DataFrame, path: str, batch: int, rolling: Rolling = Rol
     try:
         taken = alive.join(plan, same, "left_semi")
         every_line = fresh.unionByName(_lines_of(taken))
-        dealt = every_line.withColumn("_deal", F.xxhash64("value", F.monotonically_increasing_id())).join(plan, same)
-        dealt = dealt.select("bucket", F.pmod("_deal", "_spread").alias("part"), "opened", "value")
+        # Lines are never the side that is broadcast, whatever Spark takes their size for; large buckets are one per FILES_PER_TASK files.
+        large = F.broadcast(plan.where("_spread > 1"))
+        dealt = every_line.withColumn("_deal", F.xxhash64("value", F.monotonically_increasing_id())).join(large, same, "left")
+        dealt = dealt.select("bucket", F.pmod("_deal", F.coalesce("_spread", F.lit(1))).alias("part"), "opened", "value")
         dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
         added = dealt.mapInArrow(_writer(f"{path}/files", rolling.size, now), ENTRY).withColumn("added", F.lit(True))
         log = f"{path}/log/batch={batch}"
