@@ -145,3 +145,14 @@ def test_pane_plan_combines_before_it_moves_rows(spark):
     assert plan.count("Exchange hashpartitioning") == 2
     assert "partial_sum(" in plan.split("Exchange hashpartitioning")[-1]
     assert "window_start" not in plan.split("Exchange hashpartitioning")[1]
+
+
+def test_sliding_maxima_are_not_expanded_before_they_are_taken(spark):
+    """Work inside a task follows panes, so that its memory does not hold a row per pane and window."""
+    readings = [(f"k{k % 3}", 400 * k, k % 7) for k in range(100)]
+    rows = sensor_frame(spark, readings)
+    frame = maximum_temperature(rows, timedelta(hours=1), timedelta(seconds=10))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    names = [line.strip(" :+-").split(" ")[0] for line in plan]
+    assert names.count("Aggregate") == 1 and "Window" in names  # rows to panes; nothing is grouped after that
+    assert as_dict(frame) == brute_force(readings, 3600, 10, max)

@@ -15,7 +15,9 @@ Plans
   holds one of its windows, usually one.
 * sums inside a block: a pane is added where its first window starts and taken away behind its last one. The running sum of
   these two changes per pane is every window's sum, so work follows panes and results, not their number of windows.
-* maxima inside a block cannot be taken away again; panes are expanded to windows there and never cross the network.
+* maxima inside a block cannot be taken away again. They change where a pane comes or goes, so at each such place the maximum is
+  taken over the panes that began no longer ago than a pane lasts; windows in between repeat it. Tasks sort two or three rows
+  per pane and hash none.
 """
 
 from __future__ import annotations
@@ -121,25 +123,70 @@ def with_spans(rows: DataFrame, size: timedelta, slide: timedelta) -> DataFrame:
     return spans.withColumn("first", F.col("last") - F.lit(size - slide))
 
 
-def windows_of_panes(panes: DataFrame, size: timedelta, slide: timedelta, merge: list[Column], sums: list[str] | None = None) -> DataFrame:
-    """Windows of panes: rows of aggregates with their ``location_id`` and the ``first`` and ``last`` window they belong to."""
+def windows_of_panes(
+    panes: DataFrame,
+    size: timedelta,
+    slide: timedelta,
+    merge: list[Column],
+    sums: list[str] | None = None,
+    oldest: Column | None = None,
+    newest: Column | None = None,
+) -> DataFrame:
+    """Windows of panes: rows of aggregates with their ``location_id`` and the ``first`` and ``last`` window they belong to.
+
+    Aggregates other than ``sums`` are maxima. ``oldest`` and ``newest`` are the starts of the first and the last window wanted.
+    """
     block = slide * (BLOCK_SIZES * -(-size // slide))
     # Every step is a select of its own because a select takes a single window expression.
     spans = panes.withColumn("low", _floor(F.col("first"), block))
     spans = spans.withColumn("high", _floor(F.col("last"), block))
     copies = spans.withColumn("block", F.explode(F.sequence("low", "high", F.lit(block))))
-    moved = copies.repartition("location_id", "block").withColumn("first", F.greatest("first", "block"))
-    if sums is None:
-        starts = F.sequence(F.col("first"), F.least(F.col("last"), F.col("block") + F.lit(block - slide)), F.lit(slide))
-        return moved.withColumn("window_start", F.explode(starts)).groupBy("location_id", "block", "window_start").agg(*merge)
-    comes = F.struct(F.col("first").alias("at"), *sums)
+    moved = copies.repartition("location_id", "block")
+    running = _running_maxima(moved, size, slide, block) if sums is None else _running_sums(moved, slide, block, merge, sums)
+    begin, end = F.col("at"), F.coalesce("until", F.col("block") + F.lit(block))
+    begin = begin if oldest is None else F.greatest(begin, oldest)
+    end = end if newest is None else F.least(end, newest + F.lit(slide))
+    running = running.withColumn("until", end).withColumn("at", begin).where("at < until")
+    return running.withColumn("window_start", F.explode(F.sequence("at", F.col("until") - F.lit(slide), F.lit(slide))))
+
+
+def _running_sums(moved: DataFrame, slide: timedelta, block: timedelta, merge: list[Column], sums: list[str]) -> DataFrame:
+    """Sums of the windows from ``at`` up to ``until``, null for the end of the block."""
+    comes = F.struct(F.greatest("first", "block").alias("at"), *sums)
     goes = F.struct((F.col("last") + F.lit(slide)).alias("at"), *[(-F.col(name)).alias(name) for name in sums])
     changes = moved.select("location_id", "block", F.explode(F.array(comes, goes)).alias("change")).select("location_id", "block", "change.*")
     changes = changes.where(F.col("at") < F.col("block") + F.lit(block)).groupBy("location_id", "block", "at").agg(*merge)
     in_order = Window.partitionBy("location_id", "block").orderBy("at")
     running = changes.select("location_id", "block", "at", F.lead("at").over(in_order).alias("until"), *[F.sum(name).over(in_order).alias(name) for name in sums])
-    until = F.coalesce("until", F.col("block") + F.lit(block)) - F.lit(slide)
-    return running.where(F.col(sums[-1]) > 0).withColumn("window_start", F.explode(F.sequence(F.col("at"), until, F.lit(slide))))
+    return running.where(F.col(sums[-1]) > 0)
+
+
+def _running_maxima(moved: DataFrame, size: timedelta, slide: timedelta, block: timedelta) -> DataFrame:
+    """Maxima of the windows from ``at`` up to ``until``, null for the end of the block.
+
+    Panes last ``reach`` from their first to their last window, or one slide less where slide does not divide size.
+    """
+    names = [name for name in moved.columns if name not in ("location_id", "first", "last", "low", "high", "block")]
+    kinds = {name: moved.schema[name].dataType for name in names}
+    reach = micros(slide) * (-(-micros(size) // micros(slide)) - 1)
+    reaches = [reach, reach - micros(slide)] if micros(size) % micros(slide) else [reach]
+    lasts = F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))
+
+    def change(at: Column, comes: bool) -> Column:
+        values = [(F.when(lasts == r, F.col(n)) if comes else F.lit(None).cast(kinds[n])).alias(f"{n}_{k}") for n in names for k, r in enumerate(reaches)]
+        return F.struct(at.alias("at"), *values)
+
+    comes, goes = change(F.col("first"), True), change(F.col("last") + F.lit(slide), False)
+    inside = F.array(comes, goes)
+    changes = F.when(F.col("first") < F.col("block"), F.array(comes, goes, change(F.col("block"), False))).otherwise(inside)
+    changes = moved.select("location_id", "block", F.explode(changes).alias("change")).select("location_id", "block", "change.*")
+    changes = changes.where(F.col("at") < F.col("block") + F.lit(block)).withColumn("order", F.unix_micros(F.col("at").cast("timestamp")))
+    in_order = Window.partitionBy("location_id", "block").orderBy("order")
+    highest = [F.max(f"{n}_{k}").over(in_order.rangeBetween(-r, 0)).alias(f"{n}_{k}") for n in names for k, r in enumerate(reaches)]
+    running = changes.select("location_id", "block", "at", F.lead("at").over(in_order).alias("until"), *highest)
+    maxima = [(F.greatest(*parts) if len(parts) > 1 else parts[0]).alias(n) for n in names if (parts := [F.col(f"{n}_{k}") for k in range(len(reaches))])]
+    running = running.select("location_id", "block", "at", "until", *maxima)
+    return running.where(F.col("at") >= F.col("block")).where(F.coalesce(*names).isNotNull())
 
 
 def _floor(column: Column, length: timedelta) -> Column:

@@ -97,11 +97,12 @@ def closed_windows(batch: DataFrame, number: int, state: str, measure: Measure,
     kind = panes.schema["first"].dataType
     grid = micros(slide)
     newest_start = F.timestamp_micros(F.lit((clock - micros(size)) // grid * grid)).cast(kind)
-    panes = panes.withColumn("last", F.least("last", newest_start))
+    oldest_start = None
+    panes = panes.where(F.col("first") <= newest_start)
     if before is not None:
         oldest_start = F.timestamp_micros(F.lit(((before - micros(size)) // grid + 1) * grid)).cast(kind)
-        panes = panes.withColumn("first", F.greatest("first", oldest_start))
-    return measure.result(windows_of_panes(panes.where("first <= last"), size, slide, measure.merge, measure.sums))
+        panes = panes.where(F.col("last") >= oldest_start)
+    return measure.result(windows_of_panes(panes, size, slide, measure.merge, measure.sums, oldest_start, newest_start))
 
 
 def start_fanout_job(
