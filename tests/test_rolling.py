@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_streaming import EVENTS, SMALL, STATUS, START, Folder, events, finish, lines
@@ -13,7 +14,7 @@ from winfleet.operators.windows import average_temperature
 from winfleet.sources.sensor import sensor_rows
 from winfleet.streaming.jobs import fork_job, job_batches, job_output, start_average_job
 from winfleet.streaming.keyed import keyed_silences, keyed_status_changes, start_keyed
-from winfleet.streaming.rolling import Rolling, files_of, fork_rolled, read_rolled, write_rolled
+from winfleet.streaming.rolling import Rolling, _reader, _writer, files_of, fork_rolled, read_rolled, write_rolled
 from winfleet.streaming.savepoints import fork_checkpoint, saved_batches, state_at
 from winfleet.streaming.sinks import window_lines
 
@@ -233,3 +234,32 @@ def test_lines_are_not_broadcast_when_spark_takes_them_for_few(spark, tmp_path,
     (dealt,) = [plan for columns, plan in plans if "part" in columns]
     assert "BroadcastHashJoin" in dealt and "BuildLeft" not in dealt.split("InMemoryRelation")[0]
     assert held(spark, str(tmp_path / "a")) == Counter(rows)
+
+
+def test_files_are_read_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "a")
+    rows = [(f"b{i % 40}", f"{i}") for i in range(400)]
+    write_rolled(frame(spark, rows), path, 0, ROLLING)
+    tasks = {r.t for r in read_rolled(spark, path).select(F.spark_partition_id().alias("t")).collect()}
+    assert len(tasks) > 4
+
+
+@pytest.mark.parametrize("size,rows_per_batch,chunk", [(1, 3, 5), (50, 7, 64), (400, 1, 1 << 20), (400, 1000, 30)])
+def test_writer_and_reader_cut_lines_alike_however_they_come(tmp_path, size, rows_per_batch, chunk):
+    rng = random.Random(size)
+    rows = [(b, p, rng.randrange(50, 150), "\u00e9\u20acx"[rng.randrange(3)] * rng.choice([0, 1, 9, 70])) for b, p, n in ((None, 0, 40), ("a", 0, 1), ("a", 1, 90), ("b", 0, 13)) for _ in range(n)]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+    parts = [rows[i : i + rows_per_batch] for i in range(0, len(rows), rows_per_batch)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=["bucket", "part", "opened", "value"]) for part in parts]
+    (reports,) = _writer(f"file://{tmp_path}", size, 100)(iter(batches))
+    read = [tuple(r.values()) for b in _reader(chunk)(iter([reports])) for r in b.to_pylist()]
+    assert [(b, v) for b, v, _ in read] == [(b, v) for b, _, _, v in rows]
+    whole = Counter()
+    for b, p, _, v in rows:
+        whole[b, p] += len(v.encode()) + 1
+    start = 0
+    for r in reports.to_pylist():
+        mine, start = rows[start : start + r["lines"]], start + r["lines"]
+        (place,) = {(b, p) for b, p, _, _ in mine}
+        assert r["bytes"] == sum(len(v.encode()) + 1 for *_, v in mine) and r["bytes"] >= min(size, whole[place])
+        assert r["opened"] <= min(100, *(o for _, _, o, _ in mine))

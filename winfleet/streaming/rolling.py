@@ -55,29 +55,31 @@ def _writer(files: str, size: int, now: int) -> Callable[[Iterator[pa.RecordBatc
         import urllib.parse
         import uuid
 
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyarrow import fs
 
         names = ["bucket", "path", "bytes", "lines", "opened", "touched"]
         group: tuple | None = None
         opened = now
-        full: list[str] = []  # lines of a file that has its size, kept until the next one has it too
-        tail: list[str] = []
+        full: list[tuple[bytes, int]] = []  # bytes and lines of a file that has its size, kept until the next one has it too
+        tail: list[tuple[bytes, int]] = []
         tail_bytes = 0
         reports: list[tuple] = []
 
-        def close(lines: list[str]) -> None:
-            if not lines:
+        def close(pieces: list[tuple[bytes, int]]) -> None:
+            if not pieces:
                 return
             bucket = group[0]
             folder = "bucket=" + ("__HIVE_DEFAULT_PARTITION__" if bucket is None else urllib.parse.quote(bucket, safe=""))
             where = f"{files}/{folder}/part-{uuid.uuid4().hex}.txt"
             filesystem, path = fs.FileSystem.from_uri(where)
             filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
-            data = "".join(f"{line}\n" for line in lines).encode("utf-8", "replace")
+            data = b"".join(piece for piece, _ in pieces)
             with filesystem.open_output_stream(path) as out:
                 out.write(data)
-            reports.append((bucket, where, len(data), len(lines), opened, now))
+            reports.append((bucket, where, len(data), sum(n for _, n in pieces), opened, now))
 
         def end_group() -> None:
             nonlocal full, tail, tail_bytes, opened
@@ -85,17 +87,29 @@ def _writer(files: str, size: int, now: int) -> Callable[[Iterator[pa.RecordBatc
             full, tail, tail_bytes, opened = [], [], 0, now
 
         for batch in batches:
-            columns = (batch[name].to_pylist() for name in ("bucket", "part", "opened", "value"))
-            for bucket, part, since, value in zip(*columns):
-                if (bucket, part) != group:
+            if not batch.num_rows:
+                continue
+            buckets, parts = batch["bucket"], batch["part"].to_numpy(zero_copy_only=False)
+            since = batch["opened"].to_numpy(zero_copy_only=False)
+            codes = buckets.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            lines = pc.binary_join_element_wise(batch["value"].cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+            ends = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]  # where lines begin and the last one ends
+            text = memoryview(lines.buffers()[2])
+            cuts = np.flatnonzero((codes[1:] != codes[:-1]) | (parts[1:] != parts[:-1])) + 1
+            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lines)]):
+                if (key := (buckets[start].as_py(), int(parts[start]))) != group:
                     end_group()
-                    group = (bucket, part)
-                opened = min(opened, since)
-                tail.append(value)
-                tail_bytes += len(value.encode("utf-8", "replace")) + 1
-                if tail_bytes >= size:
-                    close(full)
-                    full, tail, tail_bytes = tail, [], 0
+                    group = key
+                while start < stop:
+                    filled = int(np.searchsorted(ends, ends[start] + size - tail_bytes))  # lines before this one give a file its size
+                    until = min(filled, stop)
+                    opened = min(opened, int(since[start:until].min()))
+                    tail.append((bytes(text[ends[start] : ends[until]]), until - start))
+                    tail_bytes += int(ends[until] - ends[start])
+                    if tail_bytes >= size:
+                        close(full)
+                        full, tail, tail_bytes = tail, [], 0
+                    start = until
         end_group()
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         columns = list(zip(*reports)) or [()] * len(names)
@@ -104,29 +118,44 @@ def _writer(files: str, size: int, now: int) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def _reader(chunk: int = 50_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Lines of files (bucket, path, opened) as rows (bucket, value, opened), a bounded number at a time."""
+def _reader(chunk: int = 1 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines of files (bucket, path, opened) as rows (bucket, value, opened), those of ``chunk`` bytes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-        from itertools import islice
-
+        import numpy as np
         import pyarrow as pa
         from pyarrow import fs
 
+        def rows(bucket: str | None, data: bytes, opened: int) -> pa.RecordBatch:
+            """Of lines that all end."""
+            text = np.frombuffer(data, np.uint8)
+            ends = np.flatnonzero(text == 10)
+            n = len(ends)
+            offsets = np.concatenate([[0], ends - np.arange(n)]).astype(np.int64)
+            values = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(text[text != 10].tobytes())).cast(pa.string())
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(bucket, pa.string()), n), values, pa.repeat(pa.scalar(opened, pa.int64()), n)], names=["bucket", "value", "opened"])
+
         for batch in batches:
             for bucket, where, opened in zip(*(batch[name].to_pylist() for name in ("bucket", "path", "opened"))):
                 filesystem, path = fs.FileSystem.from_uri(where)
-                with filesystem.open_input_stream(path) as raw, io.TextIOWrapper(raw, encoding="utf-8", newline="\n") as text:
-                    while lines := [line.removesuffix("\n") for line in islice(text, chunk)]:
-                        n = len(lines)
-                        yield pa.RecordBatch.from_arrays([pa.array([bucket] * n, pa.string()), pa.array(lines, pa.string()), pa.array([opened] * n, pa.int64())], names=["bucket", "value", "opened"])
+                with filesystem.open_input_stream(path) as raw:
+                    begun: list[bytes] = []  # a line that has not ended
+                    while data := raw.read(chunk):
+                        cut = data.rfind(b"\n") + 1
+                        if cut:
+                            yield rows(bucket, b"".join([*begun, data[:cut]]), opened)
+                            begun = []
+                        begun.append(data[cut:])
+                    if rest := b"".join(begun):
+                        yield rows(bucket, rest + b"\n", opened)
 
     return run
 
 
 def _lines_of(files: DataFrame) -> DataFrame:
-    dealt = files.select("bucket", "path", "opened").repartition("path")
+    # Names of files are few bytes, and without a number of tasks AQE would have one task read all of them.
+    tasks = 2 * files.sparkSession.sparkContext.defaultParallelism
+    dealt = files.select("bucket", "path", "opened").repartition(tasks, "path")
     return dealt.mapInArrow(_reader(), f"{LINES}, opened long")
 
 
