@@ -214,6 +214,33 @@ def test_silences_are_told_once_whether_or_not_a_row_follows(spark, tmp_path):
     assert len(wanted) > 40
 
 
+def test_rows_to_come_are_held_by_columns_and_other_time_types_stay_exact(spark, tmp_path):
+    """A value of state per key and row, or several, made large streams slow; thousands of rows share one."""
+    for kind, zone in (("timestamp_ntz", "UTC"), ("timestamp", "UTC"), ("timestamp_ntz", "Asia/Kolkata")):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            name = f"{kind}-{zone[:3]}"
+            path, checkpoint, source = (str(tmp_path / f"{name}-{x}") for x in ("out", "cp", "in"))
+            schema = f"note string, seq long, ts {kind}, key string, n decimal(20,3)"
+            for ids in ("id < 10000", "id >= 10000"):  # the first key has 5,000 rows, then time goes on by hours
+                rows = spark.range(10_001).where(ids).selectExpr(
+                    "if(id % 5 = 0, null, concat('n', id)) note", "id seq", f"cast(timestamp_micros(1704067200000007 + id * 1000 + if(id = 10000, 50000000000, 0)) as {kind}) ts",
+                    "if(id < 5000, null, concat('k', id % 2)) key", "cast(id / 8 as decimal(20,3)) n",
+                )
+                rows.write.mode("append").parquet(source)
+                stream = spark.readStream.schema(schema).parquet(source)
+                start_keyed(keyed_silences(stream, "key", timedelta(hours=1)), path, checkpoint).awaitTermination()
+                if ids == "id < 10000":
+                    held = spark.read.format("statestore").option("stateVarName", "held").option("batchId", saved_batches(checkpoint)[-1]).load(checkpoint)
+                    assert held.count() == 4  # two of a null key, one each of two others
+            got = spark.read.schema(schema).parquet(path)
+            assert got.columns == ["note", "seq", "ts", "key", "n"]
+            wanted = spark.read.schema(schema).parquet(source).where("seq IN (4999, 9998, 9999)")
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, wanted.collect()), key=repr)
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_lines_are_not_broadcast_when_spark_takes_them_for_few(spark, tmp_path, monkeypatch):
     """As in a micro-batch that reads no rows and closes windows; such plans are not adaptive."""
     rows, plans, kind = [(f"b{i % 7}", "x" * 50) for i in range(100)], [], type(spark.range(1))

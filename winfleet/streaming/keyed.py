@@ -8,9 +8,11 @@ next row is a change in any case, and alerts are raised. A micro-batch touches o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
+from itertools import chain, islice
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,9 @@ from winfleet.streaming.sinks import every
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_MILLI = timedelta(milliseconds=1)
+_MILLI, _MICRO = timedelta(milliseconds=1), timedelta(microseconds=1)
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+_CHUNK = 4096  # rows of a key in one piece of its state
 
 
 @contextmanager
@@ -40,15 +44,18 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
 class InOrder(StatefulProcessor):
     """Takes each key's rows in order of (time, seq) once the watermark has passed them, and wakes when a key has been silent.
 
-    Rows hold ``_at`` (microseconds since the epoch) and all columns of the result. Of a key it keeps the rows to come, the last
-    row taken, and the time of its timer.
+    Rows hold the columns of ``schema``, the key's and ``_at`` (microseconds since the epoch) among them. Of a key it keeps the
+    rows to come and the last row taken. Every call of the state goes to the JVM and back, where each value is encoded with its
+    schema, and Python builds input rows cell by cell. So rows to come are held by columns, thousands in one value, no state
+    says which timers are set (what is done at one depends on rows and watermark alone, so one too many does nothing), and the
+    input has few cells: columns beside the key's and ``_at``, and ``_mark``.
     """
 
-    def __init__(self, schema: T.StructType, seq: str, limit: timedelta):
+    def __init__(self, schema: T.StructType, key: str, seq: str, limit: timedelta):
         self.schema = schema
         self.names = schema.names
-        self.at, self.seq = self.names.index("_at"), self.names.index(seq)
-        self.limit = limit // timedelta(microseconds=1)
+        self.key, self.at, self.seq = self.names.index(key), self.names.index("_at"), self.names.index(seq)
+        self.limit = limit // _MICRO
 
     def taken(self, last: tuple | None, row: tuple) -> Iterator[tuple]:
         """What a row gives after the last one; that is None at first and after a silence."""
@@ -60,54 +67,67 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.schema)
+        self.row = Row(*self.names)
+        self.held = handle.getListState("held", T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in self.schema]))
         self.last = handle.getValueState("last", self.schema)
-        self.due = handle.getValueState("due", "millis long")
+        self.judged: set[str] = set()
 
     def _wake(self, micros: int) -> None:
-        """Fire once the watermark has reached this time, unless a timer before it is set."""
-        millis = -(-micros // 1000)
-        if not self.due.exists() or millis < self.due.get()[0]:
-            self.handle.registerTimer(millis)
-            self.due.update((millis,))
+        """Fire once the watermark has reached this time."""
+        self.handle.registerTimer(-(-micros // 1000))
 
-    def _row(self, values: tuple) -> Row:
-        return Row(**dict(zip(self.names, values)))
+    @staticmethod
+    def _chunks(rows: Iterable[tuple]) -> Iterator[tuple]:
+        rows = iter(rows)
+        while part := list(islice(rows, _CHUNK)):
+            yield tuple(map(list, zip(*part)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        fresh = [tuple(row[c] for c in self.names) for row in rows]
-        self.held.appendList(fresh)
-        self._wake(min(row[self.at] for row in fresh))
+        first = next(rows)
+        cells = itemgetter(*(first.__fields__.index("_mark" if c == "_at" else c) for c in self.names))
+        earliest = []
+        for columns in self._chunks(map(cells, chain((first,), rows))):
+            times = [(mark - _EPOCH) // _MICRO for mark in columns[self.at]]
+            self.held.appendValue((*columns[: self.at], times, *columns[self.at + 1 :]))
+            earliest.append(min(times))
+        self._wake(min(earliest))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        name = str(key)
+        if name in self.judged:
+            return  # by another timer, at this watermark
+        if len(self.judged) == _CHUNK:
+            self.judged.clear()
+        self.judged.add(name)
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        if not self.due.exists() or self.due.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
-            return  # a timer that an earlier one has replaced
-        self.due.clear()
-        held = [tuple(row) for row in self.held.get()] if self.held.exists() else []
-        ready = sorted((row for row in held if row[self.at] <= now), key=lambda row: (row[self.at], row[self.seq]))
-        waiting = [row for row in held if row[self.at] > now]
-        last = tuple(self.last.get()) if self.last.exists() else None
+        held = [row for columns in self.held.get() for row in zip(*columns)]
+        ready = sorted((row for row in held if row[self.at] <= now), key=itemgetter(self.at, self.seq))
+        before = last = self.last.get()
         for row in ready:
             if last is not None and row[self.at] > last[self.at] + self.limit:
-                yield from map(self._row, self.silent(last))
+                yield from (self.row(*values) for values in self.silent(last))
                 last = None
-            yield from map(self._row, self.taken(last, row))
+            yield from (self.row(*values) for values in self.taken(last, row))
             last = row
         if last is not None and last[self.at] + self.limit <= now:
-            yield from map(self._row, self.silent(last))
+            yield from (self.row(*values) for values in self.silent(last))
             last = None
-        if waiting:
-            self.held.put(waiting)
-            self._wake(min(row[self.at] for row in waiting))
-        elif held:
+        if last is before and not ready:
+            return  # a timer that an earlier one has replaced
+        waiting = [row for row in held if row[self.at] > now] if len(ready) < len(held) else []
+        if ready and waiting:
+            self.held.put(list(self._chunks(waiting)))
+        elif ready:
             self.held.clear()
-        if last is None:
-            self.last.clear()
-        else:
+        times = [row[self.at] for row in waiting]
+        if last is not None:
             self.last.update(last)
-            self._wake(last[self.at] + self.limit)
+            times.append(last[self.at] + self.limit)
+        elif before is not None:
+            self.last.clear()
+        if times:
+            self._wake(min(times))
 
     def close(self) -> None:
         pass
@@ -116,8 +136,8 @@ class InOrder(StatefulProcessor):
 class StatusChanges(InOrder):
     """A key's first row, one that differs in a watched column, and one after a silence."""
 
-    def __init__(self, schema: T.StructType, seq: str, limit: timedelta, watched: tuple[str, ...]):
-        super().__init__(schema, seq, limit)
+    def __init__(self, schema: T.StructType, key: str, seq: str, limit: timedelta, watched: tuple[str, ...]):
+        super().__init__(schema, key, seq, limit)
         self.watched = [self.names.index(c) for c in watched]
 
     def taken(self, last: tuple | None, row: tuple) -> Iterator[tuple]:
@@ -135,12 +155,21 @@ class Silences(InOrder):
         yield last
 
 
-def _in_order(rows: DataFrame, key: str, time: str, lateness: timedelta, processor: Callable[[T.StructType], InOrder]) -> DataFrame:
-    importable(rows.sparkSession)
-    zoned = rows.where(F.col(time).isNotNull()).withColumn("_mark", F.col(time).cast("timestamp")).withColumn("_at", F.unix_micros("_mark"))
+def _in_order(rows: DataFrame, key: str, time: str, lateness: timedelta, needed: tuple[str, ...], processor: Callable[[T.StructType], InOrder]) -> DataFrame:
+    spark = rows.sparkSession
+    importable(spark)
+    zoned = rows.where(F.col(time).isNotNull()).withColumn("_mark", F.col(time).cast("timestamp"))
     marked = zoned.withWatermark("_mark", f"{lateness // _MILLI} milliseconds")
-    kept = T.StructType([*rows.schema.fields, T.StructField("_at", T.LongType())])
-    return marked.groupBy(key).transformWithState(processor(kept), kept, "append", "EventTime").drop("_at")
+    kind = rows.schema[time].dataType
+    utc = spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    told = time != key and time not in needed and (kind == T.TimestampType() or kind == T.TimestampNTZType() and utc)  # by _at alone
+    if told:
+        marked = marked.drop(time)
+    kept = T.StructType([*(f for f in rows.schema if not (told and f.name == time)), T.StructField("_at", T.LongType())])
+    out = marked.groupBy(key).transformWithState(processor(kept), kept, "append", "EventTime")
+    if told:
+        out = out.withColumn(time, F.timestamp_micros("_at").cast(kind))
+    return out.select(*rows.columns)
 
 
 def keyed_status_changes(
@@ -158,7 +187,7 @@ def keyed_status_changes(
     dropped, as are rows without a time. A key's rows are held by one task, ``lateness`` worth of them at a time. ``seq`` is
     not null and unique within a key and time.
     """
-    return _in_order(rows, key, time, lateness, lambda kept: StatusChanges(kept, seq, remembered, watched))
+    return _in_order(rows, key, time, lateness, (seq, *watched), lambda kept: StatusChanges(kept, key, seq, remembered, watched))
 
 
 def keyed_silences(
@@ -170,7 +199,7 @@ def keyed_silences(
     no event is needed. Rows may come in any order within ``lateness``. Overdue jobs and due periodic actions are such silences:
     they begin at the row's time plus ``limit``.
     """
-    return _in_order(rows, key, time, lateness, lambda kept: Silences(kept, seq, limit))
+    return _in_order(rows, key, time, lateness, (seq,), lambda kept: Silences(kept, key, seq, limit))
 
 
 def start_keyed(changes: DataFrame, path: str, checkpoint: str, interval: timedelta | None = None) -> StreamingQuery:
