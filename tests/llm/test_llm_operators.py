@@ -142,6 +142,26 @@ def test_token_files(spark, docs, nothing):
     assert token_output.read_ids(spark, blocks, folder).collect() == []
 
 
+def test_new_words_share_what_is_known_of_their_letters(monkeypatch):
+    """Words that differ in their punctuation alone were each encoded anew; ids stay those of whole texts."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cache, learned = token_output.PieceCache(path), []
+    learn = cache.learn
+    monkeypatch.setattr(cache, "learn", lambda words, *more: (learned.extend(words), learn(words, *more)))
+    rng = np.random.default_rng(8)
+    letters = ["zuäbe", "oneahaes", "it's", "a1", "\u00b2x\u00bd", "\u4e2d\u6587", "x\u0345", "\u0378", "'s", "don't", "\u00adq", "-", "\u00e9\u0301"]
+    ends = ["", ".", ",", "!!", "'", "'.", "\u2019", "%%%", "...'s", "_"]
+    words = [a + b + c for a in letters for b in ends for c in ("", ".", "é")]
+    texts = [" ".join(rng.permutation(words).tolist()) + "\n" + " ".join(rng.permutation(words).tolist()) for _ in range(30)]
+    wanted = [np.array(cache.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert cache.encode(texts[:10]) + cache.encode(texts[10:]) == wanted
+    assert learned.count("zuäbe") == learned.count("oneahaes") == learned.count("it's") == 1
+    assert not {"zuäbe.", "oneahaes!!", "it's%%%", "a1'."} & set(learned)
+    assert len(learned) == len(set(learned))
+
+
 def test_packing(docs, nothing):
     got = packing.best_fit(docs.union(docs.limit(3)), lengths=(64, 128, 256), group_pieces=40).collect()
     sizes = collections.Counter()

@@ -11,7 +11,7 @@ All numbers are little-endian. The ranks are a table of the vocabulary's size, k
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from winfleet.llm.common import new_file, written
 from winfleet.session import shared_dir
@@ -30,6 +30,13 @@ MAGIC = b"RNK1"
 HEADER = np.dtype([("magic", "S4"), ("docs", "<i8"), ("tokens", "<i8"), ("data", "<i8")])
 #: Bytes of each of the four codes of a control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
+#: How the vocabulary writes a space, and other bytes that are no printable ASCII.
+SPACE = "\u0120"
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTES = {byte: chr(0x100 + k) for k, byte in enumerate(b for b in range(256) if b not in _PRINTED)}
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Below this character, every version of Unicode agrees on what a letter is.
+STABLE = "\u0530"
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -66,28 +73,53 @@ class PieceCache:
 
     A byte-level vocabulary of this kind starts a new token at a space that has no white space beside it, and takes a lone line
     feed by itself. So texts whose only white space is of these two sorts may be put together from the ids of their words;
-    others are encoded whole, as are texts that hold the string of a token added to the vocabulary. Entries are kept in two generations of ``limit`` words, which bounds the memory.
+    others are encoded whole, as are texts that hold the string of a token added to the vocabulary. A new word that ends in ASCII
+    punctuation after a letter or digit is put together from the two, as the vocabulary cuts there; one of letters alone is a
+    single piece, so the vocabulary's merges are applied to its bytes without the search for pieces. Entries are kept in two
+    generations of ``limit`` words, which bounds the memory.
     """
 
     def __init__(self, path: str, limit: int = 450_000):
         self.tokenizer, self.limit = _tokenizer(path), limit
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.young: dict[str, bytes] = {}  # words after a space, by the word
         self.old: dict[str, bytes] = {}
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.starts[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how the vocabulary writes a space
-        self.first: dict[str, bytes] = {}  # words at the start of a line
+        self.starts[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        self.first: dict[str, bytes] = {}  # words at the start of a line, and punctuation at the end of words
         self.line_feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
     def add(self, words: list[str]) -> None:
-        """Learn words after a space: encoded in one string, and cut where a token starts with the space."""
+        """Learn words after a space."""
+        ends: list[tuple[str, str]] = []
+        new: set[str] = set()
+        for w in words:
+            head = w.rstrip(PUNCTUATION)
+            if head and head != w and head[-1] < STABLE and head[-1].isalnum():
+                ends.append((w, head))
+                if head in self.young:
+                    continue
+                if (found := self.old.get(head)) is not None:
+                    self.young[head] = found
+                    continue
+                w = head
+            new.add(w)
+        plain = [w for w in new if w.isalpha() and (w.isascii() or max(w) < STABLE)]
+        self.learn(plain, self.pieces, lambda part: " ".join([SPACE + (w if w.isascii() else w.encode().decode("latin-1").translate(BYTES)) for w in part]))
+        self.learn(list(new.difference(plain)), self.tokenizer, lambda part: " " + " ".join(part))
+        self.young.update((w, self.young[head] + self.first_of(w[len(head) :])) for w, head in ends)
+
+    def learn(self, words: list[str], tokenizer: Tokenizer, joined: Callable[[list[str]], str]) -> None:
+        """Words are encoded in one string, and cut where a token starts with the space."""
         for k in range(0, len(words), 2048):
             part = words[k : k + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(tokenizer.encode_batch_fast([joined(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             at = np.flatnonzero(self.starts[ids])
             if len(at) != len(part):
                 self.young.update((w, self.whole(" " + w)) for w in part)
@@ -107,28 +139,34 @@ class PieceCache:
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
         out: list[bytes] = [b""] * len(texts)
-        waiting: list[tuple[int, list[list[str]], list[list[bytes | None]]]] = []
+        waiting: list[tuple[list[str], list[bytes | None], list[int]]] = []
+        put: list[tuple[int, list[list[bytes | None]]]] = []
         missing: set[str] = set()
         get = self.young.get
         for i, text in enumerate(texts):
-            lines = [line.split(" ") for line in text.split("\n")]
-            if any(token in text for token in self.added) or [w for words in lines for w in words] != text.split():
+            lines = [(line, line.split()) for line in text.split("\n")]
+            if any(token in text for token in self.added) or any(not words or " ".join(words) != line for line, words in lines):
                 out[i] = self.whole(text)
                 continue
-            found = [list(map(get, words[1:])) for words in lines]
-            unknown = [w for words, values in zip(lines, found) if None in values for w, v in zip(words[1:], values) if v is None]
-            if unknown:
-                missing.update(unknown)
-                waiting.append((i, lines, found))
-            else:
-                out[i] = self.line_feed.join([self.first_of(words[0]) + b"".join(values) for words, values in zip(lines, found)])
+            found = []
+            for _, words in lines:
+                values = list(map(get, words))
+                values[0] = self.first_of(words[0])
+                if None in values:
+                    gaps = [k for k, v in enumerate(values) if v is None]
+                    missing.update([words[k] for k in gaps])
+                    waiting.append((words, values, gaps))
+                found.append(values)
+            put.append((i, found))
         if missing:
             again = [(w, v) for w in missing if (v := self.old.get(w)) is not None]
             self.young.update(again)
             self.add(list(missing.difference(w for w, _ in again)))
-            for i, lines, found in waiting:
-                full = [[self.young[w] if v is None else v for w, v in zip(words[1:], values)] for words, values in zip(lines, found)]
-                out[i] = self.line_feed.join([self.first_of(words[0]) + b"".join(values) for words, values in zip(lines, full)])
+            for words, values, gaps in waiting:
+                for k in gaps:
+                    values[k] = self.young[words[k]]
+        for i, found in put:
+            out[i] = self.line_feed.join([b"".join(values) for values in found])
         return out
 
 
