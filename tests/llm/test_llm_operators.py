@@ -162,6 +162,28 @@ def test_new_words_share_what_is_known_of_their_letters(monkeypatch):
     assert len(learned) == len(set(learned))
 
 
+def test_words_of_many_texts_are_looked_up_once(monkeypatch):
+    """Every place of a word was looked up by Python; ids stay those of whole texts, odd ones among them."""
+    import public_tokenizers
+
+    path, end = public_tokenizers.path("byte_bpe_50k.json"), np.array([2], dtype="<u4").tobytes()
+    cache, looked = token_output.PieceCache(path, limit=40), []
+    values = cache.values
+    monkeypatch.setattr(cache, "values", lambda words: (looked.append(words), values(words))[1])
+    rng = np.random.default_rng(11)
+    words = ["the", "zuäbe", "é", "1a", "don't", "'s", "-", "x\u0345", "\u0535", "\u4e2d", "\u0120", "\u010a", "\U0001f600", "\u200b", "\x00"]
+    words = [w + e for w in words for e in ("", ".", ",", "!'", "\u2019")]
+    texts = ["".join(w + s for w, s in zip(rng.choice(words, 60), rng.choice([" ", " ", "\n"], 60)))[:-1] for _ in range(200)]
+    odd = ["", " ", "\n", "a ", " a", "a\n", "\na", "a  b", "a\n\nb", "a \nb", "a\n b", "a\u00a0b", "a\tb", "a\x1cb", "a\u3000b", "a <|endoftext|> b", "x" * 1000, "a"]
+    texts = [t for pair in zip(texts, odd * 12) for t in pair]
+    wanted = [np.array(cache.tokenizer.encode(t, add_special_tokens=False).ids + [2], dtype="<u4").tobytes() for t in texts]
+    assert cache.encode_array(pa.array(["left out", *texts]).slice(1), end).to_pylist() == wanted
+    assert len(looked) == 1 and len(looked[0]) == len(set(looked[0])) < 2 * len(words) + 4
+    assert not {"the.", "zuäbe,", "\né!'", "1a,"} & set(looked[0])
+    assert cache.encode_array(pa.array(texts[:50]), end).to_pylist() == wanted[:50]
+    assert cache.encode_array(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_packing(docs, nothing):
     got = packing.best_fit(docs.union(docs.limit(3)), lengths=(64, 128, 256), group_pieces=40).collect()
     sizes = collections.Counter()

@@ -23,37 +23,47 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, pre_tokenizers
 
-from winfleet.llm.common import new_file, written
+from winfleet.llm.common import new_file, text_slices, written
 from winfleet.session import shared_dir
 
 MAGIC = b"RNK1"
 HEADER = np.dtype([("magic", "S4"), ("docs", "<i8"), ("tokens", "<i8"), ("data", "<i8")])
 #: Bytes of each of the four codes of a control byte.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
-#: How the vocabulary writes a space, and other bytes that are no printable ASCII.
-SPACE = "\u0120"
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
+#: How the vocabulary writes a space, a line feed, and other bytes that are no printable ASCII.
+SPACE, LINE_FEED = "\u0120", "\u010a"
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTES = {byte: chr(0x100 + k) for k, byte in enumerate(b for b in range(256) if b not in _PRINTED)}
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Below this character, every version of Unicode agrees on what a letter is.
 STABLE = "\u0530"
+#: How the vocabulary writes letters below it; a space stays, and the space of the next word follows it.
+WRITTEN = ["".join(BYTES.get(byte, chr(byte)) for byte in chr(c).encode()) for c in range(ord(STABLE))]
+WRITTEN[0x20] = " " + SPACE
+#: Letters and digits below it, by code point, as far as two bytes with the same lead go.
+ALNUM = np.array([c < ord(STABLE) and chr(c).isalnum() for c in range(0x540)])
+
+
+#: Texts that are no words with one space or line feed between them.
+_OTHER_SPACE = "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
+ODD_SPACE = rf"^[ \n]|[ \n][ \n]|[ \n]$|^$|[{_OTHER_SPACE}]"
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of non-negative integers below 2**32."""
     ranks = ranks.astype("<u4")
-    sizes = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    codes[: len(ranks)] = sizes - 1
-    codes = codes.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < sizes[:, None]]
-    return np.bitwise_or.reduce(codes, axis=1).astype(np.uint8).tobytes(), data.tobytes()
+    for most in (0xFF, 0xFFFF, 0xFFFFFF):
+        codes[: len(ranks)] += ranks > most
+    widest = 1 + int(codes.max(initial=0))
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :widest][np.arange(widest, dtype=np.uint8) <= codes[: len(ranks), None]]
+    return (codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6).tobytes(), data.tobytes()
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
     """The integers again: the table gives the lengths, their sums the places in the data."""
     sizes = LENGTHS[control].ravel()[:count]
-    at = np.cumsum(sizes) - sizes
+    at = np.cumsum(sizes, dtype=np.int64) - sizes
     out = data[at].astype(np.uint32) if count else np.zeros(0, dtype=np.uint32)
     for k in (1, 2, 3):
         longer = np.flatnonzero(sizes > k)
@@ -73,59 +83,51 @@ class PieceCache:
 
     A byte-level vocabulary of this kind starts a new token at a space that has no white space beside it, and takes a lone line
     feed by itself. So texts whose only white space is of these two sorts may be put together from the ids of their words;
-    others are encoded whole, as are texts that hold the string of a token added to the vocabulary. A new word that ends in ASCII
+    others are encoded whole, as are texts that hold the string of a token added to the vocabulary. A word that ends in ASCII
     punctuation after a letter or digit is put together from the two, as the vocabulary cuts there; one of letters alone is a
     single piece, so the vocabulary's merges are applied to its bytes without the search for pieces. Entries are kept in two
     generations of ``limit`` words, which bounds the memory.
+
+    Arrow finds the different words of many texts, cuts off their punctuation and takes the ids to all places of a word, so Python
+    looks up each sequence of letters once a call.
     """
 
-    def __init__(self, path: str, limit: int = 450_000):
+    def __init__(self, path: str, limit: int = 300_000):
         self.tokenizer, self.limit = _tokenizer(path), limit
         self.pieces = Tokenizer.from_file(path)
         self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.young: dict[str, bytes] = {}  # words after a space, by the word
+        self.young: dict[str, bytes] = {}  # words after a space, by the word, and after a line feed, by both
         self.old: dict[str, bytes] = {}
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
-        self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.starts[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
-        self.first: dict[str, bytes] = {}  # words at the start of a line, and punctuation at the end of words
+        self.spaces, self.line_feeds = np.zeros((2, max(vocabulary.values()) + 1), dtype=bool)  # whether a token starts so, by its id
+        for token, i in vocabulary.items():
+            self.spaces[i], self.line_feeds[i] = token.startswith(SPACE), token.startswith(LINE_FEED)
+        self.first: dict[str, bytes] = {}  # punctuation at the end of words
         self.line_feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
     def add(self, words: list[str]) -> None:
-        """Learn words after a space."""
-        ends: list[tuple[str, str]] = []
-        new: set[str] = set()
-        for w in words:
-            head = w.rstrip(PUNCTUATION)
-            if head and head != w and head[-1] < STABLE and head[-1].isalnum():
-                ends.append((w, head))
-                if head in self.young:
-                    continue
-                if (found := self.old.get(head)) is not None:
-                    self.young[head] = found
-                    continue
-                w = head
-            new.add(w)
-        plain = [w for w in new if w.isalpha() and (w.isascii() or max(w) < STABLE)]
-        self.learn(plain, self.pieces, lambda part: " ".join([SPACE + (w if w.isascii() else w.encode().decode("latin-1").translate(BYTES)) for w in part]))
-        self.learn(list(new.difference(plain)), self.tokenizer, lambda part: " " + " ".join(part))
-        self.young.update((w, self.young[head] + self.first_of(w[len(head) :])) for w, head in ends)
-
-    def learn(self, words: list[str], tokenizer: Tokenizer, joined: Callable[[list[str]], str]) -> None:
-        """Words are encoded in one string, and cut where a token starts with the space."""
+        """Learn words after a space, or after the line feed that they begin with."""
+        starts = [w for w in words if w[0] == "\n"]
+        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) < STABLE)]
+        self.learn(plain, self.pieces, self.spaces, lambda part: SPACE + " ".join(part).translate(WRITTEN))
+        self.learn(starts, self.tokenizer, self.line_feeds, "".join)
+        self.learn(list(set(words).difference(plain, starts)), self.tokenizer, self.spaces, lambda part: " " + " ".join(part))
+
+    def learn(self, words: list[str], tokenizer: Tokenizer, starts: np.ndarray, joined: Callable[[list[str]], str]) -> None:
+        """Words are encoded in one string, and cut where a token starts with the space or line feed before them."""
         for k in range(0, len(words), 2048):
             part = words[k : k + 2048]
             ids = np.array(tokenizer.encode_batch_fast([joined(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = np.flatnonzero(self.starts[ids])
+            at = np.flatnonzero(starts[ids])
             if len(at) != len(part):
-                self.young.update((w, self.whole(" " + w)) for w in part)
+                self.young.update((w, self.whole(w if w[0] == "\n" else " " + w)) for w in part)
                 continue
             raw, cuts = ids.tobytes(), (np.append(at, len(ids)) * 4).tolist()
-            self.young.update((w, raw[low:high]) for w, low, high in zip(part, cuts[:-1], cuts[1:]))
+            self.young.update(zip(part, [raw[low:high] for low, high in zip(cuts[:-1], cuts[1:])]))
 
     def first_of(self, word: str) -> bytes:
         found = self.first.get(word)
@@ -135,49 +137,88 @@ class PieceCache:
             found = self.first[word] = self.whole(word)
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def values(self, words: list[str]) -> list[bytes]:
+        """Ids of different words: after a line feed, if they begin with one, else after a space."""
         if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-        out: list[bytes] = [b""] * len(texts)
-        waiting: list[tuple[list[str], list[bytes | None], list[int]]] = []
-        put: list[tuple[int, list[list[bytes | None]]]] = []
-        missing: set[str] = set()
-        get = self.young.get
-        for i, text in enumerate(texts):
-            lines = [(line, line.split()) for line in text.split("\n")]
-            if any(token in text for token in self.added) or any(not words or " ".join(words) != line for line, words in lines):
-                out[i] = self.whole(text)
-                continue
-            found = []
-            for _, words in lines:
-                values = list(map(get, words))
-                values[0] = self.first_of(words[0])
-                if None in values:
-                    gaps = [k for k, v in enumerate(values) if v is None]
-                    missing.update([words[k] for k in gaps])
-                    waiting.append((words, values, gaps))
-                found.append(values)
-            put.append((i, found))
-        if missing:
-            again = [(w, v) for w in missing if (v := self.old.get(w)) is not None]
-            self.young.update(again)
-            self.add(list(missing.difference(w for w, _ in again)))
-            for words, values, gaps in waiting:
-                for k in gaps:
-                    values[k] = self.young[words[k]]
-        for i, found in put:
-            out[i] = self.line_feed.join([b"".join(values) for values in found])
+            self.young, self.old = {}, self.young if len(self.young) < 2 * self.limit else {}
+        out: list[bytes | None] = list(map(self.young.get, words))
+        gaps = [k for k, v in enumerate(out) if v is None]
+        again = list(map(self.old.get, [words[k] for k in gaps]))
+        self.young.update((words[k], v) for k, v in zip(gaps, again) if v is not None)
+        self.add([words[k] for k, v in zip(gaps, again) if v is None])
+        for k in gaps:
+            out[k] = self.young[words[k]]
         return out
 
+    def word_values(self, words: pa.Array) -> pa.Array:
+        """Ids of different words, by those of their letters and of their punctuation."""
+        heads = pc.ascii_rtrim(words, PUNCTUATION)
+        size, left = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (words, heads))
+        low = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words)]
+        raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        cut = np.flatnonzero((left > 0) & (left < size))
+        last, before = raw[low[cut] + left[cut] - 1].astype(np.int64), raw[low[cut] + np.maximum(left[cut], 2) - 2].astype(np.int64)
+        point = np.where(last < 0x80, last, np.where((before >= 0xC2) & (before <= 0xD4), (before & 0x1F) << 6 | last & 0x3F, 0))
+        cut = cut[ALNUM[point]]
+        is_cut = np.zeros(len(words), dtype=bool)
+        is_cut[cut] = True
+        long = size - left
+        ends = np.cumsum(long[cut])
+        at = np.repeat(low[cut] + left[cut] - ends + long[cut], long[cut]) + np.arange(long[cut].sum())
+        tails = pa.Array.from_buffers(pa.large_string(), len(cut), [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(raw[at])]).dictionary_encode()
+        heads = pc.if_else(pa.array(is_cut), heads, words).dictionary_encode()
+        kinds = [b"", *map(self.first_of, tails.dictionary.to_pylist())]
+        kind = np.zeros(len(words), dtype=np.int64)
+        kind[cut] = 1 + tails.indices.to_numpy()
+        values = pa.array(self.values(heads.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        return pc.binary_join_element_wise(values.take(heads.indices), pa.array(kinds, pa.large_binary()).take(pa.array(kind)), pa.scalar(b"", pa.large_binary()))
+
+    def encode_array(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """Ids of each text, then ``end``."""
+        alone = pc.match_substring_regex(texts, ODD_SPACE)
+        for token in self.added:
+            alone = pc.or_(alone, pc.match_substring(texts, token))
+        alone = alone.to_numpy(zero_copy_only=False)
+        whole = pa.array([self.whole(text) + end for text in texts.filter(pa.array(alone)).to_pylist()], pa.large_binary())
+        rest = self.encode_words(texts.filter(pa.array(~alone)), end)
+        return pa.concat_arrays([rest, whole]).take(pa.array(np.where(alone, len(rest) - 1 + np.cumsum(alone), np.cumsum(~alone) - 1)))
+
+    def encode_words(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """The same for texts of words with a space or a line feed between them.
+
+        Different words are looked up once, and Arrow takes their ids to all their places.
+        """
+        if len(texts) == 0:
+            return pa.array([], pa.large_binary())
+        feed, nothing = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+        lines = pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n")
+        split = pc.split_pattern(pc.binary_join_element_wise(feed, lines, nothing), " ")
+        words = split.flatten().dictionary_encode()
+        values = self.word_values(words.dictionary)
+        place = words.indices.to_numpy().astype(np.int64)
+        counts = np.diff(split.offsets.to_numpy())
+        firsts = np.cumsum(counts) - counts
+        # the first word of a text has no line feed before it, and the end follows the last
+        opening = [x[len(self.line_feed) :] for x in values.take(pa.array(place[firsts])).to_pylist()]
+        place[firsts] = len(values) + np.arange(len(texts))
+        place = np.insert(place, np.cumsum(counts), len(values) + len(texts))
+        ids = pa.concat_arrays([values, pa.array([*opening, end], pa.large_binary())]).take(pa.array(place))
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64)[np.append(0, np.cumsum(counts + 1))]
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends), data])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.encode_array(pa.array(texts, pa.large_string())).to_pylist()
+
 
 @lru_cache(maxsize=1)
 def _cache(path: str) -> PieceCache:
     return PieceCache(path)
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian uint32 bytes; equal to encoding each whole text. The cache lives as long as the worker."""
-    return _cache(path).encode(texts)
+def encode_texts(texts: pa.Array, path: str, end: bytes = b"") -> pa.Array:
+    """Ids of each text and ``end`` as little-endian uint32 bytes; equal to encoding each whole text. The cache lives as long as the worker."""
+    return _cache(path).encode_array(texts, end)
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,10 +231,9 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids = [x + end for x in encode_texts(part["text"].to_pylist(), tokenizer_path)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), pa.array(ids, pa.large_binary()).cast(pa.binary()), part["shard"], pa.array(np.arange(seq, seq + len(ids)))], names=["doc_id", "ids", "shard", "seq"])
+            for part in text_slices(batch, "text", 4_000_000):
+                ids = encode_texts(part["text"], tokenizer_path, end).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), ids, part["shard"], pa.array(np.arange(seq, seq + len(ids)))], names=["doc_id", "ids", "shard", "seq"])
                 seq += len(ids)
 
     return rows.mapInArrow(encode, "doc_id long, ids binary, shard int, seq long")
