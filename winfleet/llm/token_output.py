@@ -79,7 +79,7 @@ def _tokenizer(path: str) -> Tokenizer:
 
 
 class PieceCache:
-    """Ids of words as bytes of uint32, with and without a space before them.
+    """Ids of words as bytes of ``id_type``, with a space or a line feed before them.
 
     A byte-level vocabulary of this kind starts a new token at a space that has no white space beside it, and takes a lone line
     feed by itself. So texts whose only white space is of these two sorts may be put together from the ids of their words;
@@ -92,8 +92,8 @@ class PieceCache:
     looks up each sequence of letters once a call.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
-        self.tokenizer, self.limit = _tokenizer(path), limit
+    def __init__(self, path: str, limit: int = 300_000, id_type: str = "<u4"):
+        self.tokenizer, self.limit, self.id_type = _tokenizer(path), limit, np.dtype(id_type)
         self.pieces = Tokenizer.from_file(path)
         self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.young: dict[str, bytes] = {}  # words after a space, by the word, and after a line feed, by both
@@ -107,26 +107,27 @@ class PieceCache:
         self.line_feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.id_type).tobytes()
 
     def add(self, words: list[str]) -> None:
         """Learn words after a space, or after the line feed that they begin with."""
-        starts = [w for w in words if w[0] == "\n"]
-        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) < STABLE)]
+        starts, plain, others = [], [], []
+        for w in words:
+            (plain if w.isalpha() and (w.isascii() or max(w) < STABLE) else starts if w[0] == "\n" else others).append(w)
         self.learn(plain, self.pieces, self.spaces, lambda part: SPACE + " ".join(part).translate(WRITTEN))
         self.learn(starts, self.tokenizer, self.line_feeds, "".join)
-        self.learn(list(set(words).difference(plain, starts)), self.tokenizer, self.spaces, lambda part: " " + " ".join(part))
+        self.learn(others, self.tokenizer, self.spaces, lambda part: " " + " ".join(part))
 
     def learn(self, words: list[str], tokenizer: Tokenizer, starts: np.ndarray, joined: Callable[[list[str]], str]) -> None:
         """Words are encoded in one string, and cut where a token starts with the space or line feed before them."""
         for k in range(0, len(words), 2048):
             part = words[k : k + 2048]
-            ids = np.array(tokenizer.encode_batch_fast([joined(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(tokenizer.encode_batch_fast([joined(part)], add_special_tokens=False)[0].ids, dtype=self.id_type)
             at = np.flatnonzero(starts[ids])
             if len(at) != len(part):
                 self.young.update((w, self.whole(w if w[0] == "\n" else " " + w)) for w in part)
                 continue
-            raw, cuts = ids.tobytes(), (np.append(at, len(ids)) * 4).tolist()
+            raw, cuts = ids.tobytes(), (np.append(at, len(ids)) * self.id_type.itemsize).tolist()
             self.young.update(zip(part, [raw[low:high] for low, high in zip(cuts[:-1], cuts[1:])]))
 
     def first_of(self, word: str) -> bytes:
@@ -212,45 +213,47 @@ class PieceCache:
 
 
 @lru_cache(maxsize=1)
-def _cache(path: str) -> PieceCache:
-    return PieceCache(path)
+def _cache(path: str, id_type: str) -> PieceCache:
+    return PieceCache(path, id_type=id_type)
 
 
-def encode_texts(texts: pa.Array, path: str, end: bytes = b"") -> pa.Array:
-    """Ids of each text and ``end`` as little-endian uint32 bytes; equal to encoding each whole text. The cache lives as long as the worker."""
-    return _cache(path).encode_array(texts, end)
+def encode_texts(texts: pa.Array, path: str, id_type: str, end: bytes = b"") -> pa.Array:
+    """Ids of each text and ``end`` as bytes of the type; equal to encoding each whole text. The cache lives as long as the worker."""
+    return _cache(path, id_type).encode_array(texts, end)
+
+
+def narrowest(tokenizer_path: str, end_id: int) -> str:
+    """Two bytes for an id if all of them fit, else four."""
+    return "<u2" if max(end_id, *_tokenizer(tokenizer_path).get_vocab().values()) < 1 << 16 else "<u4"
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (bytes of uint32), shard, seq in ascending order of ids: shards by range, seq inside a shard."""
+    """doc_id, ids (bytes of the narrowest type), shard, seq in ascending order of ids: shards by range, seq inside a shard."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text", F.spark_partition_id().alias("shard"))
-    end = np.array([end_id], dtype="<u4").tobytes()
+    id_type = narrowest(tokenizer_path, end_id)
+    end = np.array([end_id], dtype=id_type).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = 0
         for batch in batches:
             for part in text_slices(batch, "text", 4_000_000):
-                ids = encode_texts(part["text"], tokenizer_path, end).cast(pa.binary())
+                ids = encode_texts(part["text"], tokenizer_path, id_type, end).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), ids, part["shard"], pa.array(np.arange(seq, seq + len(ids)))], names=["doc_id", "ids", "shard", "seq"])
                 seq += len(ids)
 
     return rows.mapInArrow(encode, "doc_id long, ids binary, shard int, seq long")
 
 
-def _ids(values: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(values.to_pylist()), dtype="<u4")
-
-
-def id_counts(staged: DataFrame) -> DataFrame:
+def id_counts(staged: DataFrame, id_type: str) -> DataFrame:
     """id, n over all documents; at most a row per id and task is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                own = np.bincount(_ids(batch["ids"].slice(k, 512)))
+                own = np.bincount(np.frombuffer(b"".join(batch["ids"].slice(k, 512).to_pylist()), dtype=id_type))
                 total = np.pad(total, (0, max(0, len(own) - len(total))))
                 total[: len(own)] += own
         seen = np.flatnonzero(total)
@@ -268,7 +271,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, block_tokens: i
     """
     spark = docs.sparkSession
     staged = written(tokenized(docs, tokenizer_path, end_id, **columns), "token-ids")
-    counts = id_counts(staged).orderBy(F.desc("n"), "id").toPandas()
+    id_type = narrowest(tokenizer_path, end_id)
+    width = np.dtype(id_type).itemsize
+    counts = id_counts(staged, id_type).orderBy(F.desc("n"), "id").toPandas()
     id_of_rank = counts["id"].to_numpy(dtype=np.int64)
     rank_of_id = np.zeros(int(id_of_rank.max(initial=0)) + 1, dtype=np.uint32)
     rank_of_id[id_of_rank] = np.arange(len(id_of_rank))
@@ -290,14 +295,14 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, block_tokens: i
             if stream is None:
                 name, system, inner = new_file(folder, ".ids")
                 stream = system.open_output_stream(inner)
-            ids = np.frombuffer(b"".join(row[1] for row in held), dtype="<u4")
+            ids = np.frombuffer(b"".join(row[1] for row in held), dtype=id_type)
             control, data = encode_ranks(rank_of_id[ids])
             header = np.array([(MAGIC, len(held), len(ids), len(data))], dtype=HEADER)
             block = b"".join([
                 header.tobytes(),
                 np.array([row[0] or 0 for row in held], dtype="<i8").tobytes(),
                 np.array([row[0] is None for row in held], dtype=np.uint8).tobytes(),
-                np.array([len(row[1]) // 4 for row in held], dtype="<i8").tobytes(),
+                np.array([len(row[1]) // width for row in held], dtype="<i8").tobytes(),
                 control,
                 data,
             ])
@@ -309,10 +314,10 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, block_tokens: i
 
         for batch in batches:
             for row in zip(*(batch[c].to_pylist() for c in ("doc_id", "ids", "shard", "seq"))):
-                if held and (row[2] != held[0][2] or row[3] != held[-1][3] + 1 or size + len(row[1]) // 4 > block_tokens):
+                if held and (row[2] != held[0][2] or row[3] != held[-1][3] + 1 or size + len(row[1]) // width > block_tokens):
                     flush()
                 held.append(row)
-                size += len(row[1]) // 4
+                size += len(row[1]) // width
         flush()
         if stream is not None:
             stream.close()
