@@ -238,7 +238,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = 0
         for batch in batches:
-            for part in text_slices(batch, "text", 4_000_000):
+            for part in text_slices(batch, "text", 6_000_000):
                 ids = encode_texts(part["text"], tokenizer_path, id_type, end).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), ids, part["shard"], pa.array(np.arange(seq, seq + len(ids)))], names=["doc_id", "ids", "shard", "seq"])
                 seq += len(ids)
