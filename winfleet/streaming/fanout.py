@@ -14,19 +14,18 @@ anywhere and runs again replaces what it had written. Folders below the checkpoi
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from dataclasses import dataclass
 from datetime import timedelta
 
 from pyarrow import fs
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from winfleet.functions.times import micros
-from winfleet.operators.windows import average_of, average_readings, average_sums, windows_of_panes, with_spans
+from winfleet.operators.windows import with_spans
 from winfleet.streaming.jobs import JobSettings, job_output
+from winfleet.streaming.panes import Measure, average_measure, maximum_measure, windows_between
 from winfleet.streaming.rolling import write_rolled
 from winfleet.streaming.sinks import every, sensor_lines, window_lines
 
@@ -34,30 +33,6 @@ from winfleet.streaming.sinks import every, sensor_lines, window_lines
 KEPT = 2
 
 
-@dataclass(frozen=True)
-class Measure:
-    """What is known of a window: how rows are prepared and combined, how panes are, and how a window's row follows."""
-
-    readings: Callable[[DataFrame], DataFrame]
-    partial: list[Column]
-    merge: list[Column]
-    sums: list[str] | None
-    result: Callable[[DataFrame], DataFrame]
-
-
-def average_measure(rows: DataFrame) -> Measure:
-    kind = rows.schema["temperature"].dataType
-    partial, merge = average_sums(kind)
-    names = [name for name in average_readings(rows).columns if name.startswith("limb")]
-    return Measure(average_readings, partial, merge, [*names, "n"], lambda totals: average_of(totals, kind))
-
-
-def maximum_measure(rows: DataFrame) -> Measure:
-    highest = [F.max("temperature").alias("temperature")]
-    columns = ["location_id", "window_start", "temperature"]
-    return Measure(lambda r: r.where("temperature IS NOT NULL").select("location_id", "event_time", "temperature"), highest, highest, None, lambda totals: totals.select(*columns))
-
-
 def _drop_before(folder: str, batch: int) -> None:
     filesystem, base = fs.FileSystem.from_uri(folder)
     for found in filesystem.get_file_info(fs.FileSelector(base, allow_not_found=True)):
@@ -90,19 +65,7 @@ def closed_windows(batch: DataFrame, number: int, state: str, measure: Measure,
     fresh.write.mode("overwrite").parquet(path)
     spark.createDataFrame([(clock,)], "clock long").coalesce(1).write.mode("overwrite").parquet(f"{state}/clock/batch={number}")
     panes = spark.read.schema(fresh.schema).parquet(path)
-    if clock is None:
-        return measure.result(windows_of_panes(panes.where("false"), size, slide, measure.merge, measure.sums))
-
-    # Windows that end in (before, clock] start in (before - size, clock - size].
-    kind = panes.schema["first"].dataType
-    grid = micros(slide)
-    newest_start = F.timestamp_micros(F.lit((clock - micros(size)) // grid * grid)).cast(kind)
-    oldest_start = None
-    panes = panes.where(F.col("first") <= newest_start)
-    if before is not None:
-        oldest_start = F.timestamp_micros(F.lit(((before - micros(size)) // grid + 1) * grid)).cast(kind)
-        panes = panes.where(F.col("last") >= oldest_start)
-    return measure.result(windows_of_panes(panes, size, slide, measure.merge, measure.sums, oldest_start, newest_start))
+    return windows_between(panes, before, clock, measure, size, slide)
 
 
 def start_fanout_job(

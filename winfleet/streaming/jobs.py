@@ -17,17 +17,23 @@ from pyspark.sql.streaming import StreamingQuery
 
 from winfleet.operators.windows import DEFAULT_SIZE, DEFAULT_SLIDE, average_temperature, maximum_temperature
 from winfleet.sources.sensor import with_watermark
-from winfleet.streaming.rolling import Rolling, fork_rolled, start_rolled
+from winfleet.streaming.keyed import rocksdb_state
+from winfleet.streaming.panes import Measure, average_measure, closed_by, maximum_measure, open_panes
+from winfleet.streaming.rolling import Rolling, fork_rolled, start_rolled, write_rolled
 from winfleet.streaming.savepoints import fork_checkpoint, saved_batches
 from winfleet.streaming.sinks import every, sensor_lines, stream_console, window_lines
 
 _LATE_FILTER = "spark.sql.streaming.statefulOperator.allowMultiple"
+# Of a row in up to this many windows the windows are state, of a row in more of them its pane is.
+FEW_WINDOWS = 8
 
 
 @dataclass(frozen=True)
 class JobSettings:
     """Settings of a job with their usual values. ``interval`` is both the time between micro-batches, hence between
-    watermark steps, and the checkpoint interval; None processes what is there and ends. ``rolling`` says when files close."""
+    watermark steps, and the checkpoint interval; None processes what is there and ends. ``rolling`` says when files close.
+    ``panes`` says whether open panes or open windows are state (None: panes if a row is in more than FEW_WINDOWS windows); results
+    are the same, but a checkpoint goes on with what it began with."""
 
     size: timedelta = DEFAULT_SIZE
     slide: timedelta = DEFAULT_SLIDE
@@ -35,6 +41,7 @@ class JobSettings:
     interval: timedelta | None = timedelta(seconds=30)
     console_verbosity: int = 0
     rolling: Rolling = Rolling()
+    panes: bool | None = None
 
 
 @contextmanager
@@ -58,11 +65,11 @@ def windows_of(rows: DataFrame, settings: JobSettings, aggregate: Callable[...,
 
 
 def start_average_job(rows: DataFrame, output: str, checkpoints: str, run: str = "run", **settings: object) -> list[StreamingQuery]:
-    return _start(rows, output, checkpoints, run, "average", average_temperature, JobSettings(**settings))
+    return _start(rows, output, checkpoints, run, "average", average_temperature, average_measure, JobSettings(**settings))
 
 
 def start_maximum_job(rows: DataFrame, output: str, checkpoints: str, run: str = "run", **settings: object) -> list[StreamingQuery]:
-    return _start(rows, output, checkpoints, run, "maximum", maximum_temperature, JobSettings(**settings))
+    return _start(rows, output, checkpoints, run, "maximum", maximum_temperature, maximum_measure, JobSettings(**settings))
 
 
 def job_output(output: str, run: str, part: str) -> str:
@@ -92,6 +99,22 @@ def fork_job(spark: SparkSession, output: str, checkpoints: str, run: str, new_r
         fork_checkpoint(spark, f"{checkpoints}/{run}/{part}/{query}", f"{checkpoints}/{new_run}/{part}/{query}", batch)
 
 
+def _start_windows(
+    rows: DataFrame, path: str, checkpoint: str, trigger: dict[str, object], settings: JobSettings, measure: Measure
+) -> StreamingQuery:
+    """Write the lines of closed windows below ``path``, with open panes as state."""
+    spark = rows.sparkSession
+    panes = open_panes(with_watermark(rows, settings.lateness), measure, settings.size, settings.slide)
+
+    def take(batch: DataFrame, number: int) -> None:
+        closed = closed_by(spark, checkpoint, number, panes, measure, settings.size, settings.slide)
+        write_rolled(window_lines(closed), path, number, settings.rolling)
+        batch.write.format("noop").mode("overwrite").save()  # takes the micro-batch into the state
+
+    writer = panes.writeStream.outputMode("update").foreachBatch(take)
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def _start(
     rows: DataFrame,
     output: str,
@@ -99,16 +122,22 @@ def _start(
     run: str,
     part: str,
     aggregate: Callable[..., DataFrame],
+    measured: Callable[[DataFrame], Measure],
     settings: JobSettings,
 ) -> list[StreamingQuery]:
     trigger = every(settings.interval)
     base = f"{checkpoints}/{run}/{part}"
-    with immediate_late_filter(rows.sparkSession):
+    panes = settings.size > FEW_WINDOWS * settings.slide if settings.panes is None else settings.panes
+    if panes and settings.slide > settings.size:
+        raise ValueError("panes are of windows without gaps")
+    with immediate_late_filter(rows.sparkSession), rocksdb_state(rows.sparkSession):
         windows = windows_of(rows, settings, aggregate)
-        queries = [
-            start_rolled(sensor_lines(rows), job_output(output, run, "sensor"), f"{base}/rows", trigger, settings.rolling),
-            start_rolled(window_lines(windows), job_output(output, run, part), f"{base}/windows", trigger, settings.rolling),
-        ]
+        path = job_output(output, run, part)
+        queries = [start_rolled(sensor_lines(rows), job_output(output, run, "sensor"), f"{base}/rows", trigger, settings.rolling)]
+        if panes:
+            queries.append(_start_windows(rows, path, f"{base}/windows", trigger, settings, measured(rows)))
+        else:
+            queries.append(start_rolled(window_lines(windows), path, f"{base}/windows", trigger, settings.rolling))
         if settings.console_verbosity > 1:
             queries.append(stream_console(rows, f"{base}/console-rows", trigger))
         if settings.console_verbosity > 0:

@@ -55,6 +55,13 @@ def saved_batches(checkpoint: str) -> list[int]:
     return [b for b in commits if b in offsets and (b == 0 or b - 1 in offsets) and (held is None or b + 1 in held)]
 
 
+def watermark_of(checkpoint: str, batch: int) -> int:
+    """The watermark in force in a micro-batch that has begun, in epoch milliseconds; 0 while there is none."""
+    filesystem, base = _under(checkpoint)
+    with filesystem.open_input_stream(f"{base}/offsets/{batch}") as file:
+        return json.loads(file.read().decode().splitlines()[1])["batchWatermarkMs"]
+
+
 def _source_ends(filesystem: fs.FileSystem, base: str, batch: int) -> dict[str, int]:
     """For each file source (by number), the last entry of its list of seen files that the batch had."""
     with filesystem.open_input_stream(f"{base}/offsets/{batch}") as file:
