@@ -177,8 +177,8 @@ def write_rolled(lines: DataFrame, path: str, batch: int, rolling: Rolling = Rol
     """
     spark = lines.sparkSession
     now = int(time.time() * 1000) if now is None else now
-    # Computed once: a micro-batch with state would otherwise run for its sizes and again for its lines.
-    fresh = lines.where("value IS NOT NULL").select("bucket", "value", F.lit(now).alias("opened")).persist(StorageLevel.MEMORY_AND_DISK)
+    # Computed once: a micro-batch with state would otherwise run for its sizes and again for its lines. Memory is for the sort below.
+    fresh = lines.where("value IS NOT NULL").select("bucket", "value", F.lit(now).alias("opened")).persist(StorageLevel.DISK_ONLY)
     before = _stored(spark, f"{path}/open/batch={batch - 1}", ENTRY).drop("batch")
     alive = before.where((F.col("opened") > now - _millis(rolling.age)) & (F.col("touched") > now - _millis(rolling.idle)))
     arrived = fresh.groupBy("bucket").agg(F.sum(F.octet_length("value") + 1).alias("arrived"))
